@@ -4,7 +4,7 @@ Every row of the source tables is used. Remainders only decide which rule a row
 follows, so that missing values, unknown drugs and unlinked persons all occur.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rxcover import schema
@@ -14,37 +14,36 @@ WINDOW = ("2020-01-01", "2021-12-20")
 AS_OF = "2021-12-20"
 DAYS_IN_WINDOW = 720
 
+# Declared, so that reading a table starts no job to find its columns.
+SOURCES = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
+    "customer": "c_custkey bigint",
+    "part": "p_partkey bigint, p_name string, p_type string",
+    "nation": "n_nationkey int, n_name string",
+}
 
-def _fold(day: str) -> Column:
+
+def _fold(day: str) -> str:
     """Any date moved into the window, keeping its order within each 720 days."""
-    offset = F.pmod(F.datediff(F.col(day).cast("date"), F.lit("1995-01-01").cast("date")), F.lit(DAYS_IN_WINDOW))
-    return F.date_add(F.lit(WINDOW[0]).cast("date"), offset)
+    return f"date_add(DATE '{WINDOW[0]}', pmod(datediff({day}, DATE '1995-01-01'), {DAYS_IN_WINDOW}))"
 
 
 def _drug_exposure(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    order, part, line = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
-    supplier = F.col("l_suppkey")
-    start = _fold("l_shipdate")
-    drug = F.when(order < 5, 8).when(order < 35, 9).otherwise(part % 8)
-    supply = F.when(part % 8 == 5, None).when(line.isin(2, 3), 30 * (1 + supplier % 4)).when(line == 4, 0)
-    kind = (
-        F.when(F.col("l_returnflag") == "A", 38000175)
-        .when(F.col("l_returnflag") == "N", 38000176)
-        .when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O"), 581373)
-        .otherwise(38000180)
-    )
-    fills = lineitem.join(orders, order == F.col("o_orderkey")).select(
-        (((order * 8 + line) * 100000 + part) * 10000 + supplier).alias("drug_exposure_id"),
-        F.col("o_custkey").alias("person_id"),
-        drug.alias("drug_concept_id"),
-        start.alias("drug_exposure_start_date"),
-        F.when(line == 1, F.date_add(start, (F.col("l_quantity") * 4 - 1).cast("int"))).alias(
-            "drug_exposure_end_date"
-        ),
-        supply.alias("days_supply"),
-        F.when(line.isin(4, 5), supplier % 5).alias("refills"),
-        F.col("l_quantity").alias("quantity"),
-        kind.alias("drug_type_concept_id"),
+    fills = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
+        "((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS drug_exposure_id",
+        "o_custkey AS person_id",
+        "CASE WHEN l_orderkey < 5 THEN 8 WHEN l_orderkey < 35 THEN 9 ELSE l_partkey % 8 END AS drug_concept_id",
+        f"{_fold('l_shipdate')} AS drug_exposure_start_date",
+        f"CASE WHEN l_linenumber = 1 THEN date_add({_fold('l_shipdate')}, CAST(l_quantity * 4 - 1 AS INT)) END "
+        "AS drug_exposure_end_date",
+        "CASE WHEN l_partkey % 8 = 5 THEN NULL WHEN l_linenumber IN (2, 3) THEN 30 * (1 + l_suppkey % 4) "
+        "WHEN l_linenumber = 4 THEN 0 END AS days_supply",
+        "CASE WHEN l_linenumber IN (4, 5) THEN l_suppkey % 5 END AS refills",
+        "l_quantity AS quantity",
+        "CASE WHEN l_returnflag = 'A' THEN 38000175 WHEN l_returnflag = 'N' THEN 38000176 "
+        "WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 581373 ELSE 38000180 END AS drug_type_concept_id",
     )
     return conform(fills, schema.DRUG_EXPOSURE)
 
@@ -55,56 +54,52 @@ def _concept(part: DataFrame, nation: DataFrame) -> DataFrame:
     Drug 7 and condition 1006 have no concept; drug 6 and condition 1005 are in
     another domain.
     """
-    tenth, key = F.col("tenth"), F.col("n_nationkey")
     drugs = (
         part.groupBy((F.col("p_partkey") % 10).alias("tenth"))
         .agg(F.min_by("p_name", "p_partkey").alias("name"), F.min_by("p_type", "p_partkey").alias("class"))
-        .select(
-            F.when(tenth == 7, 70).otherwise(tenth).alias("concept_id"),
-            F.col("name").alias("concept_name"),
-            F.col("class").alias("concept_class_id"),
-            F.when(tenth == 6, "Device").otherwise("Drug").alias("domain_id"),
+        .selectExpr(
+            "CASE WHEN tenth = 7 THEN 70 ELSE tenth END AS concept_id",
+            "name AS concept_name",
+            "class AS concept_class_id",
+            "CASE WHEN tenth = 6 THEN 'Device' ELSE 'Drug' END AS domain_id",
         )
     )
-    conditions = nation.select(
-        (F.when(key < 6, 1000).otherwise(2000) + key).alias("concept_id"),
-        F.col("n_name").alias("concept_name"),
-        F.lit("Clinical Finding").alias("concept_class_id"),
-        F.when(key == 5, "Observation").otherwise("Condition").alias("domain_id"),
+    conditions = nation.selectExpr(
+        "CASE WHEN n_nationkey < 6 THEN 1000L ELSE 2000L END + n_nationkey AS concept_id",
+        "n_name AS concept_name",
+        "'Clinical Finding' AS concept_class_id",
+        "CASE WHEN n_nationkey = 5 THEN 'Observation' ELSE 'Condition' END AS domain_id",
     )
     return conform(drugs.unionByName(conditions), schema.CONCEPT)
 
 
 def _person(customer: DataFrame) -> DataFrame:
     """All customers; one in forty has an id that no fill refers to."""
-    key = F.col("c_custkey")
-    return conform(
-        customer.select(
-            F.when(key % 40 == 39, -key).otherwise(key).alias("person_id"),
-            (1930 + key % 70).alias("year_of_birth"),
-        ),
-        schema.PERSON,
+    persons = customer.selectExpr(
+        "CASE WHEN c_custkey % 40 = 39 THEN -c_custkey ELSE c_custkey END AS person_id",
+        "1930 + c_custkey % 70 AS year_of_birth",
     )
+    return conform(persons, schema.PERSON)
 
 
 def _condition_occurrence(orders: DataFrame) -> DataFrame:
-    return conform(
-        orders.select(
-            F.col("o_custkey").alias("person_id"),
-            (1000 + F.col("o_orderkey") % 7).alias("condition_concept_id"),
-            _fold("o_orderdate").alias("condition_start_date"),
-        ),
-        schema.CONDITION_OCCURRENCE,
+    occurrences = orders.selectExpr(
+        "o_custkey AS person_id",
+        "1000 + o_orderkey % 7 AS condition_concept_id",
+        f"{_fold('o_orderdate')} AS condition_start_date",
     )
+    return conform(occurrences, schema.CONDITION_OCCURRENCE)
 
 
 def cdm_from_star_schema(spark: SparkSession, folder: str) -> CdmTables:
     def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder}/{name}.parquet")
+        return spark.read.schema(SOURCES[name]).parquet(f"{folder}/{name}.parquet")
 
     return CdmTables(
-        drug_exposure=_drug_exposure(read("lineitem"), read("orders")),
-        concept=_concept(read("part"), read("nation")),
-        person=_person(read("customer")),
-        condition_occurrence=_condition_occurrence(read("orders")),
+        {
+            "drug_exposure": lambda: _drug_exposure(read("lineitem"), read("orders")),
+            "concept": lambda: _concept(read("part"), read("nation")),
+            "person": lambda: _person(read("customer")),
+            "condition_occurrence": lambda: _condition_occurrence(read("orders")),
+        }
     )
