@@ -15,6 +15,7 @@ def spark(tmp_path_factory):
         4,
         **{
             "spark.ui.showConsoleProgress": "false",
+            "spark.sql.maxMetadataStringLength": "10000",
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
         },
     )
