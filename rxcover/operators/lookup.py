@@ -10,10 +10,6 @@ MAX_BROADCAST_ROWS = 500_000
 SALTS = 64
 
 
-def _fits(lookup: DataFrame, max_rows: int) -> bool:
-    return lookup.limit(max_rows + 1).count() <= max_rows
-
-
 def attach_lookup(
     facts: DataFrame,
     lookup: DataFrame,
@@ -31,12 +27,12 @@ def attach_lookup(
     facts join on (key, salt), so a key with most of the rows spreads over
     `salts` tasks.
     """
-    if _fits(lookup, max_rows):
+    if lookup.count() <= max_rows:
         return facts.join(F.broadcast(lookup), key, how)
     if used_by is not None:
         used = used_by.select(key).distinct()
         lookup = materialize(lookup.join(used, key, "left_semi"))
-        if _fits(lookup, max_rows):
+        if lookup.count() <= max_rows:
             return facts.join(F.broadcast(lookup), key, how)
     spread = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     row_hash = F.xxhash64(*[c for c, kind in facts.dtypes if not kind.startswith("map")])

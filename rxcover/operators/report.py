@@ -57,6 +57,18 @@ def top_drugs_chart(pdc: DataFrame, limit: int = 20, name_length: int = 40) -> D
     )
 
 
+def lowest_adherence_lines(pdc: DataFrame, limit: int = 5, name_length: int = 50) -> DataFrame:
+    """The first of the low-adherence drugs with shortened names."""
+    return low_adherence_drugs(pdc, limit=limit).select(
+        F.substring("drug_name", 1, name_length).alias("drug_name"), "pct_adherent", "mean_pdc"
+    )
+
+
+def patients_chart(pdc: DataFrame, limit: int = 10) -> DataFrame:
+    """Chart data: patients of the drugs with the most of them, fewest first."""
+    return top_drugs(pdc, limit).select("drug_name", "unique_patients").orderBy("unique_patients", "drug_name")
+
+
 def headline_report(pdc: DataFrame, gaps: DataFrame) -> DataFrame:
     """One row: patients, combinations, adherence rate, mean PDC and gap counts."""
     from_pdc = overall_statistics(pdc).select(

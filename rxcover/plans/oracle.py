@@ -460,6 +460,17 @@ def oracle_sql() -> dict[str, str]:
                 ORDER BY pct_adherent, drug_name LIMIT 10""",
             "TRUE",
         ),
+        "lowest_adherence_lines": _merge(
+            f"""SELECT drug_name[:50] AS drug_name, pct_adherent, mean_pdc
+                FROM (SELECT * FROM ({DRUG_SUMMARY}) WHERE unique_patients >= 50
+                      ORDER BY pct_adherent, drug_name LIMIT 5)""",
+            "TRUE",
+        ),
+        "patients_chart": _merge(
+            f"""SELECT drug_name, unique_patients FROM ({DRUG_SUMMARY})
+                ORDER BY unique_patients DESC, drug_name LIMIT 10""",
+            "TRUE",
+        ),
         "top_gap_drugs": _gap_query(f"{GAP_BY_DRUG} ORDER BY total_gaps DESC, drug_name LIMIT 10"),
         "high_risk": _merge(
             """SELECT person_id, drug_concept_id, drug_name, pdc, max_gap_days, num_gaps FROM pdc

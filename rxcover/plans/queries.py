@@ -89,6 +89,8 @@ BUILDERS: dict[str, Callable[[CdmTables], DataFrame]] = {
     "top_drugs": lambda t: report.top_drugs(_pdc(t, "merge")),
     "top_drugs_chart": lambda t: report.top_drugs_chart(_pdc(t, "merge")),
     "low_adherence_drugs": lambda t: report.low_adherence_drugs(_pdc(t, "merge")),
+    "lowest_adherence_lines": lambda t: report.lowest_adherence_lines(_pdc(t, "merge")),
+    "patients_chart": lambda t: report.patients_chart(_pdc(t, "merge")),
     "top_gap_drugs": lambda t: report.top_gap_drugs(_gaps(t, "merge")),
     "high_risk": lambda t: report.high_risk(_pdc(t)),
     "high_risk_patients": lambda t: report.high_risk_patients(_pdc(t)),

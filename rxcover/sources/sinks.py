@@ -3,18 +3,27 @@
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-EXPORTS = {"pdc": "pdc_results", "drug_summary": "drug_summary", "gaps": "gap_details"}
+# file name and row order of each result
+EXPORTS = {
+    "pdc": ("pdc_results", ["person_id", "drug_concept_id"]),
+    "drug_summary": ("drug_summary", ["-unique_patients", "drug_name"]),
+    "gaps": ("gap_details", ["person_id", "drug_concept_id", "fill_sequence"]),
+}
 
 
 def export_csv(folder: str, at: datetime | None = None, **results: DataFrame) -> dict[str, str]:
     """Write `pdc`, `drug_summary` and `gaps` to time-stamped CSV folders with a header.
 
-    Executors write their own part files; nothing passes through the driver.
+    Rows are range-partitioned into the result's order (its keys are unique), so
+    the part files follow one another and no task or the driver sees all rows.
     """
     stamp = (at or datetime.now()).strftime("%Y%m%d_%H%M%S")
     written = {}
     for name, df in results.items():
-        written[name] = f"{folder}/{EXPORTS[name]}_{stamp}.csv"
-        df.write.option("header", True).csv(written[name])
+        file, order = EXPORTS[name]
+        written[name] = f"{folder}/{file}_{stamp}.csv"
+        keys = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order]
+        df.orderBy(*keys).write.option("header", True).csv(written[name])
     return written

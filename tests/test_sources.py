@@ -4,10 +4,13 @@ from datetime import datetime
 
 from builders import WINDOW, tables
 
-from rxcover import AdherenceAnalysis, CdmTables
+from rxcover import AdherenceAnalysis, CdmTables, schema
 from rxcover.functions.ratios import plain_types
+from rxcover.operators.coverage import merged_totals
+from rxcover.operators.exposures import coverage_fills
 from rxcover.operators.summary import drug_summary
 from rxcover.session import materialize
+from rxcover.sources.cdm import conform
 from rxcover.sources.sinks import export_csv
 
 ROWS = [{"start": "2020-01-01", "supply": 60}, {"start": "2020-05-01", "supply": 30}]
@@ -39,6 +42,26 @@ def test_csv_export(spark, tmp_path):
     assert spark.read.option("header", True).csv(written["pdc"]).columns == pdc.columns
 
 
+def test_csv_export_is_in_order(spark, tmp_path):
+    rows = [{"person": p, "drug": d, "start": "2020-01-01", "supply": 60} for p in (3, 1, 2) for d in (2, 1)]
+    pdc = AdherenceAnalysis(tables(spark, rows)).calculate_pdc(*WINDOW)
+    written = export_csv(str(tmp_path), pdc=pdc)
+    back = spark.read.option("header", True).csv(written["pdc"]).select("person_id", "drug_concept_id").collect()
+    assert [tuple(r) for r in back] == [(p, d) for p in "123" for d in "12"]
+
+
+def test_bucketed_fills_need_no_shuffle(spark):
+    """Fills stored in buckets of patient and drug give PDC without any exchange."""
+    source = tables(spark, ROWS).drug_exposure
+    spark.sql("CREATE DATABASE IF NOT EXISTS claims")
+    writer = source.write.mode("overwrite").bucketBy(4, "person_id", "drug_concept_id")
+    writer.saveAsTable("claims.bucketed_exposure")
+    stored = conform(spark.table("claims.bucketed_exposure"), schema.DRUG_EXPOSURE)
+    totals = merged_totals(coverage_fills(stored, *WINDOW))
+    assert "Exchange" not in totals._jdf.queryExecution().executedPlan().toString()
+    assert totals.first().total_days_covered == 90
+
+
 def test_plain_types(spark):
     frame = spark.sql("SELECT CAST(1.5 AS DECIMAL(10,4)) AS a, 1 AS b, 'x' AS c, DATE '2020-01-01' AS d")
     assert [kind for _, kind in plain_types(frame).dtypes] == ["double", "bigint", "string", "date"]
