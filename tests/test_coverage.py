@@ -91,6 +91,12 @@ def test_splitting_a_fill_keeps_merged_days(spark):
     assert days == [120, 120]
 
 
+def test_row_order_does_not_matter(spark):
+    shuffled = random.Random(9).sample(SPANS, len(SPANS))
+    for operator in (coverage.merged_totals, coverage.adjusted_totals):
+        assert keyed(operator(fills(spark, SPANS))) == keyed(operator(fills(spark, shuffled).repartition(7)))
+
+
 # 0: every patient-drug is cut into slices; 40: only the larger ones; the default: none
 @pytest.mark.parametrize("slicing", [{"hot_rows": 0, "block_bits": 4}, {"hot_rows": 40, "block_bits": 6}, {}])
 def test_sequence_is_the_same_however_it_is_cut(spark, slicing):
