@@ -43,7 +43,11 @@ def get_date_range(months_back: int = 12, today: date | None = None) -> tuple[st
 
 
 class AdherenceAnalysis:
-    """Each method returns DataFrames and runs nothing but the size checks of lookup tables."""
+    """Each method returns lazy DataFrames.
+
+    Only lookups run ahead: the size check of the concepts, and the drug medians
+    where they are used.
+    """
 
     def __init__(self, tables: CdmTables, profile: Profile | str = "merge"):
         self.tables = tables

@@ -39,7 +39,7 @@ def days_covered(start: Column, end: Column, supply: Column, refills: Column, me
     values = {
         "actual_end_date": (days_between(end, start) + 1).cast(kind),
         "days_supply": supply.cast(kind),
-        "refills": (refills * DAYS_PER_REFILL).cast(kind),
+        "refills": (refills.cast("bigint") * DAYS_PER_REFILL).cast(kind),
         "default_30": F.lit(DEFAULT_SUPPLY_DAYS).cast(kind),
     }
     if median is not None:

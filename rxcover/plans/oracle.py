@@ -12,9 +12,8 @@ DISPENSED = "drug_type_concept_id IN (38000175, 38000176, 581373)"
 
 
 def _fold(day: str) -> str:
-    return (
-        f"(DATE '{START}' + CAST(date_diff('day', DATE '1995-01-01', CAST({day} AS DATE)) % {DAYS_IN_WINDOW} AS INTEGER))"
-    )
+    days = f"date_diff('day', DATE '1995-01-01', CAST({day} AS DATE)) % {DAYS_IN_WINDOW}"
+    return f"(DATE '{START}' + CAST({days} AS INTEGER))"
 
 
 # The derived CDM tables.
@@ -442,7 +441,9 @@ def oracle_sql() -> dict[str, str]:
         ),
         "pdc_histogram": _merge(HISTOGRAM, "TRUE"),
         "gap_by_drug": _gap_query(GAP_BY_DRUG),
-        "gap_severity_distribution": _gap_query("SELECT gap_severity, count(*) AS gaps FROM gaps GROUP BY gap_severity"),
+        "gap_severity_distribution": _gap_query(
+            "SELECT gap_severity, count(*) AS gaps FROM gaps GROUP BY gap_severity"
+        ),
         "gap_totals": _gap_query(
             """SELECT count(*) AS gaps_found, count(DISTINCT person_id) AS patients_affected,
                       count(*) FILTER (gap_severity = 'Critical Gap (90+ days)') AS critical_gaps,

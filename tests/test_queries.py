@@ -77,3 +77,16 @@ def test_enriched_counts(spark):
         F.max("pdc"),
     )
     assert tuple(row.first()) == (8835, 216, 5, 1.0)
+
+
+def test_bin_counts(spark):
+    report = entry.queries()["summary_report"](spark, COUNTED).filter("category = 'PDC Distribution'")
+    left = {r.subcategory: r.total_patient_drug_combinations for r in report.collect()}
+    right = {r.pdc_bin: r.combinations for r in entry.queries()["summary_distribution_cut"](spark, COUNTED).collect()}
+    labels = ("90-100%", "80-89%", "70-79%", "60-69%", "50-59%", "<50%")
+    assert [left[label] for label in labels] == [1778, 464, 826, 1350, 1781, 5379]
+    assert [right[label] for label in labels] == [1774, 465, 828, 1335, 1776, 5400]
+
+
+def test_high_risk_count(spark):
+    assert entry.queries()["high_risk_patients"](spark, COUNTED).count() == 7899

@@ -7,9 +7,8 @@ import pytest
 from compare import TABLES, differences, duckdb_views
 
 import __spark_entry__ as entry
-from rxcover.operators import gaps, sequence
-from rxcover.plans.queries import _fills
-from rxcover.sources.star_schema import cdm_from_star_schema
+from rxcover.operators import exposures, gaps, sequence
+from rxcover.sources.star_schema import WINDOW, cdm_from_star_schema
 
 SOURCE = "/root/testdata/sf0.001"
 
@@ -63,7 +62,7 @@ def test_results_on_skewed_data(spark, folder, name):
 
 def test_only_the_frequent_group_is_cut(spark, folder):
     """With a bound of 100 fills the gap listing keeps its rows and numbers."""
-    fills = _fills(cdm_from_star_schema(spark, folder), dispensed_only=False)
+    fills = exposures.coverage_fills(cdm_from_star_schema(spark, folder).drug_exposure, *WINDOW)
     fills = fills.dropDuplicates(["drug_exposure_id"])
     whole = gaps.consecutive_gaps(fills, min_gap_days=0, clamp=True, full=True)
     cut = gaps.consecutive_gaps(fills, min_gap_days=0, clamp=True, full=True, hot_rows=100, block_bits=30)
