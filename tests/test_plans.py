@@ -61,3 +61,12 @@ def test_no_python_no_cross_join_no_early_sort(spark, name):
     assert not re.search(r"Python|Pandas|MapIn", plan)
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert "rangepartitioning" not in plan
+
+
+def test_slices_cost_nothing_without_frequent_groups(spark):
+    """At run time the edges of slices and the list of frequent groups are found empty and dropped."""
+    df = entry.queries()["gaps_detail"](spark, FOLDER)
+    df.collect()
+    final = physical(df).split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in final
+    assert final.count("Window [") == 1 and "SortMergeJoin" not in final

@@ -1,0 +1,46 @@
+"""The checkpoint folder comes from the session; only local sessions may lack one."""
+
+from types import SimpleNamespace
+
+import pytest
+
+from rxcover.session import materialize
+
+
+class Context:
+    def __init__(self, master, folder=None):
+        self.master, self.folder = master, folder
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def frame(context, **conf):
+    session = SimpleNamespace(sparkContext=context, conf=conf)
+    return SimpleNamespace(sparkSession=session, checkpoint=lambda: "written")
+
+
+def test_cluster_setting_is_used():
+    context = Context("yarn")
+    assert materialize(frame(context, **{"spark.checkpoint.dir": "hdfs:///shared"})) == "written"
+    assert context.folder == "hdfs:///shared"
+
+
+def test_folder_of_the_context_is_kept():
+    context = Context("yarn", "hdfs:///kept")
+    materialize(frame(context, **{"spark.checkpoint.dir": "hdfs:///other"}))
+    assert context.folder == "hdfs:///kept"
+
+
+def test_cluster_without_a_folder_is_refused():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        materialize(frame(Context("spark://host:7077")))
+
+
+def test_local_session_gets_a_temporary_folder():
+    context = Context("local[4]")
+    materialize(frame(context))
+    assert "rxcover-checkpoint-" in context.folder
