@@ -1,13 +1,18 @@
 """Numbering the fills of a patient-drug and looking at their neighbours.
 
 An ordinary window sends a whole patient-drug to one task. Here a patient-drug
-with more than `hot_rows` fills is cut into slices that follow the sort order:
-by start day, by end day where the order uses it, and by blocks of
-2**block_bits consecutive ids. Ids are unique, so a slice cannot hold more
-fills than a block has ids. Values at the slice edges are then passed on
-through one small summary row per slice.
+with more than `hot_rows` fills is cut into slices that follow the sort order,
+in levels: start day, end day where the order uses it, region of ids, block of
+2**block_bits ids in a region. Ids are unique, so a block cannot hold more fills
+than ids, however the ids are spread; a region has at most as many blocks, and a
+day at most 2**(64 - 2 * block_bits) regions. Values at the slice edges are
+passed on through one small summary row per slice, level by level, so that no
+window or join key ever meets more rows than these bounds.
 """
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,13 +45,19 @@ def sequence_fills(
         .filter(F.col("rows") > hot_rows)
         .select(*PATIENT_DRUG, F.lit(True).alias("_hot"))
     )
-    slices = {"_day": F.col("start_date"), "_block": F.shiftright("drug_exposure_id", block_bits)}
-    if by_end:
-        slices = {"_day": slices["_day"], "_end": F.col("end_date"), "_block": slices["_block"]}
+    slices = {
+        "_day": F.col("start_date"),
+        **({"_end": F.col("end_date")} if by_end else {}),
+        "_region": F.shiftright("drug_exposure_id", 2 * block_bits),
+        "_block": F.shiftright("drug_exposure_id", block_bits),
+    }
     sliced = fills.join(F.broadcast(hot), PATIENT_DRUG, "left").withColumns(
         {name: F.when(F.col("_hot"), value) for name, value in slices.items()}
     )
-    edges = _slice_edges(sliced.filter(F.col("_hot")), list(slices)[1:], order, previous, following)
+    carried = F.struct(*dict.fromkeys([*order, *previous.values(), *following.values()]))
+    # Naming every slice column here keeps the input of all levels equal, so that it is read and shuffled once.
+    known = [F.col(name).isNotNull() for name in slices]
+    edges = _slice_edges(sliced.filter(reduce(and_, known, F.col("_hot"))), list(slices), carried)
 
     in_slice = Window.partitionBy(*PATIENT_DRUG, *slices).orderBy(*order)
     local = sliced.withColumns(
@@ -65,37 +76,42 @@ def sequence_fills(
     )
 
 
-def _slice_edges(hot_fills: DataFrame, subslices: list[str], order: list[str], previous: dict, following: dict):
-    """Per slice: fills before it, the last fill before it and the first after it.
-
-    Two steps keep each window small: slices within a day, then days.
-    """
-    day = [*PATIENT_DRUG, "_day"]
-    carried = F.struct(*dict.fromkeys([*order, *previous.values(), *following.values()]))
-    per_slice = hot_fills.groupBy(*day, *subslices).agg(
+def _slice_edges(hot_fills: DataFrame, levels: list[str], carried: Column) -> DataFrame:
+    """Per slice: fills before it, the last fill before it and the first after it."""
+    keys = [[*PATIENT_DRUG, *levels[:depth]] for depth in range(1, len(levels) + 1)]
+    summary = hot_fills.groupBy(*keys[-1]).agg(
         F.count("*").alias("rows"), F.min(carried).alias("first"), F.max(carried).alias("last")
     )
-    per_day = per_slice.groupBy(*day).agg(
-        F.sum("rows").alias("rows"), F.min("first").alias("first"), F.max("last").alias("last")
-    )
-    within = _pass_on(per_slice, Window.partitionBy(*day).orderBy(*subslices), "slice")
-    across = _pass_on(per_day, Window.partitionBy(*PATIENT_DRUG).orderBy("_day"), "day")
-    return within.join(across, day).select(
-        *day,
-        *subslices,
-        (F.col("slice_rows_before") + F.col("day_rows_before")).alias("_rows_before"),
-        F.coalesce("slice_last", "day_last").alias("_last"),
-        F.coalesce("slice_first", "day_first").alias("_first"),
-    )
+    summaries = [summary]
+    for key in reversed(keys[:-1]):
+        summary = summary.groupBy(*key).agg(
+            F.sum("rows").alias("rows"), F.min("first").alias("first"), F.max("last").alias("last")
+        )
+        summaries.insert(0, summary)
 
+    edges = _edges_within(summaries[0], keys[0])
+    for key, summary in zip(keys[1:], summaries[1:]):
+        outer = edges.withColumnsRenamed({"_rows_before": "outer_rows", "_last": "outer_last", "_first": "outer_first"})
+        edges = (
+            _edges_within(summary, key)
+            .join(outer, key[:-1])
+            .select(
+                *key,
+                (F.col("_rows_before") + F.col("outer_rows")).alias("_rows_before"),
+                F.coalesce("_last", "outer_last").alias("_last"),
+                F.coalesce("_first", "outer_first").alias("_first"),
+            )
+        )
+    return edges
 
-def _pass_on(summary: DataFrame, window, level: str) -> DataFrame:
-    def earlier(column: Column) -> Column:
-        return column.over(window.rowsBetween(Window.unboundedPreceding, -1))
 
+def _edges_within(summary: DataFrame, key: list[str]) -> DataFrame:
+    """The same, looking only at slices that share all but the last level."""
+    siblings = Window.partitionBy(*key[:-1]).orderBy(key[-1])
+    earlier = F.sum("rows").over(siblings.rowsBetween(Window.unboundedPreceding, -1))
     return summary.select(
-        *[c for c in summary.columns if c.startswith("_") or c in PATIENT_DRUG],
-        F.coalesce(earlier(F.sum("rows")), F.lit(0).cast("bigint")).alias(f"{level}_rows_before"),
-        F.lag("last").over(window).alias(f"{level}_last"),
-        F.lead("first").over(window).alias(f"{level}_first"),
+        *key,
+        F.coalesce(earlier, F.lit(0).cast("bigint")).alias("_rows_before"),
+        F.lag("last").over(siblings).alias("_last"),
+        F.lead("first").over(siblings).alias("_first"),
     )
