@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxcover.llm import exact_dedup, mixing
+from rxcover.llm import exact_dedup, mixing, ngram_join
 from rxcover.llm.shared import table
 
 
+def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, folder, "documents"), size=3, numerator=9, denominator=10)
+
+
 def op8_pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source")
     return mixing.mixed(docs)
@@ -23,6 +27,7 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op8_pfair_mixing": op8_pfair_mixing,
     "op9_exact_dedup": op9_exact_dedup,
 }
