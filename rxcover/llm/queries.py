@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxcover.llm import exact_dedup, mixing, ngram_join
+from rxcover.llm import exact_dedup, mixing, ngram_join, vector_dedup
 from rxcover.llm.shared import table
 
 
+def op1_projection_passes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_dedup.linked_vectors(table(spark, folder, "embeddings"), threshold=0.95)
+
+
 def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, folder, "documents"), size=3, numerator=9, denominator=10)
 
@@ -27,6 +31,7 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_projection_passes": op1_projection_passes,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op8_pfair_mixing": op8_pfair_mixing,
     "op9_exact_dedup": op9_exact_dedup,
