@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxcover.llm import exact_dedup, mixing, ngram_join, vector_dedup
-from rxcover.llm.shared import table
+from rxcover.llm import exact_dedup, language, mixing, ngram_join, quality, toxicity, vector_dedup
+from rxcover.llm.shared import remainder, table
 
 
 def op1_projection_passes(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,6 +19,32 @@ def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, folder, "documents"), size=3, numerator=9, denominator=10)
 
 
+def op3_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality.train(docs, quality.grades(table(spark, folder, "labels")))
+    return quality.graded(docs, model)
+
+
+def op5_factorization_machine(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    labels = table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("target"))
+    model = toxicity.train(docs, labels.filter(remainder("doc_id", 4) != 2))
+    return toxicity.scored(docs, model).select(
+        "doc_id",
+        F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+def op7_language_filters(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    filters = language.learn(docs.filter(remainder("doc_id", 3) != 1))
+    return language.identified(docs, filters).select(
+        "doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op8_pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source")
     return mixing.mixed(docs)
@@ -33,6 +59,9 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_projection_passes": op1_projection_passes,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_ordinal_quality": op3_ordinal_quality,
+    "op5_factorization_machine": op5_factorization_machine,
+    "op7_language_filters": op7_language_filters,
     "op8_pfair_mixing": op8_pfair_mixing,
     "op9_exact_dedup": op9_exact_dedup,
 }
