@@ -70,7 +70,14 @@ def exact_groups(
         .agg(F.min(first).alias("_first"), F.count("*").alias("group_size"))
         .filter("group_size > 1")
     )
-    joined = hashed.join(groups, "_hash", "left")
+    # A table of its own, so that the join below shuffles both sides and can split a large group.
+    groups = stored(groups, "groups")
+    alone = hashed.filter(F.col("_hash").isNull())
+    joined = (
+        hashed.filter(F.col("_hash").isNotNull())
+        .join(groups, "_hash", "left")
+        .unionByName(alone, allowMissingColumns=True)
+    )
     same = (F.col("doc_id").eqNullSafe(F.col("_first.doc_id"))) & (F.col("_points") == -F.col("_first.points"))
     grouped = F.col("_first").isNotNull()
     return joined.select(
