@@ -4,11 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxcover.llm import exact_dedup, language, mixing, ngram_join, quality, toxicity, vector_dedup
-from rxcover.llm.shared import remainder, table
+from rxcover.llm import (
+    bpe,
+    exact_dedup,
+    language,
+    mixing,
+    ngram_join,
+    quality,
+    token_files,
+    toxicity,
+    vector_dedup,
+)
+from rxcover.llm.shared import new_folder, remainder, table
 
 
 def op1_projection_passes(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,6 +48,17 @@ def op5_factorization_machine(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_word_shuffle_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs, ranks = table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    tokens = bpe.encoded(docs, bpe.tiktoken_encoder(ranks, public_tokenizers.PATTERN))
+    return bpe.decoded(tokens, ranks).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op7_language_filters(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     filters = language.learn(docs.filter(remainder("doc_id", 3) != 1))
@@ -56,14 +78,25 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(docs.withColumn("text_sha256", digest), carry=["text_sha256"])
 
 
+def op10_elias_fano_files(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    prepare = bpe.tokenizers_encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    files = new_folder(spark, "tokens")
+    tokens = bpe.encoded(docs, prepare, end=2)
+    token_files.write_tokens(tokens, docs.select("doc_id"), files, bytes_per_id=2)
+    return token_files.read_tokens(spark, files).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_projection_passes": op1_projection_passes,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_ordinal_quality": op3_ordinal_quality,
     "op5_factorization_machine": op5_factorization_machine,
+    "op6_word_shuffle_bpe": op6_word_shuffle_bpe,
     "op7_language_filters": op7_language_filters,
     "op8_pfair_mixing": op8_pfair_mixing,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_elias_fano_files": op10_elias_fano_files,
 }
 
 EXACT_DEDUP_SQL = r"""

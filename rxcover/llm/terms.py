@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rxcover.llm.textvec import LOWER, mix, span_hashes, text_chunks, words
 
 # Bytes from which a word's beginnings are terms of their own.
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7, 8)
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 

@@ -20,7 +20,7 @@ BUCKETS = 1 << 20
 SAMPLE_PER_CLASS = 10_000
 # Terms of the model at most: those that tell most about the label in the sample.
 FEATURES = 4096
-MIN_ROWS = 5
+MIN_ROWS = 3
 RANK = 8
 EPOCHS = 200
 
