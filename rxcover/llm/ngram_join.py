@@ -3,13 +3,12 @@
 The n-grams are put into one global order, that of their 64-bit hashes, and the
 order is cut into fragments. If two sets differ in at most D n-grams and the
 order is cut into more than D fragments, some fragment must be equal in both.
-So documents meet on equal fragments; for each pair that met, the overlap is
-counted in each coarse fragment separately and summed.
+So documents meet on equal fragments. Of documents connected that way, the
+overlaps are counted in each fragment of the order separately and summed per pair.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,15 +17,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rxcover.llm.components import components
-from rxcover.llm.shared import BROADCAST_IDS, keep_ids, stored
+from rxcover.llm.shared import keep_ids, stored
 from rxcover.llm.textvec import mix, shingle_sets, text_chunks
 
 # Text of one block: its documents are handled together, equal sets in it only once.
 BLOCK_BYTES = 16 << 20
-# Fragments in which the overlap of a pair is counted.
-COUNT_FRAGMENTS = 4
+# Sets that are compared with as many others in one go.
+TILE = 512
+# N-grams of one fragment when overlaps are counted.
+FRAGMENT = 4096
+GROUP = ["component", "class", "i", "j", "between"]
 
-_PACKED = "block long, bucket int, payload binary, docs array<struct<doc_id: long, n: long, node: long>>"
+_PACKED = "block long, bucket int, payload binary, docs array<struct<doc_id: long, n: long, node: long, class: int>>"
+
+_DOCS = pa.list_(
+    pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("class", pa.int32())])
+)
 
 
 class Cut:
@@ -44,8 +50,8 @@ class Cut:
         self.tops = [0, 1]
 
     def size_class(self, n: int) -> int:
-        while self.tops[-1] < n:  # the largest size that can be similar to the last class's smallest
-            smallest = self.tops[-2] + 1
+        while self.tops[-1] < n:  # up to the largest size that can be similar to the smallest of the class
+            smallest = self.tops[-1] + 1
             self.tops.append(max(self.tops[-1] + 1, smallest * self.denominator // self.numerator))
         return int(np.searchsorted(self.tops, n))
 
@@ -101,11 +107,13 @@ def _pack(size: int, cut: Cut, buckets: int):
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 32
-        ids, counts, nodes, keys, refs, seen, held = [], [], [], [], [], set(), 0
+        ids, counts, nodes, classes, keys, refs, seen, held = [], [], [], [], [], [], set(), 0
 
         def flush():
-            nonlocal block, ids, counts, nodes, keys, refs, seen, held
-            docs = [{"doc_id": i, "n": n, "node": s} for i, n, s in zip(ids, counts, nodes)]
+            nonlocal block, ids, counts, nodes, classes, keys, refs, seen, held
+            docs = [
+                {"doc_id": i, "n": n, "node": s, "class": c} for i, n, s, c in zip(ids, counts, nodes, classes)
+            ]
             rows = [(block, -1, b"", docs)]
             if keys:
                 key = np.concatenate(keys)
@@ -120,17 +128,14 @@ def _pack(size: int, cut: Cut, buckets: int):
                     steps = np.diff(ref[low:high], prepend=np.uint16(0)).astype(np.uint16)
                     rows.append((block, int(bucket[low]), tall.tobytes() + steps.tobytes(), None))
             block += 1
-            ids, counts, nodes, keys, refs, seen, held = [], [], [], [], [], set(), 0
+            ids, counts, nodes, classes, keys, refs, seen, held = [], [], [], [], [], [], set(), 0
             columns = list(zip(*rows))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(columns[0], pa.int64()),
                     pa.array(columns[1], pa.int32()),
                     pa.array(columns[2], pa.binary()),
-                    pa.array(
-                        columns[3],
-                        pa.list_(pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64())])),
-                    ),
+                    pa.array(columns[3], _DOCS),
                 ],
                 ["block", "bucket", "payload", "docs"],
             )
@@ -153,6 +158,7 @@ def _pack(size: int, cut: Cut, buckets: int):
                     ids.append(doc_ids[first + i])
                     counts.append(len(grams))
                     nodes.append(node)
+                    classes.append(cut.size_class(len(grams)))
         if ids:
             yield from flush()
 
@@ -197,43 +203,91 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-def _segments(size: int):
-    """Per document a row for each coarse fragment with its part of the set."""
+def _sets(size: int):
+    """The set of each document, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, offsets in text_chunks(batch.column("text")):
-                nodes, fragments, segments = [], [], []
-                for grams in shingle_sets(data, offsets, size):
-                    if not len(grams):
-                        continue
-                    cuts = np.searchsorted(grams >> np.uint64(62), np.arange(COUNT_FRAGMENTS + 1))
-                    for f in range(COUNT_FRAGMENTS):
-                        if cuts[f + 1] > cuts[f]:
-                            nodes.append(set_id(grams))
-                            fragments.append(f)
-                            segments.append(grams[cuts[f] : cuts[f + 1]].tobytes())
-                if nodes:
+                found = [grams for grams in shingle_sets(data, offsets, size) if len(grams)]
+                if found:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(nodes, pa.int64()), pa.array(fragments, pa.int32()), pa.array(segments, pa.binary())],
-                        ["node", "fragment", "segment"],
+                        [pa.array([set_id(g) for g in found], pa.int64()), pa.array([g.tobytes() for g in found])],
+                        ["node", "grams"],
                     )
 
     return run
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The number of n-grams that two segments of a fragment share."""
-    for batch in batches:
-        common = []
-        for left, right in zip(batch.column("left"), batch.column("right")):
-            x, y = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (left, right))
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            common.append(int(np.count_nonzero(y[at] == x)))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("x"), batch.column("y"), pa.array(common, pa.int64())], ["x", "y", "common"]
-        )
+def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, numerator: int, denominator: int) -> np.ndarray:
+    """Which of the `left` sets are similar to which of the `right` ones.
+
+    The order of n-grams is cut into fragments; the overlaps of all pairs are
+    counted in one fragment at a time and summed.
+    """
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    every, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    # An n-gram of one set alone is in no overlap.
+    place = np.cumsum(times > 1) - 1
+    shared = times[column] > 1
+    row, column = row[shared], place[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(left), len(right)), dtype=np.float32)
+    for low in range(0, int((times > 1).sum()), FRAGMENT):
+        part = slice(*np.searchsorted(column, [low, low + FRAGMENT]))
+        present = np.zeros((len(sets), FRAGMENT), dtype=np.float32)
+        present[row[part], column[part] - low] = 1
+        common += present[left] @ present[right].T
+    common = common.astype(np.int64)
+    return common * denominator >= (sizes[left][:, None] + sizes[right][None, :] - common) * numerator
+
+
+def _compare(numerator: int, denominator: int):
+    """From sets sorted by group: edges that connect what is similar in each group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, sides, sets = None, [], [], []
+
+        def flush():
+            side = np.array(sides)
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            alone = key[-1] == 0  # the group is one tile, compared with itself
+            if alone:
+                right = left
+            if not len(left) or not len(right) or len(nodes) < 2:
+                return
+            near = np.zeros((len(nodes), len(nodes)), dtype=bool)
+            near[np.ix_(left, right)] = _linked(sets, left, right, numerator, denominator)
+            near |= near.T
+            label = np.arange(len(nodes))
+            while True:  # the first row that each row reaches
+                least = np.minimum(label, np.where(near, label, len(nodes)).min(axis=1))
+                least = least[least]
+                if (least == label).all():
+                    break
+                label = least
+            joined = np.flatnonzero(label != np.arange(len(nodes)))
+            if len(joined):
+                ids = np.array(nodes, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[label[joined]]), pa.array(ids[joined])], ["a", "b"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in GROUP))
+            rows = zip(keys, batch.column("node").to_pylist(), batch.column("side").to_pylist(), batch.column("grams"))
+            for own, node, side, grams in rows:
+                if own != key:
+                    if nodes:
+                        yield from flush()
+                    key, nodes, sides, sets = own, [], [], []
+                nodes.append(node)
+                sides.append(side)
+                sets.append(np.frombuffer(grams.as_py(), dtype=np.uint64))
+        if nodes:
+            yield from flush()
+
+    return run
 
 
 class NgramJoin:
@@ -247,14 +301,25 @@ class NgramJoin:
     Equal sets are one node, so a group of copies costs one row per block of 16 MB
     of text. Building runs jobs, as the components need rounds; every
     intermediate table goes to the shared folder. `buckets` should grow with the
-    data: a bucket's keys, 8 bytes each, are held by one task.
+    data: a bucket's keys, 8 bytes each, are held by one task. Comparing returns
+    edges that span what is linked, never all pairs. What it costs grows with the
+    square of the sets that equal fragments connect within one size class; that
+    work is dealt out by tiles of `tile` sets.
     """
 
-    def __init__(self, docs: DataFrame, size: int = 5, numerator: int = 8, denominator: int = 10, buckets: int = 0):
+    def __init__(
+        self,
+        docs: DataFrame,
+        size: int = 5,
+        numerator: int = 8,
+        denominator: int = 10,
+        buckets: int = 0,
+        tile: int = TILE,
+    ):
         self.spark = docs.sparkSession
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.size, self.numerator, self.denominator = size, numerator, denominator
-        self.cut = Cut(numerator, denominator)
+        self.cut, self.tile = Cut(numerator, denominator), tile
         self.buckets = buckets or min(65_536, max(256, 4 * int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def result(self) -> DataFrame:
@@ -264,68 +329,77 @@ class NgramJoin:
         members = (
             packed.filter("bucket < 0")
             .selectExpr("block", "posexplode(docs) AS (ref, doc)")
-            .selectExpr("block", "ref", "doc.doc_id", "doc.n", "doc.node")
+            .selectExpr("block", "ref", "doc.doc_id", "doc.n", "doc.node", "doc.class")
         )
         members = stored(members, "members")
-        met = self._met(packed, members)
-        first = met.groupBy("key").agg(F.min("node").alias("center"))
-        star = met.join(first, "key").filter("node <> center")
-        star = stored(star.select(F.col("center").alias("x"), F.col("node").alias("y")).distinct(), "candidates")
-        links = self._links(star, members)
-        found = components(links)
-        rest = self._open_pairs(met, found, star)
-        if not rest.isEmpty():
-            links = links.unionByName(self._links(rest, members))
-            found = components(links)
-        return self._labelled(members, found)
+        return self._labelled(members, components(self._links(self._met(packed, members), members)))
 
     def _met(self, packed: DataFrame, members: DataFrame) -> DataFrame:
-        """(key, node) of the fragments that occur in different sets."""
+        """`node`, `component`: different sets that are connected by equal fragments."""
         dealt = packed.filter("bucket >= 0").select("block", "bucket", "payload")
         shared = dealt.repartition("bucket").sortWithinPartitions("bucket", "block")
         shared = stored(shared.mapInArrow(_meet, "key long, block long, ref int"), "met")
-        named = shared.join(members.select("block", "ref", "node", "n"), ["block", "ref"]).select("key", "node", "n")
+        named = shared.join(members.select("block", "ref", "node"), ["block", "ref"]).select("key", "node")
         named = stored(named.distinct(), "keys")
-        several = named.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"))
-        several = several.filter("least <> most").select("key")
-        return stored(named.join(several, "key", "left_semi"), "shared")
-
-    def _open_pairs(self, met: DataFrame, found: DataFrame, tested: DataFrame) -> DataFrame:
-        """Pairs that met, have not been compared and are not connected yet."""
-        labels = found.withColumnRenamed("component", "label")
-        named = met.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), "n")
-        named = stored(named, "labelled")
-        several = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"))
-        several = several.filter("least <> most").select("key")
-        named = named.join(several, "key", "left_semi")
-        other = named.select("key", F.col("node").alias("y"), F.col("label").alias("other"), F.col("n").alias("m"))
-        ratio = F.least("n", "m") * self.denominator >= F.greatest("n", "m") * self.numerator
-        pairs = named.join(other, "key").filter((F.col("node") < F.col("y")) & (F.col("label") != F.col("other")) & ratio)
-        pairs = pairs.select(F.col("node").alias("x"), "y").distinct().join(tested, ["x", "y"], "left_anti")
-        return stored(pairs, "candidates")
-
-    def _links(self, pairs: DataFrame, members: DataFrame) -> DataFrame:
-        """Of the `x`, `y` pairs of nodes, those similar enough, as `a`, `b`."""
-        sizes = members.groupBy("node").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"))
-        nodes = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
-        wanted = stored(sizes.join(nodes, "node", "left_semi"), "wanted")
-        count = wanted.count()
-        texts = keep_ids(self.docs, wanted.select("doc_id"), "doc_id", count)
-        segments = texts.mapInArrow(_segments(self.size), "node long, fragment int, segment binary")
-        segments = stored(segments.dropDuplicates(["node", "fragment"]), "segments", "lz4")
-        left = segments.select(F.col("node").alias("x"), "fragment", F.col("segment").alias("left"))
-        right = segments.select(F.col("node").alias("y"), "fragment", F.col("segment").alias("right"))
-        beside = pairs.join(left, "x").join(right, ["y", "fragment"]).select("x", "y", "left", "right")
-        partial = beside.mapInArrow(_overlaps, "x long, y long, common long")
-        summed = partial.groupBy("x", "y").agg(F.sum("common").alias("common"))
-        known = wanted.select("node", "n")
-        if count <= BROADCAST_IDS:
-            known = F.broadcast(known)
-        both = summed.join(known.withColumnsRenamed({"node": "x", "n": "nx"}), "x").join(
-            known.withColumnsRenamed({"node": "y", "n": "ny"}), "y"
+        first = named.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"))
+        first = first.filter("first <> last").select("key", "first")
+        star = named.join(first, "key").filter("node <> first")
+        return components(star.select(F.col("first").alias("a"), F.col("node").alias("b")))
+
+    def _links(self, met: DataFrame, members: DataFrame) -> DataFrame:
+        """Edges between similar sets: every pair that can be similar is compared in the tile of both."""
+        nodes = members.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("class").alias("class"))
+        # A row for each different set that met another one.
+        wanted = stored(nodes.join(met, "node"), "wanted")
+        texts = keep_ids(self.docs, wanted.select("doc_id"), "doc_id", wanted.count())
+        sets = texts.mapInArrow(_sets(self.size), "node long, grams binary")
+        dealt = stored(self._tiles(wanted), "tiles")
+        # A hot component is many groups, so neither side of this join is skewed beyond its tiles.
+        rows = dealt.join(sets.dropDuplicates(["node"]), "node")
+        rows = rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "side", "node")
+        return rows.mapInArrow(_compare(self.numerator, self.denominator), "a long, b long")
+
+    def _tiles(self, wanted: DataFrame) -> DataFrame:
+        """(group, node, side): the groups in which each set is compared.
+
+        A small component is one group. In a larger one the sets of a size class
+        are dealt to tiles, and tiles of the same and of adjacent classes meet.
+        """
+        sizes = wanted.groupBy("component", "class").agg(F.count("*").alias("rows"))
+        # Tables of their own, so that joins with them can split a large component.
+        total = stored(wanted.groupBy("component").agg(F.count("*").alias("total")), "totals")
+        small = total.filter(F.col("total") <= self.tile).select("component")
+        zero = [F.lit(0).alias(c) for c in ("class", "i", "j")]
+        whole = wanted.join(small, "component").select(
+            "component", *zero, F.lit(0).alias("between"), "node", F.lit(0).alias("side")
+        )
+        tiles = sizes.join(total.filter(F.col("total") > self.tile), "component").select(
+            "component", "class", F.expr(f"cast((rows + {self.tile - 1}) div {self.tile} as int)").alias("n")
+        )
+        tiles = stored(tiles, "tiles")
+        placed = wanted.join(tiles, ["component", "class"]).withColumn(
+            "own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("n")).cast("int")
+        )
+        own, other = F.col("own"), F.col("other")
+        same = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
+            "component",
+            "class",
+            F.least(own, other).alias("i"),
+            F.greatest(own, other).alias("j"),
+            (own != other).cast("int").alias("between"),
+            "node",
+            (own > other).cast("int").alias("side"),
+        )
+        every = lambda: F.explode(F.sequence(F.lit(0), F.col("m") - 1))
+        above = tiles.select("component", (F.col("class") - 1).alias("class"), F.col("n").alias("m"))
+        up = placed.join(above, ["component", "class"]).withColumn("other", every())
+        up = up.select("component", "class", own.alias("i"), other.alias("j"), F.lit(2), "node", F.lit(0))
+        below = tiles.select("component", (F.col("class") + 1).alias("class"), F.col("n").alias("m"))
+        down = placed.join(below, ["component", "class"]).withColumn("other", every())
+        down = down.select(
+            "component", (F.col("class") - 1).alias("class"), other.alias("i"), own.alias("j"), F.lit(2), "node", F.lit(1)
         )
-        enough = F.col("common") * self.denominator >= (F.col("nx") + F.col("ny") - F.col("common")) * self.numerator
-        return stored(both.filter(enough).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
+        return whole.union(same).union(up).union(down)
 
     def _labelled(self, members: DataFrame, found: DataFrame) -> DataFrame:
         """Each document with the smallest `doc_id` it can reach."""
