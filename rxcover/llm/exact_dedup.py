@@ -29,9 +29,8 @@ def exact_groups(
     `prefix` characters. Only rows whose group has a second member have their
     full content hashed in the second pass; all others are unique. In a group of
     equal texts the row with the most code points stays, then the smallest
-    `doc_id`. Null `doc_id`s come last. Rows that agree in text, length and
-    `doc_id` (repeated rows) are the same document: each has `kept` true if that
-    document stays. An empty table gives an empty result.
+    `doc_id`; null `doc_id`s come last. Of rows that repeat both, any one stays.
+    Names of `carry` must not be those of the result. No rows give no rows.
 
     Groups are combined before every shuffle, so a text that makes up a third of
     all rows costs one row per task; the joins back are on counted keys and leave
@@ -60,10 +59,11 @@ def exact_groups(
             *carry,
             "_points",
             F.when(F.col("_crowded"), F.unhex(F.sha2("_text", 256))).alias("_hash"),
+            F.monotonically_increasing_id().alias("_id"),
         ),
         "hashed",
     )
-    first = F.struct((-F.col("_points")).alias("points"), F.col("doc_id").isNull().alias("none"), "doc_id")
+    first = F.struct((-F.col("_points")).alias("points"), F.col("doc_id").isNull().alias("none"), "doc_id", "_id")
     groups = (
         hashed.filter(F.col("_hash").isNotNull())
         .groupBy("_hash")
@@ -78,12 +78,11 @@ def exact_groups(
         .join(groups, "_hash", "left")
         .unionByName(alone, allowMissingColumns=True)
     )
-    same = (F.col("doc_id").eqNullSafe(F.col("_first.doc_id"))) & (F.col("_points") == -F.col("_first.points"))
     grouped = F.col("_first").isNotNull()
     return joined.select(
         "doc_id",
         F.when(grouped, F.col("_first.doc_id")).otherwise(F.col("doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        (~grouped | same).alias("kept"),
+        (~grouped | (F.col("_id") == F.col("_first._id"))).alias("kept"),
         *carry,
     )

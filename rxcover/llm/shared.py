@@ -47,9 +47,10 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def keep_ids(df: DataFrame, ids: DataFrame, key: str, count: int) -> DataFrame:
-    """Rows of `df` whose `key` is in `ids` (one column, `count` rows)."""
-    return df.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, key, "left_semi")
+def keep_ids(df: DataFrame, ids: DataFrame, key: str, count: int, anti: bool = False) -> DataFrame:
+    """Rows of `df` whose `key` is in `ids` (one column, `count` rows), or with `anti` the others."""
+    how = "left_anti" if anti else "left_semi"
+    return df.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, key, how)
 
 
 def remainder(column: str, divisor: int):
