@@ -15,6 +15,7 @@ from rxcover.llm import (
     mixing,
     ngram_join,
     quality,
+    secret_scan,
     token_files,
     toxicity,
     vector_dedup,
@@ -36,6 +37,10 @@ def op3_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.graded(docs, model)
 
 
+def op4_secret_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.scanned(table(spark, folder, "documents"))
+
+
 def op5_factorization_machine(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     labels = table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("target"))
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_projection_passes": op1_projection_passes,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_ordinal_quality": op3_ordinal_quality,
+    "op4_secret_forest": op4_secret_forest,
     "op5_factorization_machine": op5_factorization_machine,
     "op6_word_shuffle_bpe": op6_word_shuffle_bpe,
     "op7_language_filters": op7_language_filters,
