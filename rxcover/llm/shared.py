@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,18 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 2_000_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once, for those that cannot import it themselves."""
+    context = spark.sparkContext
+    if not getattr(context, "_rxcover_sent", False):
+        root = Path(__file__).resolve().parents[2]
+        archive = Path(tempfile.mkdtemp(prefix="rxcover-package-")) / "rxcover"
+        context.addPyFile(shutil.make_archive(str(archive), "zip", root, "rxcover"))
+        context._rxcover_sent = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
