@@ -5,7 +5,8 @@ pre-tokens once, by bucket of their hash, and its texts as positions in that
 list. A bucket meets the words of all blocks, encodes each distinct word once,
 and sends the ids back to the blocks, which put their texts together by
 position. A word shared by all texts is one entry per block, so frequent words
-weigh no more than others.
+weigh no more than others. The positions travel with the words, so the texts are
+read and cut once and nothing but the two shuffles is written.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rxcover.llm.pretokens import distinct, pieces
-from rxcover.llm.shared import stored
 from rxcover.llm.textvec import text_chunks
 
 BLOCK_BYTES = 8 << 20
@@ -93,6 +93,40 @@ def _unzip(raw: bytes) -> Iterator[np.ndarray]:
         at += 16 + size
 
 
+# Numbers below ONE take one byte, those below TWO two bytes, others five.
+ONE = 200
+TWO = ONE + 55 * 256
+
+
+def _zip_ranks(ranks: np.ndarray) -> bytes:
+    """Numbers of which small ones are frequent."""
+    packer = zstandard.ZstdCompressor(level=1)
+    ranks = ranks.astype("<u4")
+    two, more = (ranks >= ONE) & (ranks < TWO), ranks[ranks >= TWO]
+    first = np.where(two, ONE + ((ranks - ONE) >> 8), np.minimum(ranks, 255)).astype(np.uint8)
+    first[ranks >= TWO] = 255
+    second = ((ranks[two] - ONE) & 255).astype(np.uint8)
+    rest = np.ascontiguousarray(more.view(np.uint8).reshape(-1, 4).T)
+    bodies = [packer.compress(part.tobytes()) for part in (first, second, rest)]
+    sizes = [len(first), len(second), len(more), *map(len, bodies)]
+    return np.array(sizes, "<u8").tobytes() + b"".join(bodies)
+
+
+def _unzip_ranks(raw: bytes) -> np.ndarray:
+    sizes = np.frombuffer(raw, "<u8", 6).astype(int)
+    ends = 48 + np.cumsum(sizes[3:])
+    unpacker = zstandard.ZstdDecompressor()
+    first, second, rest = (
+        np.frombuffer(unpacker.decompress(raw[e - n : e], max_output_size=max(1, most)), np.uint8)
+        for e, n, most in zip(ends, sizes[3:], (sizes[0], sizes[1], 4 * sizes[2]))
+    )
+    ranks = first.astype("<u4")
+    two = (first >= ONE) & (first < 255)
+    ranks[two] = ONE + ((ranks[two] - ONE) << 8 | second)
+    ranks[first == 255] = np.ascontiguousarray(rest.reshape(4, -1).T).view("<u4").ravel()
+    return ranks
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows))
     kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
@@ -109,7 +143,7 @@ def gather(body: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 
 
 def _cut(buckets: int):
-    """Blocks: bucket -1 has the texts as positions in the block's list of words, the others have the words."""
+    """Blocks: the rows with `docs` have the texts as positions in the block's list of words, the others the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -132,7 +166,10 @@ def _cut(buckets: int):
             line = np.concatenate([rank[number[base : base + len(c[0])]][c[3]] for base, c in zip(bases, chunks)])
             per_text = np.concatenate([c[4] for c in chunks])
             bucket = (known[order] % np.uint64(buckets)).astype(np.int64)
-            out = [(block, -1, ids, _zip(per_text, bucket, line))]
+            # Goes through any bucket.
+            head = _zip(per_text, bucket)
+            texts = np.array([len(head)], "<u8").tobytes() + head + _zip_ranks(line)
+            out = [(block, block % buckets, ids, texts)]
             body = np.concatenate([c[1] for c in chunks])
             offsets = np.cumsum(sizes) - sizes
             first = first[order]
@@ -142,7 +179,7 @@ def _cut(buckets: int):
                 mine = first[dealt[edges[b] : edges[b + 1]]]
                 if len(mine):
                     letters = gather(body, offsets[mine], sizes[mine])
-                    out.append((block, b, None, _zip(sizes[mine], letters[: len(letters)])))
+                    out.append((block, b, None, _zip(sizes[mine], letters)))
             return _rows(out)
 
         for batch in batches:
@@ -167,14 +204,18 @@ def _cut(buckets: int):
 
 
 def _encode(prepare: Callable[[], Encoder], remembered: int):
-    """For each block and bucket, the ids of its words in the same order."""
+    """For each block and bucket, the ids of its words in the same order; rows with `docs` pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, known, bucket = prepare(), {}, None
         for batch in batches:
-            rows = zip(batch.column("block").to_pylist(), batch.column("bucket").to_pylist(), batch.column("payload").to_pylist())
+            blocks, buckets, payloads = (batch.column(c).to_pylist() for c in ("block", "bucket", "payload"))
+            passing = batch.column("docs").is_valid()
+            yield batch.filter(passing)
             out = []
-            for block, own, payload in rows:
+            for block, own, payload, passes in zip(blocks, buckets, payloads, passing.to_pylist()):
+                if passes:
+                    continue
                 if own != bucket or len(known) > remembered:
                     bucket, known = own, {}
                 sizes, letters = _unzip(payload)
@@ -193,7 +234,7 @@ def _encode(prepare: Callable[[], Encoder], remembered: int):
 
 
 def _assemble(end: int | None):
-    """From rows sorted by block and bucket: the ids of each text."""
+    """From rows sorted by block, the one with `docs` first, and bucket: the ids of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, counts, ids = None, [], []
@@ -228,15 +269,16 @@ def _assemble(end: int | None):
                 )
 
         for batch in batches:
-            for bucket, docs, payload in zip(
-                batch.column("bucket").to_pylist(), batch.column("docs"), batch.column("payload")
-            ):
-                if bucket < 0:
+            for docs, payload in zip(batch.column("docs"), batch.column("payload")):
+                raw = payload.as_py()
+                if docs.is_valid:
                     if texts is not None:
                         yield from flush()
-                    texts, counts, ids = (docs.as_py(), *_unzip(payload.as_py())), [], []
+                    size = int(np.frombuffer(raw, "<u8", 1)[0])
+                    head, ranks = _unzip(raw[8 : 8 + size]), _unzip_ranks(raw[8 + size :])
+                    texts, counts, ids = (docs.as_py(), *head, ranks), [], []
                 else:
-                    n, body = _unzip(payload.as_py())
+                    n, body = _unzip(raw)
                     counts.append(n)
                     ids.append(body)
         if texts is not None:
@@ -260,16 +302,21 @@ def encoded(
     and null `doc_id`s are kept as they are. No rows give no rows. Other columns
     are ignored.
 
-    The blocks are stored in the shared folder. A task holds one block, or the
-    words of one bucket up to `remembered`; give more `buckets` for more data.
+    A task holds one block, or the words of one bucket up to `remembered`; give
+    more `buckets` for more data. A block is what a task reads in a row, so `docs`
+    should come from files or a stored table, whose tasks read the same again.
     """
     buckets = buckets or min(4096, max(64, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = stored(rows.mapInArrow(_cut(buckets), _PACKED), "blocks", "uncompressed")
-    words = blocks.filter("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket", "block")
+    blocks = rows.mapInArrow(_cut(buckets), _PACKED)
+    words = blocks.repartition("bucket").sortWithinPartitions("bucket", "block")
     back = words.mapInArrow(_encode(prepare, remembered), _PACKED)
-    both = blocks.filter("bucket < 0").unionByName(back).repartition("block").sortWithinPartitions("block", "bucket")
-    return both.mapInArrow(_assemble(end), "doc_id long, n_tokens long, ids binary")
+    order = [F.col("block"), F.col("docs").isNull(), F.col("bucket")]
+    return (
+        back.repartition("block")
+        .sortWithinPartitions(*order)
+        .mapInArrow(_assemble(end), "doc_id long, n_tokens long, ids binary")
+    )
 
 
 def decoded(tokens: DataFrame, ranks: str) -> DataFrame:
