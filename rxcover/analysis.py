@@ -43,16 +43,16 @@ def get_date_range(months_back: int = 12, today: date | None = None) -> tuple[st
 
 
 class AdherenceAnalysis:
-    """Each method returns lazy DataFrames.
-
-    Only lookups run ahead: the size check of the concepts, and the drug medians
-    where they are used.
-    """
+    """Each method returns lazy DataFrames; building one starts no job."""
 
     def __init__(self, tables: CdmTables, profile: Profile | str = "merge"):
         self.tables = tables
         self.profile = PROFILES[profile] if isinstance(profile, str) else profile
 
+    def get_adjusted_fills(self, start: Day, end: Day, filter_drug_type: bool | None = None) -> DataFrame:
+        """Every fill with the previous fill's end and the days it adds beyond it."""
+        return gaps.adjusted_fills(self._fills(start, end, filter_drug_type))
+
     def _fills(self, start: Day, end: Day, filter_drug_type: bool | None) -> DataFrame:
         dispensed_only = self.profile.dispensed_only if filter_drug_type is None else filter_drug_type
         return exposures.coverage_fills(self.tables.drug_exposure, start, end, dispensed_only, self.profile.impute)
@@ -86,7 +86,7 @@ class AdherenceAnalysis:
             profile.avg_gap,
         )
         if not profile.enriched:
-            return enrich.attach_drug_names(pdc, tables.concept, tables.drug_exposure)
+            return enrich.attach_drug_names(pdc, tables.concept)
         return enrich.enrich_pdc(
             pdc,
             tables.concept,
@@ -94,7 +94,6 @@ class AdherenceAnalysis:
             tables.condition_occurrence,
             until=end,
             as_of=as_of,
-            used_by=tables.drug_exposure,
             keep_unmapped=keep_unmapped,
         )
 
@@ -105,7 +104,7 @@ class AdherenceAnalysis:
         found = gaps.consecutive_gaps(
             self._fills(start, end, filter_drug_type), min_gap_days, self.profile.clamp_gaps, self.profile.full_gaps
         )
-        return enrich.attach_drug_names(found, self.tables.concept, self.tables.drug_exposure, with_class=False)
+        return enrich.attach_drug_names(found, self.tables.concept, with_class=False)
 
     def get_summary_statistics(
         self, start: Day, end: Day, pdc_threshold: Decimal | float | str = PDC_THRESHOLD

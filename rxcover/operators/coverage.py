@@ -58,8 +58,8 @@ def merge_steps(fills: DataFrame) -> DataFrame:
 def merged_periods(fills: DataFrame) -> DataFrame:
     """Union of overlapping or adjacent fills, one row per coverage period.
 
-    `repeats` is 1 except for fills with reversed dates that occur several
-    times with the same dates, where the row stands for that many periods.
+    Fills with reversed dates that occur several times with the same dates are
+    as many periods of one fill each.
     """
     so_far = (
         Window.partitionBy(*PATIENT_DRUG)
@@ -69,15 +69,21 @@ def merged_periods(fills: DataFrame) -> DataFrame:
     numbered = merge_steps(fills).withColumn(
         "coverage_group", F.sum(F.when(F.col("starts_period"), F.col("repeats")).otherwise(_zero())).over(so_far)
     )
-    return (
-        numbered.groupBy(*PATIENT_DRUG, "coverage_group")
-        .agg(
-            F.min("start_date").alias("period_start"),
-            F.max("end_date").alias("period_end"),
-            F.sum("num_fills").alias("num_fills"),
-            F.max("repeats").alias("repeats"),
-        )
-        .withColumn("days_covered", durations.days_between(F.col("period_end"), F.col("period_start")) + 1)
+    periods = numbered.groupBy(*PATIENT_DRUG, "coverage_group").agg(
+        F.min("start_date").alias("period_start"),
+        F.max("end_date").alias("period_end"),
+        F.sum("num_fills").alias("num_fills"),
+        F.max("repeats").alias("repeats"),
+    )
+    # A row that stands for several periods carries the number of the last one.
+    copies = F.explode(F.sequence(F.col("repeats") - 1, F.lit(0).cast("bigint"), F.lit(-1).cast("bigint")))
+    return periods.withColumn("later", copies).select(
+        *PATIENT_DRUG,
+        (F.col("coverage_group") - F.col("later")).alias("coverage_group"),
+        "period_start",
+        "period_end",
+        (F.col("num_fills") / F.col("repeats")).cast("bigint").alias("num_fills"),
+        (durations.days_between(F.col("period_end"), F.col("period_start")) + 1).alias("days_covered"),
     )
 
 

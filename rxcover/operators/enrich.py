@@ -14,7 +14,6 @@ NO_CONDITION = "No Condition Recorded"
 def attach_drug_names(
     results: DataFrame,
     concept: DataFrame,
-    used_by: DataFrame | None = None,
     with_class: bool = True,
     drugs_only: bool = False,
     keep_unmapped: bool = False,
@@ -33,7 +32,7 @@ def attach_drug_names(
         *(["concept_class_id"] if with_class else []),
     )
     how = "inner" if drugs_only and not keep_unmapped else "left"
-    named = attach_lookup(results, names, "drug_concept_id", how, used_by)
+    named = attach_lookup(results, names, "drug_concept_id", how)
     if drugs_only:
         named = named.withColumn("drug_name", F.coalesce("drug_name", F.lit(UNKNOWN_DRUG)))
     rest = [c for c in results.columns if c not in ("person_id", "drug_concept_id")]
@@ -56,7 +55,7 @@ def condition_counts(condition_occurrence: DataFrame, concept: DataFrame, until:
     conditions = concept.filter((F.col("domain_id") == "Condition") & F.col("concept_name").isNotNull()).select(
         F.col("concept_id").alias("condition_concept_id"), "concept_name"
     )
-    named = attach_lookup(counts, conditions, "condition_concept_id", "inner", used_by=condition_occurrence)
+    named = attach_lookup(counts, conditions, "condition_concept_id", "inner")
     return named.select("person_id", "condition_concept_id", "concept_name", "occurrence_count")
 
 
@@ -97,11 +96,10 @@ def enrich_pdc(
     condition_occurrence: DataFrame,
     until: date | str,
     as_of: date | str | None = None,
-    used_by: DataFrame | None = None,
     keep_unmapped: bool = False,
 ) -> DataFrame:
     """PDC results with drug, age and conditions; drugs outside the drug domain are dropped."""
-    named = attach_drug_names(pdc, concept, used_by, drugs_only=True, keep_unmapped=keep_unmapped)
+    named = attach_drug_names(pdc, concept, drugs_only=True, keep_unmapped=keep_unmapped)
     summary = condition_summary(condition_counts(condition_occurrence, concept, until))
     full = attach_conditions(attach_age(named, person, as_of), summary)
     added = ["age", "primary_condition", "comorbidity_count"]

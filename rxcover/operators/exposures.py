@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from rxcover.functions import durations
 from rxcover.operators.lookup import attach_lookup
 from rxcover.schema import DAYS_PER_MONTH, DISPENSED_TYPES
-from rxcover.session import materialize
 
 CHRONOLOGICAL = ["person_id", "drug_concept_id", "start_date", "drug_exposure_id"]
 
@@ -46,8 +45,7 @@ def drug_median_supply(drug_exposure: DataFrame) -> DataFrame:
 
 
 def attach_median_supply(fills: DataFrame, drug_exposure: DataFrame) -> DataFrame:
-    medians = materialize(drug_median_supply(drug_exposure))
-    return attach_lookup(fills, medians, "drug_concept_id")
+    return attach_lookup(fills, drug_median_supply(drug_exposure), "drug_concept_id")
 
 
 def _source_columns(fills: DataFrame) -> dict:
@@ -95,7 +93,7 @@ def drug_exposures(
     """Fill listing with calculated end date and days covered.
 
     `impute` adds the drug's median days_supply and the imputation method.
-    `limit` keeps the first rows by person, drug, start and id.
+    `limit` keeps the first rows by person, drug, start, id and the other columns.
     """
     fills = coverage_fills(drug_exposure, start, end, dispensed_only, impute)
     source = _source_columns(fills)
@@ -116,5 +114,8 @@ def drug_exposures(
         columns.insert(9, "median_days_supply")
         columns.append(durations.imputation_method(**source).alias("imputation_method"))
     listing = fills.select(*columns)
-    return listing if limit is None else listing.orderBy(*CHRONOLOGICAL).limit(limit)
+    if limit is None:
+        return listing
+    rest = [c for c in listing.columns if c not in CHRONOLOGICAL]
+    return listing.orderBy(*CHRONOLOGICAL, *rest).limit(limit)
 

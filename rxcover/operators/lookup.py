@@ -1,40 +1,13 @@
 """Left and inner joins of large facts to a lookup table with one row per key."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from rxcover.session import materialize
 
-# A lookup row is an id with at most two names, so this stays near 100 MB.
-MAX_BROADCAST_ROWS = 500_000
-SALTS = 64
+def attach_lookup(facts: DataFrame, lookup: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Join `lookup` (unique on `key`) to `facts`.
 
-
-def attach_lookup(
-    facts: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    how: str = "left",
-    used_by: DataFrame | None = None,
-    max_rows: int = MAX_BROADCAST_ROWS,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join `lookup` (unique on `key`) to `facts` without shuffling facts on a skewed key.
-
-    The lookup is broadcast only after its rows have been counted. If it is
-    too large it is first narrowed to the keys that occur in `used_by` and
-    counted again. Past the bound, each lookup row is copied once per salt and
-    facts join on (key, salt), so a key with most of the rows spreads over
-    `salts` tasks.
+    Nothing runs here, and nothing depends on a size known beforehand: adaptive
+    execution broadcasts the lookup if it turns out small, and otherwise splits
+    the facts of a frequent key by their real size.
     """
-    if lookup.count() <= max_rows:
-        return facts.join(F.broadcast(lookup), key, how)
-    if used_by is not None:
-        used = used_by.select(key).distinct()
-        lookup = materialize(lookup.join(used, key, "left_semi"))
-        if lookup.count() <= max_rows:
-            return facts.join(F.broadcast(lookup), key, how)
-    spread = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    row_hash = F.xxhash64(*[c for c, kind in facts.dtypes if not kind.startswith("map")])
-    salted = facts.withColumn("_salt", F.pmod(row_hash, F.lit(salts)).cast("int"))
-    return salted.join(spread, [key, "_salt"], how).drop("_salt")
+    return facts.join(lookup, key, how)

@@ -76,28 +76,37 @@ def column_null_counts(df: DataFrame) -> DataFrame:
 
 
 def describe_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, mean, deviation, exact quartiles and range of integer columns, one row each."""
-    stats = df.agg(
-        *[
-            F.struct(
-                F.count(c).alias("count"),
-                F.avg(c).alias("mean"),
-                F.stddev(c).alias("std"),
-                F.min(c).cast("double").alias("min"),
-                F.percentile(c, [0.25, 0.5, 0.75]).alias("quartiles"),
-                F.max(c).cast("double").alias("max"),
-            ).alias(c)
-            for c in columns
-        ]
+    """Count, mean, deviation, exact quartiles and range of integer columns, one row each.
+
+    Values are counted first, combined before the shuffle; what meets in one task
+    is a row per distinct value. Sums are exact decimals, so the deviation does
+    not depend on the order of summation.
+    """
+    values = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("bigint").alias("x")) for c in columns])
+    counts = df.select(F.explode(values).alias("v")).groupBy("v.column_name", "v.x").agg(F.count("*").alias("n"))
+    wide = "decimal(38,0)"
+    x, n = F.col("x").cast("decimal(19,0)"), F.col("n").cast("decimal(19,0)")
+    rows = F.coalesce(F.sum(F.when(F.col("x").isNotNull(), F.col("n"))), F.lit(0).cast("bigint"))
+    total = F.sum((x * n).cast(wide)).cast("double")
+    squares = F.sum(((x * x).cast(wide) * n).cast(wide)).cast("double")
+    number = F.col("count").cast("double")
+    variance = (F.col("squares") - F.col("total") * F.col("total") / number) / (number - 1)
+    stats = counts.groupBy("column_name").agg(
+        rows.alias("count"),
+        total.alias("total"),
+        squares.alias("squares"),
+        F.min("x").cast("double").alias("min"),
+        F.percentile("x", [0.25, 0.5, 0.75], F.col("n")).alias("quartiles"),
+        F.max("x").cast("double").alias("max"),
     )
-    return stats.unpivot([], columns, "column_name", "s").select(
+    return stats.select(
         "column_name",
-        "s.count",
-        "s.mean",
-        "s.std",
-        "s.min",
-        *[F.col("s.quartiles")[i].alias(name) for i, name in enumerate(("q25", "q50", "q75"))],
-        "s.max",
+        "count",
+        (F.col("total") / F.nullif(number, F.lit(0.0))).alias("mean"),
+        F.when(F.col("count") > 1, F.sqrt(F.greatest(variance, F.lit(0.0)))).alias("std"),
+        "min",
+        *[F.col("quartiles")[i].alias(name) for i, name in enumerate(("q25", "q50", "q75"))],
+        "max",
     )
 
 
@@ -109,8 +118,9 @@ def exposure_profile(exposures: DataFrame) -> DataFrame:
 
 
 def latest_exposures(drug_exposure: DataFrame, limit: int = 10) -> DataFrame:
-    """Newest fills by start date, then smallest id."""
-    return drug_exposure.orderBy(F.desc(START), "drug_exposure_id").limit(limit)
+    """Newest fills by start date, then smallest id, then the other columns."""
+    rest = [c for c in drug_exposure.columns if c not in (START, "drug_exposure_id")]
+    return drug_exposure.orderBy(F.desc(START), "drug_exposure_id", *rest).limit(limit)
 
 
 def zero_row_diagnosis(drug_exposure: DataFrame, start: date | str, end: date | str) -> DataFrame:

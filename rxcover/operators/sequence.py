@@ -1,25 +1,24 @@
 """Numbering the fills of a patient-drug and looking at their neighbours.
 
-An ordinary window sends a whole patient-drug to one task. Here a patient-drug
-with more than `hot_rows` fills is cut into slices that follow the sort order,
-in levels: start day, end day where the order uses it, region of ids, block of
-2**block_bits ids in a region. Ids are unique, so a block cannot hold more fills
-than ids, however the ids are spread; a region has at most as many blocks, and a
-day at most 2**(64 - 2 * block_bits) regions. Values at the slice edges are
-passed on through one small summary row per slice, level by level, so that no
-window or join key ever meets more rows than these bounds.
+An ordinary window would send a whole patient-drug to one task. Here its fills
+are cut along the sort order into slices: by start day, by end day where the
+order uses it, and by block of 2**block_bits ids. Rows are numbered within their
+slice; one summary row per slice carries the number of fills before it and its
+neighbours across the edges. A patient-drug therefore meets in one task with one
+row per slice, and a slice holds the fills of one day whose ids lie in a block.
+Every table takes this way, so the plan does not depend on sizes. It costs a
+window over the slices and a join back beside the window over the rows; the rows
+are read and shuffled once, as both sides of the join use the same exchange.
 """
 
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rxcover.schema import PATIENT_DRUG
 
-# Bounds a slice and, as no more than rows / HOT_ROWS groups can be hot, the broadcast list of them.
-HOT_ROWS = 1_000_000
 BLOCK_BITS = 20
 
 
@@ -29,37 +28,30 @@ def sequence_fills(
     by_end: bool = False,
     previous: dict[str, str] | None = None,
     following: dict[str, str] | None = None,
-    hot_rows: int = HOT_ROWS,
     block_bits: int = BLOCK_BITS,
 ) -> DataFrame:
     """Add the fill's position and columns of its neighbours, in order of start date
-    (then end date if `by_end`), then id.
+    (then end date if `by_end`), then id, then all other columns (nulls first).
 
     `previous` and `following` map each new column to the neighbour's column.
+    Only fills that agree in every column are interchangeable. Fills without a
+    person, drug, id or start date (or end date if `by_end`) are left out.
     """
     previous, following = previous or {}, following or {}
     order = ["start_date", *(["end_date"] if by_end else []), "drug_exposure_id"]
-    hot = (
-        fills.groupBy(*PATIENT_DRUG)
-        .agg(F.count("*").alias("rows"))
-        .filter(F.col("rows") > hot_rows)
-        .select(*PATIENT_DRUG, F.lit(True).alias("_hot"))
-    )
+    order += [c for c in fills.columns if c not in (*order, *PATIENT_DRUG)]
     slices = {
         "_day": F.col("start_date"),
         **({"_end": F.col("end_date")} if by_end else {}),
-        "_region": F.shiftright("drug_exposure_id", 2 * block_bits),
         "_block": F.shiftright("drug_exposure_id", block_bits),
     }
-    sliced = fills.join(F.broadcast(hot), PATIENT_DRUG, "left").withColumns(
-        {name: F.when(F.col("_hot"), value) for name, value in slices.items()}
-    )
+    keys = [*PATIENT_DRUG, *slices]
     carried = F.struct(*dict.fromkeys([*order, *previous.values(), *following.values()]))
-    # Naming every slice column here keeps the input of all levels equal, so that it is read and shuffled once.
-    known = [F.col(name).isNotNull() for name in slices]
-    edges = _slice_edges(sliced.filter(reduce(and_, known, F.col("_hot"))), list(slices), carried)
-
-    in_slice = Window.partitionBy(*PATIENT_DRUG, *slices).orderBy(*order)
+    in_slice = Window.partitionBy(*keys).orderBy(*order)
+    whole_slice = in_slice.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # Stated for both sides of the join below, so that neither gets filters of its own and they share one exchange.
+    known = reduce(and_, [F.col(key).isNotNull() for key in keys])
+    sliced = fills.withColumns(slices).filter(known)
     local = sliced.withColumns(
         {
             number: F.row_number().over(in_slice).cast("bigint"),
@@ -67,51 +59,27 @@ def sequence_fills(
             **{name: F.lead(column).over(in_slice) for name, column in following.items()},
         }
     )
-    joined = local.join(edges, [*PATIENT_DRUG, *slices], "left")
-    return joined.select(
+    summary = (
+        sliced.withColumns(
+            {
+                "_place": F.row_number().over(in_slice),
+                "_rows": F.count("*").over(whole_slice),
+                "_tail": F.last(carried).over(whole_slice),
+            }
+        )
+        .filter("_place = 1")
+        .select(*keys, "_rows", carried.alias("_head"), "_tail")
+    )
+    along = Window.partitionBy(*PATIENT_DRUG).orderBy(*slices)
+    edges = summary.select(
+        *keys,
+        F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.lag("_tail").over(along).alias("_last"),
+        F.lead("_head").over(along).alias("_first"),
+    )
+    return local.join(edges, keys).select(
         *fills.columns,
-        (F.col(number) + F.coalesce(F.col("_rows_before"), F.lit(0).cast("bigint"))).alias(number),
+        (F.col(number) + F.coalesce(F.col("_before"), F.lit(0).cast("bigint"))).alias(number),
         *[F.coalesce(F.col(name), F.col(f"_last.{column}")).alias(name) for name, column in previous.items()],
         *[F.coalesce(F.col(name), F.col(f"_first.{column}")).alias(name) for name, column in following.items()],
     )
-
-
-def _slice_edges(hot_fills: DataFrame, levels: list[str], carried: Column) -> DataFrame:
-    """Per slice: fills before it, the last fill before it and the first after it."""
-    keys = [[*PATIENT_DRUG, *levels[:depth]] for depth in range(1, len(levels) + 1)]
-    summary = hot_fills.groupBy(*keys[-1]).agg(
-        F.count("*").alias("rows"), F.min(carried).alias("first"), F.max(carried).alias("last")
-    )
-    summaries = [summary]
-    for key in reversed(keys[:-1]):
-        summary = summary.groupBy(*key).agg(
-            F.sum("rows").alias("rows"), F.min("first").alias("first"), F.max("last").alias("last")
-        )
-        summaries.insert(0, summary)
-
-    edges = _edges_within(summaries[0], keys[0])
-    for key, summary in zip(keys[1:], summaries[1:]):
-        outer = edges.withColumnsRenamed({"_rows_before": "outer_rows", "_last": "outer_last", "_first": "outer_first"})
-        edges = (
-            _edges_within(summary, key)
-            .join(outer, key[:-1])
-            .select(
-                *key,
-                (F.col("_rows_before") + F.col("outer_rows")).alias("_rows_before"),
-                F.coalesce("_last", "outer_last").alias("_last"),
-                F.coalesce("_first", "outer_first").alias("_first"),
-            )
-        )
-    return edges
-
-
-def _edges_within(summary: DataFrame, key: list[str]) -> DataFrame:
-    """The same, looking only at slices that share all but the last level."""
-    siblings = Window.partitionBy(*key[:-1]).orderBy(key[-1])
-    earlier = F.sum("rows").over(siblings.rowsBetween(Window.unboundedPreceding, -1))
-    return summary.select(
-        *key,
-        F.coalesce(earlier, F.lit(0).cast("bigint")).alias("_rows_before"),
-        F.lag("last").over(siblings).alias("_last"),
-        F.lead("first").over(siblings).alias("_first"),
-    )

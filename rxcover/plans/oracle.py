@@ -19,11 +19,14 @@ def _fold(day: str) -> str:
 # The derived CDM tables.
 CDM = {
     "drug_exposure": f"""
-        SELECT ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS drug_exposure_id,
+        SELECT l_orderkey * 8 + l_linenumber AS drug_exposure_id,
                o_custkey AS person_id,
                CASE WHEN l_orderkey < 5 THEN 8 WHEN l_orderkey < 35 THEN 9 ELSE l_partkey % 8 END AS drug_concept_id,
-               {_fold("l_shipdate")} AS drug_exposure_start_date,
-               CASE WHEN l_linenumber = 1
+               CASE WHEN l_linenumber <> 7 OR l_suppkey % 9 <> 8 THEN {_fold("l_shipdate")} END
+                 AS drug_exposure_start_date,
+               CASE WHEN l_linenumber = 1 AND (l_partkey % 16 = 3 OR o_custkey % 10 = 4)
+                    THEN {_fold("l_shipdate")} - CAST(2 + l_partkey % 3 AS INTEGER)
+                    WHEN l_linenumber = 1
                     THEN {_fold("l_shipdate")} + CAST(l_quantity * 4 - 1 AS INTEGER) END AS drug_exposure_end_date,
                CASE WHEN l_partkey % 8 = 5 THEN NULL
                     WHEN l_linenumber IN (2, 3) THEN 30 * (1 + l_suppkey % 4)
@@ -36,12 +39,13 @@ CDM = {
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "concept": """
         SELECT CASE WHEN p_partkey % 10 = 7 THEN 70 ELSE p_partkey % 10 END AS concept_id,
-               arg_min(p_name, p_partkey) AS concept_name,
+               CASE WHEN p_partkey % 10 <> 4 THEN arg_min(p_name, p_partkey) END AS concept_name,
                arg_min(p_type, p_partkey) AS concept_class_id,
                CASE WHEN p_partkey % 10 = 6 THEN 'Device' ELSE 'Drug' END AS domain_id
         FROM part GROUP BY p_partkey % 10
         UNION ALL
-        SELECT CASE WHEN n_nationkey < 6 THEN 1000 ELSE 2000 END + n_nationkey, n_name, 'Clinical Finding',
+        SELECT CASE WHEN n_nationkey < 6 THEN 1000 ELSE 2000 END + n_nationkey,
+               CASE WHEN n_nationkey <> 2 THEN n_name END, 'Clinical Finding',
                CASE WHEN n_nationkey = 5 THEN 'Observation' ELSE 'Condition' END
         FROM nation""",
     "person": """
@@ -110,7 +114,7 @@ GROUPED = """
 PERIODS = """
     SELECT person_id, drug_concept_id, CAST(coverage_group AS BIGINT) AS coverage_group,
            min(start_date) AS period_start, max(end_date) AS period_end, count(*) AS num_fills,
-           CAST(1 AS BIGINT) AS repeats, date_diff('day', min(start_date), max(end_date)) + 1 AS days_covered
+           date_diff('day', min(start_date), max(end_date)) + 1 AS days_covered
     FROM grouped GROUP BY person_id, drug_concept_id, coverage_group"""
 
 PERIOD_GAPS = """
@@ -118,6 +122,12 @@ PERIOD_GAPS = """
     FROM (SELECT *, lead(period_start) OVER (PARTITION BY person_id, drug_concept_id ORDER BY coverage_group)
                  AS next_period_start FROM periods)"""
 
+def _lagged(median: bool = False) -> str:
+    known = "WHEN median_days_supply IS NOT NULL THEN median_days_supply" if median else ""
+    supply = f"CASE WHEN days_supply > 0 THEN days_supply WHEN refills > 0 THEN refills * 30 {known} ELSE 30 END"
+    return LAGGED.replace("{EFFECTIVE_SUPPLY}", supply)
+
+
 LAGGED = """
     SELECT *, CASE WHEN start_date > prev_end_date THEN date_diff('day', prev_end_date, start_date) - 1 ELSE 0 END
                  AS gap_days,
@@ -125,8 +135,10 @@ LAGGED = """
                  AS overlap_days,
            CASE WHEN start_date <= prev_end_date THEN greatest(0, date_diff('day', prev_end_date, end_date))
                 ELSE date_diff('day', start_date, end_date) + 1 END AS adjusted_days_covered
-    FROM (SELECT *, lag(end_date) OVER w AS prev_end_date, row_number() OVER w AS fill_number FROM fills
-          WINDOW w AS (PARTITION BY person_id, drug_concept_id ORDER BY start_date, end_date, drug_exposure_id))"""
+    FROM (SELECT *, lag(end_date) OVER w AS prev_end_date, row_number() OVER w AS fill_number
+          FROM (SELECT *, {EFFECTIVE_SUPPLY} AS effective_supply FROM fills)
+          WINDOW w AS (PARTITION BY person_id, drug_concept_id
+                       ORDER BY start_date, end_date, drug_exposure_id, effective_supply))"""
 
 TOTAL_COLUMNS = """
     sum(CASE WHEN gap_days > 0 THEN 1 ELSE 0 END)::BIGINT AS num_gaps,
@@ -146,12 +158,13 @@ LAG_TOTALS = f"""
            min(start_date) AS first_exposure_date, max(end_date) AS last_exposure_date
     FROM lagged GROUP BY person_id, drug_concept_id"""
 
-# Half-up rounding in whole ten-thousandths.
+# Rounding in whole ten-thousandths, halves away from 0.
 SCORED = """
     SELECT *, units / 10000.0::DOUBLE AS pdc,
            CASE WHEN units >= 8000 THEN 'Adherent' WHEN units >= 7000 THEN 'Moderately Adherent'
                 ELSE 'Non-Adherent' END AS adherence_status
-    FROM (SELECT *, (2 * total_days_covered * 10000 + treatment_duration) // (2 * treatment_duration) AS units
+    FROM (SELECT *, sign(total_days_covered) * ((2 * abs(total_days_covered) * 10000 + treatment_duration)
+                                               // (2 * treatment_duration)) AS units
           FROM totals WHERE treatment_duration >= 30)"""
 
 NAMED = """
@@ -178,7 +191,8 @@ def _measured(clamp: bool) -> str:
         SELECT *, {gap} AS gap_days
         FROM (SELECT *, lead(start_date) OVER w AS next_start_date, lead(drug_exposure_id) OVER w AS next_exposure_id,
                      row_number() OVER w AS fill_sequence FROM fills
-              WINDOW w AS (PARTITION BY person_id, drug_concept_id ORDER BY start_date, drug_exposure_id))"""
+              WINDOW w AS (PARTITION BY person_id, drug_concept_id
+                           ORDER BY start_date, drug_exposure_id, end_date, days_supply NULLS FIRST, quantity))"""
 
 
 CONDITION_COUNTS = f"""
@@ -301,7 +315,8 @@ HISTOGRAM = """
 def _describe(column: str) -> str:
     return f"""
         SELECT '{column}' AS column_name, count({column}) AS count, sum({column})::DOUBLE / count({column}) AS mean,
-               round(stddev_samp({column}), 6) AS std, min({column})::DOUBLE AS min,
+               sqrt(greatest(0, (sum({column}::HUGEINT * {column})::DOUBLE - sum({column})::DOUBLE * sum({column})::DOUBLE
+                                 / count({column})::DOUBLE) / (count({column})::DOUBLE - 1))) AS std, min({column})::DOUBLE AS min,
                quantile_cont({column}, 0.25)::DOUBLE AS q25, quantile_cont({column}, 0.5)::DOUBLE AS q50,
                quantile_cont({column}, 0.75)::DOUBLE AS q75, max({column})::DOUBLE AS max
         FROM listing"""
@@ -342,11 +357,23 @@ def oracle_sql() -> dict[str, str]:
         "coverage_gaps": _merge("SELECT * FROM period_gaps"),
         "lag_fill_detail": _with(
             """SELECT person_id, drug_concept_id, drug_exposure_id, start_date, end_date,
-                      CASE WHEN days_supply > 0 THEN days_supply WHEN refills > 0 THEN refills * 30 ELSE 30 END
-                        AS days_supply,
-                      fill_number, prev_end_date, gap_days, overlap_days, adjusted_days_covered FROM lagged""",
+                      effective_supply AS days_supply, fill_number, prev_end_date, gap_days, overlap_days, adjusted_days_covered FROM lagged""",
             fills=_fills(),
-            lagged=LAGGED,
+            lagged=_lagged(),
+        ),
+        "lag_fill_detail_imputed": _with(
+            """SELECT person_id, drug_concept_id, drug_exposure_id, start_date, end_date,
+                      CAST(effective_supply AS DOUBLE) AS days_supply, fill_number, prev_end_date, gap_days,
+                      overlap_days, adjusted_days_covered FROM lagged""",
+            medians=MEDIANS,
+            fills=IMPUTED_FILLS,
+            lagged=_lagged(median=True),
+        ),
+        "exposures_limited": _with(
+            f"""SELECT * FROM ({EXPOSURES})
+                ORDER BY person_id, drug_concept_id, start_date, drug_exposure_id, drug_exposure_end_date NULLS FIRST,
+                         days_supply NULLS FIRST, refills NULLS FIRST, quantity, drug_type_concept_id,
+                         calculated_end_date, days_covered LIMIT 1000"""
         ),
         "pdc_merge": _merge(f"SELECT {PDC_COLUMNS} FROM pdc"),
         "pdc_merge_all": _merge(f"SELECT {PDC_COLUMNS} FROM pdc", "TRUE"),
@@ -357,13 +384,13 @@ def oracle_sql() -> dict[str, str]:
         "pdc_lag": _with(
             f"SELECT {LAG_COLUMNS} FROM pdc",
             fills=_fills(),
-            lagged=LAGGED,
+            lagged=_lagged(),
             totals=LAG_TOTALS,
             scored=SCORED,
             pdc=NAMED,
         ),
         "pdc_lag_enriched": _with(
-            f"""SELECT {LAG_COLUMNS.replace("concept_name, ", "").replace(" pdc,", " least(pdc, 1.0) AS pdc,")},
+            f"""SELECT {LAG_COLUMNS.replace("concept_name, ", "").replace(" pdc,", " greatest(least(pdc, 1.0), 0.0) AS pdc,")},
                        {AS_OF[:4]} - year_of_birth AS age,
                        coalesce(primary_condition_name, 'No Condition Recorded') AS primary_condition,
                        coalesce(total_conditions, 0) AS comorbidity_count
@@ -373,7 +400,7 @@ def oracle_sql() -> dict[str, str]:
                 LEFT JOIN person USING (person_id) LEFT JOIN condition_summary USING (person_id)""",
             medians=MEDIANS,
             fills=IMPUTED_FILLS,
-            lagged=LAGGED,
+            lagged=_lagged(median=True),
             totals=LAG_TOTALS,
             scored=SCORED,
             condition_counts=CONDITION_COUNTS,

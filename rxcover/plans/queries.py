@@ -52,12 +52,14 @@ BUILDERS: dict[str, Callable[[CdmTables], DataFrame]] = {
     "exposures_base": _exposures,
     "exposures_coverage": _coverage_listing,
     "exposures_imputed": lambda t: _exposures(t, "enriched"),
+    "exposures_limited": lambda t: AdherenceAnalysis(t, "merge").get_drug_exposures(*WINDOW, limit=1000),
     "drug_median_supply": lambda t: exposures.drug_median_supply(t.drug_exposure),
     "recent_exposures": lambda t: exposures.recent_exposures(t.drug_exposure, 6, AS_OF),
     # coverage and adherence
     "merged_periods": lambda t: coverage.merged_periods(_fills(t)),
     "coverage_gaps": lambda t: coverage.coverage_gaps(_fills(t)),
     "lag_fill_detail": lambda t: gaps.adjusted_fills(_fills(t, dispensed_only=False)),
+    "lag_fill_detail_imputed": lambda t: AdherenceAnalysis(t, "enriched").get_adjusted_fills(*WINDOW),
     "pdc_merge": _pdc,
     "pdc_merge_all": lambda t: _pdc(t, "merge"),
     "pdc_merge_avg_gap": lambda t: _pdc(t, "script"),
@@ -102,9 +104,7 @@ BUILDERS: dict[str, Callable[[CdmTables], DataFrame]] = {
     "drug_type_counts": lambda t: quality.drug_type_counts(t.drug_exposure),
     "null_profile": lambda t: quality.null_profile(t.drug_exposure),
     "column_null_counts": lambda t: quality.column_null_counts(_exposures(t)),
-    "exposure_describe": lambda t: _rounded(
-        quality.describe_numbers(_exposures(t), ["days_supply", "days_covered"]), "std"
-    ),
+    "exposure_describe": lambda t: quality.describe_numbers(_exposures(t), ["days_supply", "days_covered"]),
     "exposure_profile": lambda t: quality.exposure_profile(_exposures(t)),
     "latest_exposures": lambda t: quality.latest_exposures(t.drug_exposure),
     "zero_row_diagnosis": lambda t: quality.zero_row_diagnosis(t.drug_exposure, *WINDOW),

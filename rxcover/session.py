@@ -1,8 +1,6 @@
-"""Session settings and the checkpoint folder."""
+"""Session settings."""
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -23,20 +21,3 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` once to the checkpoint folder and read it from there.
-
-    The folder is the cluster's `spark.checkpoint.dir`. Only a local session
-    that has none gets a temporary one.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if configured is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-            configured = tempfile.mkdtemp(prefix="rxcover-checkpoint-")
-        context.setCheckpointDir(configured)
-    return df.checkpoint()

@@ -1,7 +1,9 @@
 """CDM tables derived from an order/line-item star schema.
 
 Every row of the source tables is used. Remainders only decide which rule a row
-follows, so that missing values, unknown drugs and unlinked persons all occur.
+follows, so that missing values, unknown drugs, unlinked persons and reversed
+dates all occur. Ids follow the order and line number, so they repeat where those
+do; operators that order by id go on to the other columns.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +34,14 @@ def _fold(day: str) -> str:
 
 def _drug_exposure(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     fills = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
-        "((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS drug_exposure_id",
+        "l_orderkey * 8 + l_linenumber AS drug_exposure_id",
         "o_custkey AS person_id",
         "CASE WHEN l_orderkey < 5 THEN 8 WHEN l_orderkey < 35 THEN 9 ELSE l_partkey % 8 END AS drug_concept_id",
-        f"{_fold('l_shipdate')} AS drug_exposure_start_date",
-        f"CASE WHEN l_linenumber = 1 THEN date_add({_fold('l_shipdate')}, CAST(l_quantity * 4 - 1 AS INT)) END "
+        f"CASE WHEN l_linenumber <> 7 OR l_suppkey % 9 <> 8 THEN {_fold('l_shipdate')} END "
+        "AS drug_exposure_start_date",
+        "CASE WHEN l_linenumber = 1 AND (l_partkey % 16 = 3 OR o_custkey % 10 = 4) "
+        f"THEN date_sub({_fold('l_shipdate')}, CAST(2 + l_partkey % 3 AS INT)) "
+        f"WHEN l_linenumber = 1 THEN date_add({_fold('l_shipdate')}, CAST(l_quantity * 4 - 1 AS INT)) END "
         "AS drug_exposure_end_date",
         "CASE WHEN l_partkey % 8 = 5 THEN NULL WHEN l_linenumber IN (2, 3) THEN 30 * (1 + l_suppkey % 4) "
         "WHEN l_linenumber = 4 THEN 0 END AS days_supply",
@@ -52,21 +57,21 @@ def _concept(part: DataFrame, nation: DataFrame) -> DataFrame:
     """Ten drug concepts, each from a tenth of the parts, and one concept per nation.
 
     Drug 7 and condition 1006 have no concept; drug 6 and condition 1005 are in
-    another domain.
+    another domain; drug 4 and condition 1002 have no name.
     """
     drugs = (
         part.groupBy((F.col("p_partkey") % 10).alias("tenth"))
         .agg(F.min_by("p_name", "p_partkey").alias("name"), F.min_by("p_type", "p_partkey").alias("class"))
         .selectExpr(
             "CASE WHEN tenth = 7 THEN 70 ELSE tenth END AS concept_id",
-            "name AS concept_name",
+            "CASE WHEN tenth <> 4 THEN name END AS concept_name",
             "class AS concept_class_id",
             "CASE WHEN tenth = 6 THEN 'Device' ELSE 'Drug' END AS domain_id",
         )
     )
     conditions = nation.selectExpr(
         "CASE WHEN n_nationkey < 6 THEN 1000L ELSE 2000L END + n_nationkey AS concept_id",
-        "n_name AS concept_name",
+        "CASE WHEN n_nationkey <> 2 THEN n_name END AS concept_name",
         "'Clinical Finding' AS concept_class_id",
         "CASE WHEN n_nationkey = 5 THEN 'Observation' ELSE 'Condition' END AS domain_id",
     )

@@ -40,6 +40,8 @@ SAME_KIND = {
     "DATE": "date",
     "string": "string",
     "VARCHAR": "string",
+    "boolean": "boolean",
+    "BOOLEAN": "boolean",
 }
 
 

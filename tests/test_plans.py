@@ -5,8 +5,8 @@ import re
 import pytest
 from builders import WINDOW
 
-import __spark_entry__ as entry
 from rxcover.operators import coverage, exposures
+from rxcover.plans import queries as named
 from rxcover.sources.cdm import CdmTables
 from rxcover.sources.star_schema import cdm_from_star_schema
 
@@ -55,18 +55,43 @@ def test_median_supply_is_counted_before_the_shuffle(stored):
     assert "GreaterThan(days_supply,0)" in plan
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(named.queries()))
 def test_no_python_no_cross_join_no_early_sort(spark, name):
-    plan = physical(entry.queries()[name](spark, FOLDER))
+    plan = physical(named.queries()[name](spark, FOLDER))
     assert not re.search(r"Python|Pandas|MapIn", plan)
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert "rangepartitioning" not in plan
 
 
-def test_slices_cost_nothing_without_frequent_groups(spark):
-    """At run time the edges of slices and the list of frequent groups are found empty and dropped."""
-    df = entry.queries()["gaps_detail"](spark, FOLDER)
+def test_building_a_query_starts_no_job(spark):
+    """Whatever the size of the tables, and without a checkpoint folder."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "building")
+    try:
+        for build in named.queries().values():
+            build(spark, FOLDER)
+        assert list(tracker.getJobIdsForGroup("building")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def scans(df, table):
+    """Scans of a table that run: without the uses of an exchange that another one has filled."""
     df.collect()
     final = physical(df).split("== Initial Plan ==")[0]
-    assert "isFinalPlan=true" in final
-    assert final.count("Window [") == 1 and "SortMergeJoin" not in final
+    return len(re.findall(rf"FileScan parquet .*{table}\.parquet", final))
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["gaps_detail", "gaps_detail_full", "gap_by_drug", "gap_severity_distribution", "gap_totals", "top_gap_drugs",
+     "lag_fill_detail"],
+)
+def test_gap_queries_read_the_fills_once(spark, name):
+    assert scans(named.queries()[name](spark, FOLDER), "lineitem") == 1
+
+
+@pytest.mark.parametrize("name", ["gaps_detail_imputed", "headline_report", "lag_fill_detail_imputed"])
+def test_these_read_the_fills_twice(spark, name):
+    """For the medians of all fills, or for adherence and gaps."""
+    assert scans(named.queries()[name](spark, FOLDER), "lineitem") == 2

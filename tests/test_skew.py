@@ -7,13 +7,16 @@ import pytest
 from compare import TABLES, differences, duckdb_views
 
 import __spark_entry__ as entry
-from rxcover.operators import exposures, gaps, sequence
+from rxcover.operators import exposures, gaps
 from rxcover.sources.star_schema import WINDOW, cdm_from_star_schema
 
 SOURCE = "/root/testdata/sf0.001"
 
-# All results that do not depend on the order of fills with equal ids.
 QUERIES = [
+    "gaps_detail_full",
+    "gaps_detail_clamped",
+    "lag_fill_detail",
+    "latest_exposures",
     "merged_periods",
     "coverage_gaps",
     "pdc_merge",
@@ -60,11 +63,41 @@ def test_results_on_skewed_data(spark, folder, name):
     assert differences(df, duckdb_views(folder), entry.oracle_sql()[name]) == []
 
 
-def test_only_the_frequent_group_is_cut(spark, folder):
-    """With a bound of 100 fills the gap listing keeps its rows and numbers."""
+def test_block_size_does_not_show(spark, folder):
     fills = exposures.coverage_fills(cdm_from_star_schema(spark, folder).drug_exposure, *WINDOW)
-    fills = fills.dropDuplicates(["drug_exposure_id"])
     whole = gaps.consecutive_gaps(fills, min_gap_days=0, clamp=True, full=True)
-    cut = gaps.consecutive_gaps(fills, min_gap_days=0, clamp=True, full=True, hot_rows=100, block_bits=30)
-    assert sequence.HOT_ROWS > fills.count()
+    cut = gaps.consecutive_gaps(fills, min_gap_days=0, clamp=True, full=True, block_bits=4)
     assert sorted(whole.collect(), key=str) == sorted(cut.collect(), key=str)
+
+
+LARGE = [
+    "exposures_base", "exposures_coverage", "exposures_imputed", "recent_exposures", "lag_fill_detail", "gaps_detail",
+    "gaps_detail_full", "gaps_detail_clamped", "gaps_detail_imputed", "gap_by_drug", "gap_severity_distribution",
+    "gap_totals", "top_gap_drugs", "headline_report", "column_null_counts", "latest_exposures",
+]
+
+
+@pytest.fixture(scope="module")
+def large_keys(tmp_path_factory):
+    """The star schema with order keys from 1.2e9 and part keys from 100,000 on."""
+    target = str(tmp_path_factory.mktemp("large"))
+    changed = {
+        "lineitem": "l_orderkey + 1200000000 AS l_orderkey, l_partkey + 100000 AS l_partkey",
+        "orders": "o_orderkey + 1200000000 AS o_orderkey",
+        "part": "p_partkey + 100000 AS p_partkey",
+    }
+    for table in TABLES:
+        if table in changed:
+            duckdb.sql(
+                f"""COPY (SELECT * REPLACE ({changed[table]}) FROM '{SOURCE}/{table}.parquet')
+                    TO '{target}/{table}.parquet' (FORMAT parquet)"""
+            )
+        else:
+            os.symlink(f"{SOURCE}/{table}.parquet", f"{target}/{table}.parquet")
+    return target
+
+
+@pytest.mark.parametrize("name", LARGE)
+def test_large_keys(spark, large_keys, name):
+    df = entry.queries()[name](spark, large_keys)
+    assert differences(df, duckdb_views(large_keys), entry.oracle_sql()[name]) == []

@@ -9,7 +9,6 @@ from rxcover.functions.ratios import plain_types
 from rxcover.operators.coverage import merged_totals
 from rxcover.operators.exposures import coverage_fills
 from rxcover.operators.summary import drug_summary
-from rxcover.session import materialize
 from rxcover.sources.cdm import conform
 from rxcover.sources.sinks import export_csv
 
@@ -65,8 +64,3 @@ def test_bucketed_fills_need_no_shuffle(spark):
 def test_plain_types(spark):
     frame = spark.sql("SELECT CAST(1.5 AS DECIMAL(10,4)) AS a, 1 AS b, 'x' AS c, DATE '2020-01-01' AS d")
     assert [kind for _, kind in plain_types(frame).dtypes] == ["double", "bigint", "string", "date"]
-
-
-def test_materialize_keeps_rows(spark):
-    frame = spark.range(10)
-    assert sorted(materialize(frame).collect()) == sorted(frame.collect())
