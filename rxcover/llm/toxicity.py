@@ -19,8 +19,10 @@ BUCKETS = 1 << 20
 # Labelled rows of each class that training uses at most.
 SAMPLE_PER_CLASS = 10_000
 # Terms of the model at most: those that tell most about the label in the sample.
-FEATURES = 4096
+FEATURES = 512
 MIN_ROWS = 3
+# G statistic that a term must reach; noise seldom does.
+MIN_G = 12.0
 RANK = 8
 EPOCHS = 200
 
@@ -68,7 +70,7 @@ def _telling(sampled: DataFrame, features: int, min_rows: int) -> list[int]:
             ("(neg - b)", "(pos + neg - a - b)", "neg"),
         )
     )
-    best = table.select("term", F.expr(g).alias("g")).orderBy(F.round("g", 6).desc(), "term").limit(features)
+    best = table.select("term", F.expr(f"2 * ({g})").alias("g")).filter(F.col("g") >= MIN_G).orderBy(F.round("g", 6).desc(), "term").limit(features)
     return sorted(r["term"] for r in best.collect())
 
 
@@ -117,8 +119,8 @@ def train(
         pairs = np.stack([x.transposed(slope * s, n) for s in sums.T], axis=1) - factors * seen[:, None]
         adam.step(
             bias=(bias, np.array([slope.sum()])),
-            linear=(linear, seen + 1e-5 * linear),
-            factors=(factors, pairs + 1e-4 * factors),
+            linear=(linear, seen + 1e-4 * linear),
+            factors=(factors, pairs + 1e-3 * factors),
         )
     return FactorizationMachine(index, float(bias[0]), linear, factors)
 
