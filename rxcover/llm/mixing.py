@@ -117,8 +117,9 @@ def mixed(
     slots = quotas({s: weights[s] for s in counts}, period)
     names = sorted(slots, key=lambda s: (s is not None, s))
 
+    # The row as one column, so that none of its names meets those used here.
     rows = docs.select(
-        *kept,
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"),
         _key().alias("_key"),
         F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("")).alias("_order"),
     ).withColumn("_part", F.substring("_order", 1, 3))
@@ -151,7 +152,7 @@ def mixed(
         f"n + least({totals}[i], (_cycle * {quota}[i] + earlier[i]) * {block_docs}))"
     )
     return placed.select(
-        *kept,
+        "row.*",
         "mix_block",
         F.expr(f"_cycle * {period} + place").alias("mix_slot"),
         F.expr(f"mix_block * {period} div _quota").alias("mix_release"),

@@ -3,8 +3,9 @@
 The n-grams are put into one global order, that of their 64-bit hashes, and the
 order is cut into fragments. If two sets differ in at most D n-grams and the
 order is cut into more than D fragments, some fragment must be equal in both.
-So documents meet on equal fragments. Of documents connected that way, the
-overlaps are counted in each fragment of the order separately and summed per pair.
+So documents meet on equal fragments. Those that meet are screened by bit sketches
+that never reject a similar pair. Of documents connected that way, the overlaps are
+counted in each fragment of the order separately and summed per pair.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ TILE = 512
 FRAGMENT = 4096
 GROUP = ["component", "class", "i", "j", "between"]
 
-_PACKED = "block long, bucket int, payload binary, docs array<struct<doc_id: long, n: long, node: long, class: int>>"
+_PACKED = "block long, bucket int, payload binary, docs array<struct<doc_id: long, n: long, node: long, class: int, sketch: binary>>"
 
 _DOCS = pa.list_(
-    pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("class", pa.int32())])
+    pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("class", pa.int32()), ("sketch", pa.binary())])
 )
 
 
@@ -100,6 +101,25 @@ def set_id(grams: np.ndarray) -> int:
     return int(mix(np.array([np.add.reduce(mix(grams, 5))], np.uint64) + np.uint64(len(grams)), 9).view(np.int64)[0])
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """Of each of about 2 n groups of n-grams, whether the set has an odd number of them.
+
+    Two sets that differ in d n-grams differ in at most d of these bits.
+    """
+    width = max(64, 1 << (2 * len(grams) - 1).bit_length())
+    odd = np.bincount((grams & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, all of the width of the narrowest."""
+    width = min(map(len, sketches))
+    rows = np.empty((len(sketches), width // 8), dtype=np.uint64)
+    for i, raw in enumerate(sketches):
+        rows[i] = np.bitwise_xor.reduce(np.frombuffer(raw, dtype=np.uint64).reshape(-1, width // 8), axis=0)
+    return rows
+
+
 def _pack(size: int, cut: Cut, buckets: int):
     """Per block one row with its documents and one row of fragment keys for each bucket."""
 
@@ -107,12 +127,13 @@ def _pack(size: int, cut: Cut, buckets: int):
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 32
-        ids, counts, nodes, classes, keys, refs, seen, held = [], [], [], [], [], [], set(), 0
+        ids, counts, nodes, classes, sketches, keys, refs, seen, held = [], [], [], [], [], [], [], set(), 0
 
         def flush():
-            nonlocal block, ids, counts, nodes, classes, keys, refs, seen, held
+            nonlocal block, ids, counts, nodes, classes, sketches, keys, refs, seen, held
             docs = [
-                {"doc_id": i, "n": n, "node": s, "class": c} for i, n, s, c in zip(ids, counts, nodes, classes)
+                dict(zip(("doc_id", "n", "node", "class", "sketch"), doc))
+                for doc in zip(ids, counts, nodes, classes, sketches)
             ]
             rows = [(block, -1, b"", docs)]
             if keys:
@@ -128,7 +149,7 @@ def _pack(size: int, cut: Cut, buckets: int):
                     steps = np.diff(ref[low:high], prepend=np.uint16(0)).astype(np.uint16)
                     rows.append((block, int(bucket[low]), tall.tobytes() + steps.tobytes(), None))
             block += 1
-            ids, counts, nodes, classes, keys, refs, seen, held = [], [], [], [], [], [], set(), 0
+            ids, counts, nodes, classes, sketches, keys, refs, seen, held = [], [], [], [], [], [], [], set(), 0
             columns = list(zip(*rows))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -150,7 +171,9 @@ def _pack(size: int, cut: Cut, buckets: int):
                 for i, grams in enumerate(shingle_sets(data, offsets, size)):
                     node = set_id(grams)
                     # Without an id nothing can be linked; without words neither.
-                    if len(grams) and doc_ids[first + i] is not None and node not in seen:
+                    new = len(grams) > 0 and doc_ids[first + i] is not None and node not in seen
+                    sketches.append(sketch(grams) if new else None)
+                    if new:
                         seen.add(node)
                         found = cut.keys(grams)
                         keys.append(found)
@@ -203,6 +226,51 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
+def _screen(numerator: int, denominator: int):
+    """From (key, node, n, sketch) sorted by key: edges that connect what may be similar among the sets of a key.
+
+    Sets of similarity t differ in at most (1 - t) / (1 + t) of the sum of their
+    sizes, so in no more bits of their sketches. All that pass with the key's first
+    set are connected by it; each of the others is held against all.
+    """
+
+    def near(rows: np.ndarray, sizes: np.ndarray, i: int) -> np.ndarray:
+        differ = np.bitwise_count(rows ^ rows[i]).sum(axis=1, dtype=np.int64)
+        small, large = np.minimum(sizes, sizes[i]), np.maximum(sizes, sizes[i])
+        return (differ * (numerator + denominator) <= (denominator - numerator) * (sizes + sizes[i])) & (
+            small * denominator >= large * numerator
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, counts, sketches = None, [], [], []
+
+        def flush():
+            rows, sizes = _folded(sketches), np.array(counts, dtype=np.int64)
+            label = np.where(near(rows, sizes, 0), 0, np.arange(len(nodes)))
+            for i in np.flatnonzero(label):
+                met = np.unique(label[near(rows, sizes, i)])
+                if len(met) > 1:
+                    label[np.isin(label, met)] = met[0]
+            joined = np.flatnonzero(label != np.arange(len(nodes)))
+            ids = np.array(nodes, dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(ids[label[joined]]), pa.array(ids[joined])], ["a", "b"])
+
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("key", "node", "n", "sketch"))
+            for own, node, n, raw in zip(*columns):
+                if own != key:
+                    if len(nodes) > 1:
+                        yield flush()
+                    key, nodes, counts, sketches = own, [], [], []
+                nodes.append(node)
+                counts.append(n)
+                sketches.append(raw)
+        if len(nodes) > 1:
+            yield flush()
+
+    return run
+
+
 def _sets(size: int):
     """The set of each document, as bytes."""
 
@@ -303,8 +371,8 @@ class NgramJoin:
     intermediate table goes to the shared folder. `buckets` should grow with the
     data: a bucket's keys, 8 bytes each, are held by one task. Comparing returns
     edges that span what is linked, never all pairs. What it costs grows with the
-    square of the sets that equal fragments connect within one size class; that
-    work is dealt out by tiles of `tile` sets.
+    square of the sets that are connected so within one size class; that work is
+    dealt out by tiles of `tile` sets.
     """
 
     def __init__(
@@ -329,28 +397,35 @@ class NgramJoin:
         members = (
             packed.filter("bucket < 0")
             .selectExpr("block", "posexplode(docs) AS (ref, doc)")
-            .selectExpr("block", "ref", "doc.doc_id", "doc.n", "doc.node", "doc.class")
+            .selectExpr("block", "ref", "doc.doc_id", "doc.n", "doc.node", "doc.class", "doc.sketch")
         )
         members = stored(members, "members")
-        return self._labelled(members, components(self._links(self._met(packed, members), members)))
+        # Each different set once.
+        nodes = members.filter("sketch IS NOT NULL").groupBy("node")
+        nodes = nodes.agg(*[F.max(c).alias(c) for c in ("n", "class", "sketch")], F.min("doc_id").alias("doc_id"))
+        return self._labelled(members, components(self._links(self._met(packed, members, nodes), nodes)))
 
-    def _met(self, packed: DataFrame, members: DataFrame) -> DataFrame:
-        """`node`, `component`: different sets that are connected by equal fragments."""
+    def _met(self, packed: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
+        """`node`, `component`: different sets connected by equal fragments and similar sketches."""
         dealt = packed.filter("bucket >= 0").select("block", "bucket", "payload")
         shared = dealt.repartition("bucket").sortWithinPartitions("bucket", "block")
         shared = stored(shared.mapInArrow(_meet, "key long, block long, ref int"), "met")
         named = shared.join(members.select("block", "ref", "node"), ["block", "ref"]).select("key", "node")
         named = stored(named.distinct(), "keys")
-        first = named.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"))
-        first = first.filter("first <> last").select("key", "first")
-        star = named.join(first, "key").filter("node <> first")
-        return components(star.select(F.col("first").alias("a"), F.col("node").alias("b")))
+        # Near duplicates share many fragments: of keys with the same sets one is enough.
+        who = named.groupBy("key").agg(
+            F.count("*").alias("rows"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
+        )
+        once = who.filter("rows > 1").groupBy("rows", "x", "y").agg(F.min("key").alias("key")).select("key")
+        met = stored(named.join(once, "key", "left_semi"), "shared")
+        rows = met.join(nodes.select("node", "n", "sketch"), "node").select("key", "node", "n", "sketch")
+        rows = rows.repartition("key").sortWithinPartitions("key", "node")
+        return components(rows.mapInArrow(_screen(self.numerator, self.denominator), "a long, b long"))
 
-    def _links(self, met: DataFrame, members: DataFrame) -> DataFrame:
+    def _links(self, met: DataFrame, nodes: DataFrame) -> DataFrame:
         """Edges between similar sets: every pair that can be similar is compared in the tile of both."""
-        nodes = members.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("class").alias("class"))
         # A row for each different set that met another one.
-        wanted = stored(nodes.join(met, "node"), "wanted")
+        wanted = stored(nodes.select("node", "doc_id", "class").join(met, "node"), "wanted")
         texts = keep_ids(self.docs, wanted.select("doc_id"), "doc_id", wanted.count())
         sets = texts.mapInArrow(_sets(self.size), "node long, grams binary")
         dealt = stored(self._tiles(wanted), "tiles")

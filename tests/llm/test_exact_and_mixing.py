@@ -97,10 +97,12 @@ def test_quotas():
 
 
 def test_mixed_positions(spark):
-    rows = [(i, "hot" if i % 3 else ("b" if i % 2 else None), i) for i in range(300)] + [(None, "hot", 0), (5, "hot", 5)]
-    docs = spark.createDataFrame(rows, "doc_id long, source string, mix_slot long").repartition(7)
+    rows = [(i, "hot" if i % 3 else ("b" if i % 2 else None), i, i) for i in range(300)]
+    rows += [(None, "hot", 0, 0), (5, "hot", 5, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, mix_slot long, nth long").repartition(7)
     out = mixing.mixed(docs, period=20, block_docs=4).orderBy("mix_position").collect()
     assert [r.mix_position for r in out] == list(range(302))
+    assert all(r.nth == (r.doc_id or 0) for r in out)
     slots = defaultdict(set)
     for r in out:
         slots[r.mix_slot].add((r.source, r.mix_block))

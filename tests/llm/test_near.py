@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from rxcover.llm.components import components
-from rxcover.llm.ngram_join import Cut, NgramJoin, ngram_components
+from rxcover.llm.ngram_join import Cut, NgramJoin, _folded, ngram_components, sketch
 from rxcover.llm.vector_dedup import linked_vectors
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -87,6 +87,17 @@ def test_cut_bounds_differences():
                 assert a + b - 2 * common <= cut.differences(low)
 
 
+def test_sketches_never_reject():
+    pick = np.random.default_rng(3)
+    for n in (1, 5, 40, 700):
+        for _ in range(30):
+            a = np.unique(pick.integers(0, 2**64, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[pick.random(len(a)) > 0.1], pick.integers(0, 2**64, n // 5, dtype=np.uint64)]))
+            if len(b):
+                rows = _folded([sketch(a), sketch(b)])
+                assert np.bitwise_count(rows[0] ^ rows[1]).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
 def test_ngram_join_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_components(empty).count() == 0
