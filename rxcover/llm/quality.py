@@ -154,6 +154,7 @@ def graded(
     carry: Sequence[str] = ("doc_id",),
     good_from: int = GOOD_FROM,
     keep_from: float = KEEP_FROM,
+    text: str = "text",
 ) -> DataFrame:
     """The `carry` columns, `expected_grade`, `tail_probability` of a grade of `good_from` or more, and `kept`.
 
@@ -179,4 +180,4 @@ def graded(
         StructField("tail_probability", DoubleType()),
         StructField("kept", BooleanType()),
     ]
-    return with_text_columns(docs, carry, added, prepare)
+    return with_text_columns(docs, carry, added, prepare, text)

@@ -16,30 +16,36 @@ Compute = Callable[[np.ndarray, np.ndarray], Sequence]
 
 
 def with_text_columns(
-    docs: DataFrame, carry: Sequence[str], added: Sequence[StructField], prepare: Callable[[], Compute]
+    docs: DataFrame,
+    carry: Sequence[str],
+    added: Sequence[StructField],
+    prepare: Callable[[], Compute],
+    text: str = "text",
 ) -> DataFrame:
     """The `carry` columns and the `added` ones.
 
     `prepare()` is called once per task and gives a function that gets the bytes
-    and row offsets of about 1 MB of texts and returns the added values, a
+    and row offsets of about half a MB of texts and returns the added values, a
     sequence per column. Carried columns named like an added one are replaced.
+    The text column goes to the tasks once, carried or not.
     """
     names = [f.name for f in added]
     carry = [c for c in carry if c not in names]
     fields = {f.name: f for f in docs.schema.fields}
     schema = StructType([*[fields[c] for c in carry], *added])
     kinds = [_arrow(f) for f in added]
+    source = text if text in carry else "_text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = prepare()
         for batch in batches:
-            for first, data, offsets in text_chunks(batch.column("_text")):
+            for first, data, offsets in text_chunks(batch.column(source)):
                 n = len(offsets) - 1
                 out = [pa.array(v, kind) for v, kind in zip(compute(data, offsets), kinds)]
                 kept = [batch.column(c).slice(first, n) for c in carry]
                 yield pa.RecordBatch.from_arrays([*kept, *out], [*carry, *names])
 
-    return docs.select(*carry, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*carry, *([] if text in carry else [F.col(text).alias("_text")])).mapInArrow(run, schema)
 
 
 def _arrow(field: StructField) -> pa.DataType:
