@@ -30,7 +30,11 @@ def _packed(docs: DataFrame, *columns: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a probability of at least 1/2 of proper text; ratings are those in `labels`."""
     model = quality.train(docs, quality.grades(table(spark, sf_dir, "labels")))
-    return quality.graded(_packed(docs, "text"), model, carry=["_row"]).filter("kept").select("_row.*")
+    # Names of their own, so that none is one of the operator's.
+    names = [f"column{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index("text")]
+    kept = quality.graded(docs.toDF(*names), model, carry=names, text=text).filter("kept")
+    return kept.select(names).toDF(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
