@@ -136,7 +136,7 @@ def _pack(size: int, cut: Cut, buckets: int):
                 for doc in zip(ids, counts, nodes, classes, sketches)
             ]
             rows = [(block, -1, b"", docs)]
-            if keys:
+            if sum(map(len, keys)):
                 key = np.concatenate(keys)
                 ref = np.repeat(np.array([r for r, _ in refs], np.uint16), [c for _, c in refs])
                 bucket = (key % np.uint64(buckets)).astype(np.int32)

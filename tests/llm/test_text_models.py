@@ -104,9 +104,9 @@ def test_language_odd_tables(spark, odd):
 def test_toxicity_held_out(spark, labels):
     rows = entry.queries()["op5_factorization_machine"](spark, FOLDER).join(labels, "doc_id").filter("held_out")
     found, wrong, missed = rows.agg(
-        F.count_if("predicted = 1 AND toxic = 1"),
-        F.count_if("predicted = 1 AND toxic = 0"),
-        F.count_if("predicted = 0 AND toxic = 1"),
+        F.count_if(F.expr("predicted = 1 AND toxic = 1")),
+        F.count_if(F.expr("predicted = 1 AND toxic = 0")),
+        F.count_if(F.expr("predicted = 0 AND toxic = 1")),
     ).first()
     assert found / (found + wrong) > 0.95 and found / (found + missed) > 0.7
 

@@ -10,7 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import regex
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from rxcover.llm import bpe, token_files
@@ -49,6 +49,7 @@ def cut(texts):
     return found
 
 
+@settings(deadline=None)
 @given(st.lists(st.text(st.sampled_from(list("ab' 's'tredvlm12\n\t\r é,!　\xa0\x1c\x85\U0001f600²Ⅷ")), max_size=12), max_size=5))
 def test_pieces_equal_the_pattern(texts):
     pattern = regex.compile(public_tokenizers.PATTERN)
@@ -112,6 +113,7 @@ def test_files(spark, docs, tmp_path):
     assert token_files.read_tokens(spark, empty).count() == 0
 
 
+@settings(deadline=None)
 @given(st.lists(st.integers(0, 10**6), max_size=700))
 def test_elias_fano(numbers):
     numbers = np.sort(np.array(numbers, dtype=np.int64))
