@@ -8,6 +8,8 @@ from rxcover.sources.star_schema import AS_OF, DAYS_IN_WINDOW, WINDOW
 
 START, END = WINDOW
 IN_WINDOW = f"drug_exposure_start_date BETWEEN DATE '{START}' AND DATE '{END}'"
+# Fixed values (must equal the established rules): drug types, status, severity and bin labels, and the limits in the
+# statements below, stated once more instead of being taken from schema.py.
 DISPENSED = "drug_type_concept_id IN (38000175, 38000176, 581373)"
 
 
@@ -287,6 +289,11 @@ REPORT_MEASURES = f"""
     {_half_up("sum(total_gap_days)", "count(*)", 2)} AS avg_gap_days_per_patient,
     max(total_gap_days) AS max_total_gap_days"""
 
+# The measures that the distribution rows do not have.
+NO_COUNTS = "adherent_count moderately_adherent_count non_adherent_count max_total_gap_days".split()
+NO_MEANS = "pct_adherent avg_pdc min_pdc max_pdc stddev_pdc avg_gaps_per_patient avg_gap_days_per_patient".split()
+ZERO_MEASURES = ", ".join([f"0 AS {c}" for c in NO_COUNTS] + [f"0.0 AS {c}" for c in NO_MEANS])
+
 SUMMARY_REPORT = f"""
     SELECT 'Overall' AS category, 'All Drugs' AS subcategory, {REPORT_MEASURES} FROM pdc
     UNION ALL BY NAME
@@ -296,10 +303,7 @@ SUMMARY_REPORT = f"""
     SELECT 'PDC Distribution' AS category,
            CASE WHEN units >= 9000 THEN '90-100%' WHEN units >= 8000 THEN '80-89%' WHEN units >= 7000 THEN '70-79%'
                 WHEN units >= 6000 THEN '60-69%' WHEN units >= 5000 THEN '50-59%' ELSE '<50%' END AS subcategory,
-           count(DISTINCT person_id) AS unique_patients, count(*) AS total_patient_drug_combinations,
-           0 AS adherent_count, 0 AS moderately_adherent_count, 0 AS non_adherent_count, 0.0 AS pct_adherent,
-           0.0 AS avg_pdc, 0.0 AS min_pdc, 0.0 AS max_pdc, 0.0 AS stddev_pdc, 0.0 AS avg_gaps_per_patient,
-           0.0 AS avg_gap_days_per_patient, 0 AS max_total_gap_days
+           count(DISTINCT person_id) AS unique_patients, count(*) AS total_patient_drug_combinations, {ZERO_MEASURES}
     FROM pdc GROUP BY subcategory"""
 
 HISTOGRAM = """
