@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rxcover.llm.pretokens import distinct, pieces
-from rxcover.llm.textvec import text_chunks
+from rxcover.llm.textvec import mix, text_chunks
 
 BLOCK_BYTES = 8 << 20
 # Words that one task remembers at a time; beyond that it starts over, which costs time only.
@@ -166,10 +166,11 @@ def _cut(buckets: int):
             line = np.concatenate([rank[number[base : base + len(c[0])]][c[3]] for base, c in zip(bases, chunks)])
             per_text = np.concatenate([c[4] for c in chunks])
             bucket = (known[order] % np.uint64(buckets)).astype(np.int64)
-            # Goes through any bucket.
+            # Goes through any bucket; hashed, as block numbers share their last digits.
             head = _zip(per_text, bucket)
             texts = np.array([len(head)], "<u8").tobytes() + head + _zip_ranks(line)
-            out = [(block, block % buckets, ids, texts)]
+            through = int(mix(np.array([block], np.uint64))[0] % np.uint64(buckets))
+            out = [(block, through, ids, texts)]
             body = np.concatenate([c[1] for c in chunks])
             offsets = np.cumsum(sizes) - sizes
             first = first[order]
