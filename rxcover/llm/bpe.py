@@ -5,8 +5,8 @@ pre-tokens once, by bucket of their hash, and its texts as positions in that
 list. A bucket meets the words of all blocks, encodes each distinct word once,
 and sends the ids back to the blocks, which put their texts together by
 position. A word shared by all texts is one entry per block, so frequent words
-weigh no more than others. The positions travel with the words, so the texts are
-read and cut once and nothing but the two shuffles is written.
+weigh no more than others. The texts are cut twice, once for the words and once
+for the positions, so that positions are shuffled once and no block is stored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rxcover.llm.pretokens import distinct, pieces
-from rxcover.llm.textvec import mix, text_chunks
+from rxcover.llm.textvec import text_chunks
 
 BLOCK_BYTES = 8 << 20
 # Words that one task remembers at a time; beyond that it starts over, which costs time only.
@@ -142,8 +142,8 @@ def gather(body: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return body[shift + np.arange(len(shift))]
 
 
-def _cut(buckets: int):
-    """Blocks: the rows with `docs` have the texts as positions in the block's list of words, the others the words."""
+def _cut(buckets: int, words: bool):
+    """Blocks: either the distinct `words` by bucket, or the texts as positions in the list of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -159,18 +159,20 @@ def _cut(buckets: int):
             bases = np.cumsum([0] + [len(c[0]) for c in chunks[:-1]])
             uses = np.zeros(len(known), dtype=np.int64)
             for base, c in zip(bases, chunks):
-                uses += np.bincount(number[base : base + len(c[0])], weights=np.bincount(c[3], minlength=len(c[0])), minlength=len(known)).astype(np.int64)
+                times = np.bincount(c[3], minlength=len(c[0]))
+                own = np.bincount(number[base : base + len(c[0])], weights=times, minlength=len(known))
+                uses += own.astype(np.int64)
             order = np.argsort(-uses, kind="stable")  # frequent words get small numbers
-            rank = np.empty(len(known), dtype=np.int64)
-            rank[order] = np.arange(len(known))
-            line = np.concatenate([rank[number[base : base + len(c[0])]][c[3]] for base, c in zip(bases, chunks)])
-            per_text = np.concatenate([c[4] for c in chunks])
             bucket = (known[order] % np.uint64(buckets)).astype(np.int64)
-            # Goes through any bucket; hashed, as block numbers share their last digits.
-            head = _zip(per_text, bucket)
-            texts = np.array([len(head)], "<u8").tobytes() + head + _zip_ranks(line)
-            through = int(mix(np.array([block], np.uint64))[0] % np.uint64(buckets))
-            out = [(block, through, ids, texts)]
+            if not words:
+                rank = np.empty(len(known), dtype=np.int64)
+                rank[order] = np.arange(len(known))
+                line = np.concatenate([rank[number[base : base + len(c[0])]][c[3]] for base, c in zip(bases, chunks)])
+                per_text = np.concatenate([c[4] for c in chunks])
+                head = _zip(per_text, bucket)
+                texts = np.array([len(head)], "<u8").tobytes() + head + _zip_ranks(line)
+                return _rows([(block, -1, ids, texts)])
+            out = []
             body = np.concatenate([c[1] for c in chunks])
             offsets = np.cumsum(sizes) - sizes
             first = first[order]
@@ -181,6 +183,8 @@ def _cut(buckets: int):
                 if len(mine):
                     letters = gather(body, offsets[mine], sizes[mine])
                     out.append((block, b, None, _zip(sizes[mine], letters)))
+            # A block without words still has a row.
+            out = out or [(block, 0, None, _zip(np.zeros(0), np.zeros(0)))]
             return _rows(out)
 
         for batch in batches:
@@ -194,8 +198,8 @@ def _cut(buckets: int):
                 known, index, number = distinct(data, starts)
                 lengths = np.diff(np.append(starts, len(data)))
                 per_text = np.diff(np.searchsorted(starts, offsets)) if len(starts) else np.zeros(n, np.int64)
-                words = gather(data, starts[index], lengths[index])
-                chunks.append((known, words, lengths[index], number, per_text))
+                letters = gather(data, starts[index], lengths[index]) if words else None
+                chunks.append((known, letters, lengths[index], number, per_text))
                 ids.extend(doc_ids[low : low + n])
                 held += len(data)
         if ids:
@@ -205,18 +209,14 @@ def _cut(buckets: int):
 
 
 def _encode(prepare: Callable[[], Encoder], remembered: int):
-    """For each block and bucket, the ids of its words in the same order; rows with `docs` pass."""
+    """For each block and bucket, the ids of its words in the same order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, known, bucket = prepare(), {}, None
         for batch in batches:
             blocks, buckets, payloads = (batch.column(c).to_pylist() for c in ("block", "bucket", "payload"))
-            passing = batch.column("docs").is_valid()
-            yield batch.filter(passing)
             out = []
-            for block, own, payload, passes in zip(blocks, buckets, payloads, passing.to_pylist()):
-                if passes:
-                    continue
+            for block, own, payload in zip(blocks, buckets, payloads):
                 if own != bucket or len(known) > remembered:
                     bucket, known = own, {}
                 sizes, letters = _unzip(payload)
@@ -235,13 +235,16 @@ def _encode(prepare: Callable[[], Encoder], remembered: int):
 
 
 def _assemble(end: int | None):
-    """From rows sorted by block, the one with `docs` first, and bucket: the ids of each text."""
+    """From rows sorted by block and bucket, the one with `docs` first: the ids of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, counts, ids = None, [], []
 
         def flush():
             docs, per_text, bucket, line = texts
+            found = [len(n) for n in counts if len(n)]
+            if found != [n for n in np.bincount(bucket.astype(np.int64)).tolist() if n]:
+                raise ValueError("the texts were read in another order the second time: give a stored table")
             order = np.argsort(bucket, kind="stable")
             sizes = np.zeros(len(bucket), dtype=np.int64)
             starts = np.zeros(len(bucket), dtype=np.int64)
@@ -305,17 +308,19 @@ def encoded(
 
     A task holds one block, or the words of one bucket up to `remembered`; give
     more `buckets` for more data. A block is what a task reads in a row, so `docs`
-    should come from files or a stored table, whose tasks read the same again.
+    must be files or a stored table, whose tasks read the same again; if they do
+    not, the word counts of a block differ and the query fails.
     """
     buckets = buckets or min(4096, max(64, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = rows.mapInArrow(_cut(buckets), _PACKED)
-    words = blocks.repartition("bucket").sortWithinPartitions("bucket", "block")
-    back = words.mapInArrow(_encode(prepare, remembered), _PACKED)
-    order = [F.col("block"), F.col("docs").isNull(), F.col("bucket")]
+    words = rows.mapInArrow(_cut(buckets, words=True), _PACKED)
+    words = words.repartition("bucket").sortWithinPartitions("bucket", "block")
+    texts = rows.mapInArrow(_cut(buckets, words=False), _PACKED)
+    # The texts come first: the numbers of their tasks, and so of their blocks, are those of the first reading.
+    both = texts.unionByName(words.mapInArrow(_encode(prepare, remembered), _PACKED))
     return (
-        back.repartition("block")
-        .sortWithinPartitions(*order)
+        both.repartition("block")
+        .sortWithinPartitions("block", "bucket")
         .mapInArrow(_assemble(end), "doc_id long, n_tokens long, ids binary")
     )
 

@@ -33,28 +33,18 @@ _KINDS = [
 _NAMES = [field.split()[0] for field in SHARDS.split(", ")]
 
 
-def _planes(ids: np.ndarray, bytes_per_id: int, packer: zstandard.ZstdCompressor) -> bytes:
-    """Ids byte plane by byte plane, compressed."""
-    narrow = ids.astype(f"<u{bytes_per_id}").view(np.uint8).reshape(-1, bytes_per_id)
-    return packer.compress(np.ascontiguousarray(narrow.T).tobytes())
-
-
-def _joined(raw: bytes, bytes_per_id: int) -> bytes:
-    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(bytes_per_id, -1)
-    return np.ascontiguousarray(planes.T).tobytes()
-
-
 def _narrow(bytes_per_id: int, cuts: list[int]):
     """Ids in few bytes, and the part that each document belongs to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=1)
+        packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             doc_ids = batch.column("doc_id")
             known = doc_ids.fill_null(0).to_numpy()
             part = np.where(doc_ids.is_null().to_numpy(False), 0, 1 + np.searchsorted(cuts, known, side="left"))
             ids = [
-                _planes(np.frombuffer(raw.as_buffer(), "<u4"), bytes_per_id, packer) for raw in batch.column("ids")
+                packer.compress(np.frombuffer(raw.as_buffer(), "<u4").astype(f"<u{bytes_per_id}").tobytes())
+                for raw in batch.column("ids")
             ]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part, pa.int32()), doc_ids, pa.array(ids, pa.binary())], ["part", "doc_id", "ids"]
@@ -83,7 +73,7 @@ def _shards(bytes_per_id: int, shard_ids: int):
                     shard, first = (shard + 1, first + held) if own == part else (0, 0)
                     docs, bodies, held = [], [], 0
                 part = own
-                body = _joined(raw.as_py(), bytes_per_id)
+                body = zstandard.decompress(raw.as_py())
                 docs.append(doc_id)
                 bodies.append(body)
                 held += len(body) // bytes_per_id
