@@ -7,8 +7,9 @@ slice; one summary row per slice carries the number of fills before it and its
 neighbours across the edges. A patient-drug therefore meets in one task with one
 row per slice, and a slice holds the fills of one day whose ids lie in a block.
 Every table takes this way, so the plan does not depend on sizes. It costs a
-window over the slices and a join back beside the window over the rows; the rows
-are read and shuffled once, as both sides of the join use the same exchange.
+window over the slices and a join back beside the window over the rows. Where
+both sides of the join need the same columns they use the same exchange, and the
+rows are read and shuffled once; else twice.
 """
 
 from functools import reduce
