@@ -7,9 +7,10 @@
     tokens       byte-level BPE ids, and the checksum of the decoded bytes
 
 Each stage works on all rows that its predecessor kept, and all but the last
-return the columns of their input, whatever they are called. Order is kept in
-the files: part files by name, rows in them, follow the schedule. Tables without
-rows pass through every stage.
+return the columns of their input, whatever they are called. The last one numbers
+its rows in the order of the schedule, `mix_position`, worked out again from the
+same rows, as Spark does not promise to read files in the order they were
+written. Tables without rows pass through every stage.
 """
 
 from __future__ import annotations
@@ -67,11 +68,17 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """`doc_id`, `n_tokens`, `ids` (little-endian unsigned 32-bit) and `decoded_sha256` of every row."""
+    """`doc_id`, `n_tokens`, `ids` (little-endian unsigned 32-bit), `decoded_sha256` and `mix_position` of every row."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    tokens = bpe.encoded(docs, bpe.tiktoken_encoder(ranks, public_tokenizers.PATTERN))
+    # Stored, as the encoder reads the texts twice.
+    placed = stored(mixing.mixed(docs.select("doc_id", "source", "text")).select("doc_id", "mix_position", "text"), "placed")
+    tokens = bpe.encoded(placed, bpe.tiktoken_encoder(ranks, public_tokenizers.PATTERN), position="mix_position")
     return bpe.decoded(tokens, ranks).select(
-        "doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256")
+        "doc_id",
+        "n_tokens",
+        "ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.col("position").alias("mix_position"),
     )
 
 

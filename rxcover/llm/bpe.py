@@ -150,7 +150,7 @@ def _cut(buckets: int, words: bool):
 
         block = TaskContext.get().partitionId() << 32
         # Per chunk: hashes and words of its distinct pieces, numbers of its pieces, pieces per text.
-        ids, chunks, held = [], [], 0
+        ids, at, chunks, held = [], [], [], 0
 
         def flush():
             hashes = np.concatenate([c[0] for c in chunks])
@@ -171,7 +171,7 @@ def _cut(buckets: int, words: bool):
                 per_text = np.concatenate([c[4] for c in chunks])
                 head = _zip(per_text, bucket)
                 texts = np.array([len(head)], "<u8").tobytes() + head + _zip_ranks(line)
-                return _rows([(block, -1, ids, texts)])
+                return _rows([(block, -1, ids + at, texts)])
             out = []
             body = np.concatenate([c[1] for c in chunks])
             offsets = np.cumsum(sizes) - sizes
@@ -189,11 +189,12 @@ def _cut(buckets: int, words: bool):
 
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
+            places = batch.column("position").to_pylist() if "position" in batch.schema.names else []
             for low, data, offsets in text_chunks(batch.column("text")):
                 n = len(offsets) - 1
                 if ids and held + len(data) > BLOCK_BYTES:
                     yield flush()
-                    block, ids, chunks, held = block + 1, [], [], 0
+                    block, ids, at, chunks, held = block + 1, [], [], [], 0
                 starts = pieces(data, offsets)
                 known, index, number = distinct(data, starts)
                 lengths = np.diff(np.append(starts, len(data)))
@@ -201,6 +202,7 @@ def _cut(buckets: int, words: bool):
                 letters = gather(data, starts[index], lengths[index]) if words else None
                 chunks.append((known, letters, lengths[index], number, per_text))
                 ids.extend(doc_ids[low : low + n])
+                at.extend(places[low : low + n])
                 held += len(data)
         if ids:
             yield flush()
@@ -242,6 +244,7 @@ def _assemble(end: int | None):
 
         def flush():
             docs, per_text, bucket, line = texts
+            docs, places = docs[: len(per_text)], docs[len(per_text) :]
             found = [len(n) for n in counts if len(n)]
             if found != [n for n in np.bincount(bucket.astype(np.int64)).tolist() if n]:
                 raise ValueError("the texts were read in another order the second time: give a stored table")
@@ -263,14 +266,15 @@ def _assemble(end: int | None):
                 found = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
                 if end is not None:
                     found = [np.append(f, np.uint32(end)).astype("<u4") for f in found]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(docs[low:high], pa.int64()),
-                        pa.array([len(f) for f in found], pa.int64()),
-                        pa.array([f.tobytes() for f in found], pa.binary()),
-                    ],
-                    ["doc_id", "n_tokens", "ids"],
-                )
+                columns = [
+                    pa.array(docs[low:high], pa.int64()),
+                    pa.array([len(f) for f in found], pa.int64()),
+                    pa.array([f.tobytes() for f in found], pa.binary()),
+                ]
+                names = ["doc_id", "n_tokens", "ids"]
+                if places:
+                    columns, names = [*columns, pa.array(places[low:high], pa.int64())], [*names, "position"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
             for docs, payload in zip(batch.column("docs"), batch.column("payload")):
@@ -297,9 +301,12 @@ def encoded(
     buckets: int = 0,
     remembered: int = REMEMBERED,
     end: int | None = None,
+    position: str | None = None,
 ) -> DataFrame:
     """`doc_id`, `n_tokens`, `ids` (little-endian unsigned 32-bit numbers) for every row of `docs`.
 
+    `position` names a column of whole numbers that goes with each row into a column `position`.
+
     `prepare()` gives, in a task, a function from words to their ids; a word is
     never cut differently inside a text. `end` is an id put behind every text.
     Null and empty texts have no ids but `end`. Rows are independent of one another, so repeated
@@ -312,7 +319,11 @@ def encoded(
     not, the word counts of a block differ and the query fails.
     """
     buckets = buckets or min(4096, max(64, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        "text",
+        *([F.col(position).cast("long").alias("position")] if position else []),
+    )
     words = rows.mapInArrow(_cut(buckets, words=True), _PACKED)
     words = words.repartition("bucket").sortWithinPartitions("bucket", "block")
     texts = rows.mapInArrow(_cut(buckets, words=False), _PACKED)
@@ -321,12 +332,12 @@ def encoded(
     return (
         both.repartition("block")
         .sortWithinPartitions("block", "bucket")
-        .mapInArrow(_assemble(end), "doc_id long, n_tokens long, ids binary")
+        .mapInArrow(_assemble(end), "doc_id long, n_tokens long, ids binary" + ", position long" * bool(position))
     )
 
 
 def decoded(tokens: DataFrame, ranks: str) -> DataFrame:
-    """`doc_id`, `n_tokens`, `ids` of `tokens` and `decoded`: the bytes of the ids, joined from the token table.
+    """The columns of `encoded` and `decoded`: the bytes of the ids, joined from the token table.
 
     The table is that of the rank file. An id that it lacks raises an error.
     """
@@ -351,10 +362,11 @@ def decoded(tokens: DataFrame, ranks: str) -> DataFrame:
                         raise ValueError("an id without a token")
                     out.append(gather(body, starts[ids], lengths[ids]).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("doc_id", "n_tokens", "ids")), pa.array(out, pa.binary())],
-                    ["doc_id", "n_tokens", "ids", "decoded"],
+                    [*part.columns, pa.array(out, pa.binary())],
+                    [*part.schema.names, "decoded"],
                 )
 
-    return tokens.select("doc_id", "n_tokens", "ids").mapInArrow(
-        run, "doc_id long, n_tokens long, ids binary, decoded binary"
+    position = ["position"] if "position" in tokens.columns else []
+    return tokens.select("doc_id", "n_tokens", "ids", *position).mapInArrow(
+        run, "doc_id long, n_tokens long, ids binary" + ", position long" * bool(position) + ", decoded binary"
     )

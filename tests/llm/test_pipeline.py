@@ -1,12 +1,15 @@
 """The pipeline's stages against plain rules, on small tables with odd rows."""
 
+import hashlib
 import re
 
 import pytest
+from test_exact_and_mixing import plain_schedule
 from test_near import plain_components
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from rxcover.llm import mixing
 
 FOLDER = "/root/testdata/sf0.001"
 SPACE = re.compile(r"[\x20\x09-\x0D]")
@@ -76,3 +79,19 @@ def test_odd_rows(spark):
 def test_run(spark, docs):
     rows = entry.queries()["pipeline"](spark, FOLDER).collect()
     assert 0 < len(rows) < docs.count() and all(r.n_tokens * 4 == len(r.ids) for r in rows)
+
+
+def test_run_follows_the_schedule(spark, docs):
+    rows = entry.queries()["pipeline"](spark, FOLDER).collect()
+    source = {r.doc_id: r.source for r in docs.collect()}
+    waiting = {}
+    for r in sorted(rows, key=lambda r: hashlib.md5(str(r.doc_id).encode()).hexdigest()):
+        waiting.setdefault(source[r.doc_id], []).append(r.doc_id)
+    plan = plain_schedule(mixing.quotas(mixing.tempered({s: len(ids) for s, ids in waiting.items()})))
+    expected = []
+    while any(waiting.values()):
+        for s, _, _ in plan:
+            expected += waiting[s][: mixing.BLOCK_DOCS]
+            del waiting[s][: mixing.BLOCK_DOCS]
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r.mix_position)] == expected
+    assert sorted(r.mix_position for r in rows) == list(range(len(rows)))
