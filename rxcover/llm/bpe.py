@@ -12,6 +12,8 @@ for the positions, so that positions are shuffled once and no block is stored.
 from __future__ import annotations
 
 import base64
+import json
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -45,10 +47,11 @@ def tiktoken_encoder(ranks: str, pattern: str) -> Callable[[], Encoder]:
     return prepare
 
 
-def tokenizers_encoder(path: str) -> Callable[[], Encoder]:
+def tokenizers_encoder(path: str, special: bool = False) -> Callable[[], Encoder]:
     """Encoder by the tokenizers library with the file `path`, read on the driver.
 
-    Strings of special tokens in a text are ordinary text.
+    Strings of special tokens are ordinary text, or with `special` have the ids of the file; then
+    give `encoded` the `added_tokens` of the file too.
     """
     with open(path, encoding="utf-8") as file:
         model = file.read()
@@ -60,7 +63,7 @@ def tokenizers_encoder(path: str) -> Callable[[], Encoder]:
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_str(model)
-        own.encode_special_tokens = True
+        own.encode_special_tokens = not special
         return lambda words: [
             e.ids for e in own.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
         ]
@@ -68,6 +71,30 @@ def tokenizers_encoder(path: str) -> Callable[[], Encoder]:
     return prepare
 
 
+def added_tokens(path: str) -> list[str]:
+    """The strings to which the file `path` of the tokenizers library gives ids beside its vocabulary."""
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in found):
+        raise ValueError("added tokens that look at their neighbours are not supported")
+    return [t["content"] for t in found]
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray, added: re.Pattern | None) -> np.ndarray:
+    """Starts of the pieces; what `added` matches in a text is one piece, and texts are cut there first."""
+    line = data.tobytes() if added else b""
+    if not added or not added.search(line):
+        return pieces(data, offsets)
+    ends = offsets.tolist()
+    spans = [m.span() for low, high in zip(ends, ends[1:]) for m in added.finditer(line, low, high)]
+    if not spans:
+        return pieces(data, offsets)
+    spans = np.array(spans, dtype=np.int64)
+    starts = pieces(data, np.unique(np.concatenate([offsets, spans.ravel()])))
+    own = np.searchsorted(spans[:, 0], starts, side="right") - 1
+    return starts[(own < 0) | (starts == spans[own, 0]) | (starts >= spans[own, 1])]
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
@@ -142,13 +169,16 @@ def gather(body: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return body[shift + np.arange(len(shift))]
 
 
-def _cut(buckets: int, words: bool):
+def _cut(buckets: int, words: bool, added: Sequence[str] = ()):
     """Blocks: either the distinct `words` by bucket, or the texts as positions in the list of words."""
+    # The longest first, as the library does.
+    cuts = [re.escape(a.encode()) for a in sorted(added, key=len, reverse=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 32
+        pattern = re.compile(b"|".join(cuts)) if cuts else None
         # Per chunk: hashes and words of its distinct pieces, numbers of its pieces, pieces per text.
         ids, at, chunks, held = [], [], [], 0
 
@@ -195,7 +225,7 @@ def _cut(buckets: int, words: bool):
                 if ids and held + len(data) > BLOCK_BYTES:
                     yield flush()
                     block, ids, at, chunks, held = block + 1, [], [], [], 0
-                starts = pieces(data, offsets)
+                starts = _pieces(data, offsets, pattern)
                 known, index, number = distinct(data, starts)
                 lengths = np.diff(np.append(starts, len(data)))
                 per_text = np.diff(np.searchsorted(starts, offsets)) if len(starts) else np.zeros(n, np.int64)
@@ -302,9 +332,11 @@ def encoded(
     remembered: int = REMEMBERED,
     end: int | None = None,
     position: str | None = None,
+    added: Sequence[str] = (),
 ) -> DataFrame:
     """`doc_id`, `n_tokens`, `ids` (little-endian unsigned 32-bit numbers) for every row of `docs`.
 
+    `added` are strings that are words of their own wherever a text holds them.
     `position` names a column of whole numbers that goes with each row into a column `position`.
 
     `prepare()` gives, in a task, a function from words to their ids; a word is
@@ -324,9 +356,9 @@ def encoded(
         "text",
         *([F.col(position).cast("long").alias("position")] if position else []),
     )
-    words = rows.mapInArrow(_cut(buckets, words=True), _PACKED)
+    words = rows.mapInArrow(_cut(buckets, words=True, added=added), _PACKED)
     words = words.repartition("bucket").sortWithinPartitions("bucket", "block")
-    texts = rows.mapInArrow(_cut(buckets, words=False), _PACKED)
+    texts = rows.mapInArrow(_cut(buckets, words=False, added=added), _PACKED)
     # The texts come first: the numbers of their tasks, and so of their blocks, are those of the first reading.
     both = texts.unionByName(words.mapInArrow(_encode(prepare, remembered), _PACKED))
     return (

@@ -85,9 +85,10 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_elias_fano_files(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    prepare = bpe.tokenizers_encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    model = public_tokenizers.path("byte_bpe_50k.json")
+    prepare, added = bpe.tokenizers_encoder(model, special=True), bpe.added_tokens(model)
     files = new_folder(spark, "tokens")
-    tokens = bpe.encoded(docs, prepare, end=2)
+    tokens = bpe.encoded(docs, prepare, end=2, added=added)
     token_files.write_tokens(tokens, docs.select("doc_id"), files, bytes_per_id=2)
     return token_files.read_tokens(spark, files).select("doc_id", "start", "n_tokens", "ids_crc32")
 

@@ -13,7 +13,7 @@ import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rxcover.llm import bpe, token_files
+from rxcover.llm import bpe, queries, token_files
 from rxcover.llm.elias_fano import EliasFano
 from rxcover.llm.pretokens import distinct, pieces
 from rxcover.llm.textvec import text_chunks
@@ -137,3 +137,21 @@ def test_sha_of_empty_text_is_that_of_nothing(spark):
     prepare = bpe.tiktoken_encoder(RANKS, public_tokenizers.PATTERN)
     row = bpe.encoded(spark.createDataFrame([(1, None)], "doc_id long, text string"), prepare).first()
     assert row.n_tokens == 0 and hashlib.sha256(row.ids).hexdigest() == hashlib.sha256(b"").hexdigest()
+
+
+def test_op10_equals_the_unchanged_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(MODEL)
+    mark = "<|endoftext|>"
+    texts = [t or "" for t in TEXTS] + [
+        f"a {mark} b", mark, mark * 3, f"  {mark}  x", f"it's{mark}'s", "<|endof", "text|> y", f"é\n{mark}\n\n 日", f"<{mark[:-1]}{mark}>",
+    ]
+    assert own.encode(texts[len(TEXTS)], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    at = 0
+    for r in sorted(queries.op10_elias_fano_files(spark, str(tmp_path)).collect()):
+        ids = own.encode(texts[r.doc_id], add_special_tokens=False).ids + [2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
