@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rxcover.llm import (
     bpe,
+    decontaminate,
     exact_dedup,
     language,
     mixing,
@@ -93,6 +94,18 @@ def op10_elias_fano_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_tokens(spark, files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op13_prefix_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return decontaminate.contamination(docs, items).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_projection_passes": op1_projection_passes,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -104,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pfair_mixing": op8_pfair_mixing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_elias_fano_files": op10_elias_fano_files,
+    "op13_prefix_decontamination": op13_prefix_decontamination,
 }
 
 EXACT_DEDUP_SQL = r"""
@@ -153,7 +167,40 @@ SELECT doc_id, source, CAST(block AS BIGINT) AS mix_block, CAST(cycle * 1000 + p
 FROM blocks JOIN plan ON plan.i = blocks.i AND plan.earlier[plan.i] = nth, lists
 """
 
-ORACLES: dict[str, str] = {"op8_pfair_mixing": MIXING_SQL, "op9_exact_dedup": EXACT_DEDUP_SQL}
+DECONTAMINATION_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS i, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[s:s + 9], ' ') AS t
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM b WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT k FROM item_windows),
+doc_windows AS (
+  SELECT i, k, s, array_to_string(w[s:s + k - 1], ' ') AS t
+  FROM (SELECT i, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, lengths WHERE len(w) >= k)),
+found AS (SELECT i, s, d.k, item_id FROM doc_windows d JOIN item_windows p ON d.t = p.t AND d.k = p.k),
+hit AS (SELECT i, count(DISTINCT p) AS n_hit FROM (SELECT i, unnest(range(s, s + k)) AS p FROM (SELECT DISTINCT i, s, k FROM found)) GROUP BY i),
+named AS (
+  SELECT i, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT i, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL) GROUP BY i)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (i) LEFT JOIN named USING (i)
+"""
+
+ORACLES: dict[str, str] = {
+    "op8_pfair_mixing": MIXING_SQL,
+    "op9_exact_dedup": EXACT_DEDUP_SQL,
+    "op13_prefix_decontamination": DECONTAMINATION_SQL,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
