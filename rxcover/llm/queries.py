@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from rxcover.llm import (
     bpe,
+    collocations,
     decontaminate,
     exact_dedup,
     language,
     mixing,
     ngram_join,
     quality,
+    search,
     secret_scan,
     token_files,
     toxicity,
@@ -94,6 +96,14 @@ def op10_elias_fano_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_tokens(spark, files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_rabin_karp_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+def op12_norm_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    return search.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op13_prefix_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
     return decontaminate.contamination(docs, items).select(
@@ -117,6 +127,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pfair_mixing": op8_pfair_mixing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_elias_fano_files": op10_elias_fano_files,
+    "op11_rabin_karp_collocations": op11_rabin_karp_collocations,
+    "op12_norm_buckets": op12_norm_buckets,
     "op13_prefix_decontamination": op13_prefix_decontamination,
 }
 
@@ -167,6 +179,60 @@ SELECT doc_id, source, CAST(block AS BIGINT) AS mix_block, CAST(cycle * 1000 + p
 FROM blocks JOIN plan ON plan.i = blocks.i AND plan.earlier[plan.i] = nth, lists
 """
 
+COLLOCATIONS_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, k, array_to_string(w[s:s + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM words, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 10),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS p FROM f WHERE k > 1),
+cuts AS (
+  SELECT lang, phrase, a, c, array_to_string(p[1:c], ' ') AS first, array_to_string(p[c + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM candidates)),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, a, x.f AS l, y.f AS r, c,
+         CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = first JOIN f y ON y.lang = cuts.lang AND y.phrase = rest),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+longer AS (
+  SELECT lang, phrase, max(a) AS longer
+  FROM (SELECT lang, a, array_to_string(p[s:s + 1], ' ') AS phrase FROM (SELECT *, unnest([1, 2]) AS s FROM candidates WHERE k = 3))
+  GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN longer USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+SEARCH_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS i, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+q AS (
+  SELECT b, item_id, t, count(*) AS times
+  FROM (SELECT row_number() OVER () AS b, item_id, unnest(
+          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+        FROM benchmark)
+  GROUP BY ALL),
+total AS (SELECT count(*) FILTER (len(w) > 0) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d),
+scale AS (SELECT i, doc_id, 75 + (25 * len(w) * n) // l AS m FROM d, total WHERE len(w) > 0),
+tf AS (SELECT i, t, count(*) AS tf FROM (SELECT i, unnest(w) AS t FROM d) GROUP BY ALL),
+weight AS (SELECT t, CAST(floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY t, n),
+scored AS (
+  SELECT b, item_id, doc_id, i, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM q JOIN tf USING (t) JOIN weight USING (t) JOIN scale USING (i) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 20
+"""
+
 DECONTAMINATION_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS i, doc_id,
@@ -199,6 +265,8 @@ FROM d LEFT JOIN hit USING (i) LEFT JOIN named USING (i)
 ORACLES: dict[str, str] = {
     "op8_pfair_mixing": MIXING_SQL,
     "op9_exact_dedup": EXACT_DEDUP_SQL,
+    "op11_rabin_karp_collocations": COLLOCATIONS_SQL,
+    "op12_norm_buckets": SEARCH_SQL,
     "op13_prefix_decontamination": DECONTAMINATION_SQL,
 }
 
