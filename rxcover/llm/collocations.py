@@ -33,11 +33,13 @@ BLOCK_BYTES = 16 << 20
 # Text that a task holds before it writes the largest block.
 HELD_BYTES = 64 << 20
 # Text for each bucket of fingerprints; at least one bucket a shuffle partition.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 SPACE, BREAK = 32, 10
 
-_BLOCK = "lang string, words long, data binary"
-_COUNTED = "bucket long, block long, high binary, low binary, places binary, counts binary"
+_BLOCK = "lang string, words long, size long, data binary"
+# Fingerprints as differences and pointers cut by bytes, so that the shuffle can compress them.
+_PLANES = {"low": np.uint32, "high": np.uint16, "near": np.uint16, "far": np.uint8, "top": np.uint8, "counts": np.uint32}
+_COUNTED = "bucket long, block long, " + ", ".join(f"{name} binary" for name in _PLANES)
 _PHRASES = "lang string, words int, phrase string, times long"
 
 
@@ -71,11 +73,17 @@ def _blocks(lang: str, parts: list[np.ndarray], size: int) -> Iterator[pa.Record
     for low, high in _cuts(data, BLOCK_BYTES):
         block = data[low:high]
         words = int(np.count_nonzero((block == SPACE) | (block == BREAK)))
+        body = pa.compress(block.tobytes(), codec="zstd", asbytes=True)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([lang]), pa.array([words]), pa.array([block.tobytes()], pa.binary())], ["lang", "words", "data"]
+            [pa.array([lang]), pa.array([words]), pa.array([len(block)]), pa.array([body], pa.binary())],
+            ["lang", "words", "size", "data"],
         )
 
 
+def _opened(body: pa.Scalar, size: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(pa.decompress(body.as_buffer(), size.as_py(), codec="zstd"), dtype=np.uint8)
+
+
 def _cuts(data: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
     """Bounds of parts of about `size` bytes, each the end of a piece."""
     breaks = np.flatnonzero(data == BREAK) + 1
@@ -136,8 +144,8 @@ def _counted(buckets: int, most: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, lang, body in zip(*(batch.column(c) for c in ("block", "lang", "data"))):
-                data, seed = np.frombuffer(body.as_buffer(), dtype=np.uint8), _seed(lang.as_py())
+            for block, lang, size, body in zip(*(batch.column(c) for c in ("block", "lang", "size", "data"))):
+                data, seed = _opened(body, size), _seed(lang.as_py())
                 prints, places = [], []
                 for _, part, seen, words, number, starts, ends in _spans(data, most):
                     prints.append(_fingerprints(part, starts, ends, seed))
@@ -153,7 +161,10 @@ def _counted(buckets: int, most: int):
                 bucket = ((prints >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(32)
                 heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
                 bounds = np.concatenate([heads, [len(prints)]])
-                columns = [(prints >> np.uint64(16)).astype(np.uint32), prints.astype(np.uint16), places, counts]
+                steps = np.concatenate([prints[:1], prints[1:] - prints[:-1]])
+                steps[heads] = prints[heads]
+                columns = [steps, steps >> np.uint64(32), places, places >> np.uint32(16), places >> np.uint32(24), counts]
+                columns = [c.astype(kind) for c, kind in zip(columns, _PLANES.values())]
                 step = 4096  # rows of one batch
                 for i in range(0, len(heads), step):
                     own = bounds[i : i + step + 1]
@@ -164,7 +175,7 @@ def _counted(buckets: int, most: int):
                             pa.array(np.full(len(own) - 1, block.as_py(), dtype=np.int64)),
                             *[binaries(c[cut], own - own[0]) for c in columns],
                         ],
-                        ["bucket", "block", "high", "low", "places", "counts"],
+                        ["bucket", "block", *_PLANES],
                     )
 
     return run
@@ -175,16 +186,22 @@ def _frequent(least: int):
 
     def finish(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        high, bounds = joined(table.column("high"), np.uint32)
-        low, places, counts = (joined(table.column(c), t)[0] for c, t in (("low", np.uint16), ("places", np.uint32), ("counts", np.uint32)))
-        prints = (high.astype(np.uint64) << np.uint64(16)) | low
+        plane = lambda name, kind: joined(table.column(name), _PLANES[name])[0].astype(kind)
+        prints = plane("high", np.uint64)
+        prints <<= np.uint64(32)
+        prints |= plane("low", np.uint64)
+        bounds = joined(table.column("low"), np.uint32)[1]
+        np.cumsum(prints, out=prints)
+        prints -= np.repeat(np.concatenate([[np.uint64(0)], prints])[bounds[:-1]], np.diff(bounds))
         order = np.argsort(prints)
         prints = prints[order]
         first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
-        totals = np.add.reduceat(counts[order].astype(np.int64), first)
+        totals = np.add.reduceat(plane("counts", np.int64)[order], first)
         kept = np.zeros(len(prints), dtype=bool)
         kept[order] = np.repeat(totals >= least, np.diff(np.concatenate([first, [len(prints)]])))
-        sizes = np.add.reduceat(kept, bounds[:-1]) if len(bounds) > 1 else np.zeros(0)
+        del prints, order
+        places = plane("near", np.uint32) | (plane("far", np.uint32) << 16) | (plane("top", np.uint32) << 24)
+        sizes = np.add.reduceat(kept.astype(np.int64), bounds[:-1]) if len(bounds) > 1 else np.zeros(0)
         out = pa.RecordBatch.from_arrays(
             [table.column("block"), binaries(places[kept], np.concatenate([[0], np.cumsum(sizes)]))], ["block", "places"]
         )
@@ -212,8 +229,8 @@ def _verified(most: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, body, places in zip(*(batch.column(c) for c in ("lang", "data", "places"))):
-                data = np.frombuffer(body.as_buffer(), dtype=np.uint8)
+            for lang, size, body, places in zip(*(batch.column(c) for c in ("lang", "size", "data", "places"))):
+                data = _opened(body, size)
                 places = np.concatenate([np.frombuffer(p.as_buffer(), dtype=np.uint32) for p in places.values])
                 yield _by_text(lang.as_py(), data, places, most)
 
@@ -292,15 +309,15 @@ def frequent_phrases(
     """
     spark = docs.sparkSession
     packed = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(_packed, _BLOCK)
-    blocks = stored(packed.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    blocks = stored(packed.withColumn("block", F.monotonically_increasing_id()), "blocks", "none")
     if buckets is None:
-        size = blocks.agg(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0
+        size = blocks.agg(F.sum("size")).first()[0] or 0
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    counted = blocks.select("block", "lang", "data").mapInArrow(_counted(buckets, most_words), _COUNTED)
+    counted = blocks.select("block", "lang", "size", "data").mapInArrow(_counted(buckets, most_words), _COUNTED)
     dealt = counted.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     pointers = dealt.mapInArrow(_frequent(least), "block long, places binary")
     pointers = pointers.groupBy("block").agg(F.collect_list("places").alias("places"))
-    texts = blocks.select("block", "lang", "data").join(pointers, "block").select("lang", "data", "places")
+    texts = blocks.select("block", "lang", "size", "data").join(pointers, "block").select("lang", "size", "data", "places")
     phrases = (
         texts.mapInArrow(_verified(most_words), _PHRASES)
         .groupBy("lang", "words", "phrase")
