@@ -169,7 +169,8 @@ class Bucket:
         cosine = min(1.0, least / (item.length * self.norms[0] * SLACK))
         for term, share in zip(item.terms[:FOCUS], item.direction[:FOCUS]):
             spread = math.sqrt(max(0.0, (1 - cosine * cosine) * (1 - share * share))) + 1e-6
-            low, high = share * cosine - spread, share * cosine + spread
+            # A vector along the term itself is near enough to the item if the term's share is.
+            low, high = share * cosine - spread, math.inf if share >= cosine else share * cosine + spread
             part = np.zeros(len(self.norms))
             at = self.of(term)
             part[self.docs[at]] = self.impacts[at] * root[term] / self.norms[self.docs[at]]
