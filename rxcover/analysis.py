@@ -6,7 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame
 
-from rxcover.operators import adherence, enrich, exposures, gaps, quality, summary
+from rxcover.operators import adherence, enrich, exposures, gaps, quality, report, summary, trends
 from rxcover.schema import DAYS_PER_MONTH, MIN_GAP_DAYS, MIN_TREATMENT_DAYS, PDC_THRESHOLD
 from rxcover.sources.cdm import CdmTables
 
@@ -106,6 +106,39 @@ class AdherenceAnalysis:
         )
         return enrich.attach_drug_names(found, self.tables.concept, with_class=False)
 
+    def get_gap_counts(
+        self, start: Day, end: Day, min_gap_days: int = MIN_GAP_DAYS, filter_drug_type: bool | None = None
+    ) -> DataFrame:
+        """The gaps of `get_detailed_gaps` counted per patient, drug and length, without a listing."""
+        found = gaps.gap_counts(self._fills(start, end, filter_drug_type), min_gap_days, self.profile.clamp_gaps)
+        return enrich.attach_drug_names(found, self.tables.concept, with_class=False)
+
+    def get_adherence_over_time(
+        self,
+        start: Day,
+        end: Day,
+        unit: str = "month",
+        pdc_threshold: Decimal | float | str = PDC_THRESHOLD,
+        min_treatment_days: int = MIN_TREATMENT_DAYS,
+        filter_drug_type: bool | None = None,
+    ) -> DataFrame:
+        """Covered and observed days and PDC per patient, drug and `month`, `quarter` or `year`, under merged coverage."""
+        cells = trends.calendar_pdc(self._fills(start, end, filter_drug_type), unit, pdc_threshold, min_treatment_days)
+        return enrich.attach_drug_names(cells, self.tables.concept)
+
+    def get_headline(
+        self,
+        start: Day,
+        end: Day,
+        pdc_threshold: Decimal | float | str = PDC_THRESHOLD,
+        min_treatment_days: int = MIN_TREATMENT_DAYS,
+        min_gap_days: int = MIN_GAP_DAYS,
+        filter_drug_type: bool | None = None,
+    ) -> DataFrame:
+        """One row of headline figures, under merged coverage and signed gaps."""
+        fills = self._fills(start, end, filter_drug_type)
+        return report.headline_of_fills(fills, pdc_threshold, min_treatment_days, min_gap_days)
+
     def get_summary_statistics(
         self, start: Day, end: Day, pdc_threshold: Decimal | float | str = PDC_THRESHOLD
     ) -> dict[str, DataFrame]:

@@ -17,13 +17,17 @@ def _zero() -> Column:
     return F.lit(0).cast("bigint")
 
 
-def fill_spans(fills: DataFrame) -> DataFrame:
+def fill_spans(fills: DataFrame, *measures: Column) -> DataFrame:
     """Distinct (start, end) pairs of each patient-drug with their number of fills."""
-    return fills.groupBy(*PATIENT_DRUG, "start_date", "end_date").agg(F.count("*").alias("num_fills"))
+    return fills.groupBy(*PATIENT_DRUG, "start_date", "end_date").agg(F.count("*").alias("num_fills"), *measures)
 
 
 def merge_steps(fills: DataFrame) -> DataFrame:
-    """Spans in order, with what each adds to the merged coverage.
+    return span_steps(fill_spans(fills))
+
+
+def span_steps(counted: DataFrame) -> DataFrame:
+    """Spans in order, with what each adds to the merged coverage; other columns stay.
 
     A span starts a new period if it begins more than a day after everything
     before it has ended. Such a span whose own end lies two or more days before
@@ -34,9 +38,9 @@ def merge_steps(fills: DataFrame) -> DataFrame:
     in_order = Window.partitionBy(*PATIENT_DRUG).orderBy("start_date", "end_date")
     before = in_order.rowsBetween(Window.unboundedPreceding, -1)
     reached = F.col("covered_until")
+    extra = [c for c in counted.columns if c not in (*PATIENT_DRUG, "start_date", "end_date", "num_fills")]
     spans = (
-        fill_spans(fills)
-        .withColumn("covered_until", F.max("end_date").over(before))
+        counted.withColumn("covered_until", F.max("end_date").over(before))
         .withColumn("previous_start", F.lag("start_date").over(in_order))
         .withColumn("previous_end", F.lag("end_date").over(in_order))
     )
@@ -52,14 +56,15 @@ def merge_steps(fills: DataFrame) -> DataFrame:
         "covered_until",
         starts.alias("starts_period"),
         last_period_end.alias("last_period_end"),
+        *extra,
     ).withColumn("repeats", F.when(isolated, F.col("num_fills")).otherwise(F.lit(1).cast("bigint")))
 
 
-def merged_periods(fills: DataFrame) -> DataFrame:
-    """Union of overlapping or adjacent fills, one row per coverage period.
+def counted_periods(fills: DataFrame) -> DataFrame:
+    """Union of overlapping or adjacent fills; a row stands for `repeats` periods with the same dates.
 
-    Fills with reversed dates that occur several times with the same dates are
-    as many periods of one fill each.
+    Several periods in a row are fills with reversed dates that occur several
+    times with the same dates; `coverage_group` is the number of the last one.
     """
     so_far = (
         Window.partitionBy(*PATIENT_DRUG)
@@ -69,13 +74,21 @@ def merged_periods(fills: DataFrame) -> DataFrame:
     numbered = merge_steps(fills).withColumn(
         "coverage_group", F.sum(F.when(F.col("starts_period"), F.col("repeats")).otherwise(_zero())).over(so_far)
     )
-    periods = numbered.groupBy(*PATIENT_DRUG, "coverage_group").agg(
+    return numbered.groupBy(*PATIENT_DRUG, "coverage_group").agg(
         F.min("start_date").alias("period_start"),
         F.max("end_date").alias("period_end"),
         F.sum("num_fills").alias("num_fills"),
         F.max("repeats").alias("repeats"),
     )
-    # A row that stands for several periods carries the number of the last one.
+
+
+def merged_periods(fills: DataFrame) -> DataFrame:
+    """Union of overlapping or adjacent fills, one row per coverage period.
+
+    Fills with reversed dates that occur several times with the same dates are
+    as many periods of one fill each.
+    """
+    periods = counted_periods(fills)
     copies = F.explode(F.sequence(F.col("repeats") - 1, F.lit(0).cast("bigint"), F.lit(-1).cast("bigint")))
     return periods.withColumn("later", copies).select(
         *PATIENT_DRUG,
@@ -104,13 +117,20 @@ def merged_totals(fills: DataFrame) -> DataFrame:
     Equal to summing `coverage_gaps`, but taken straight from the ordered spans,
     so neither the period numbers nor the periods have to be built.
     """
+    return totals_of(step_totals(merge_steps(fills)), F.sum("num_periods").alias("num_periods"))
+
+
+def step_totals(steps: DataFrame) -> DataFrame:
+    """What each span adds to the totals; columns beyond those of `span_steps` stay."""
     start, end = F.col("start_date"), F.col("end_date")
     starts, repeats = F.col("starts_period"), F.col("repeats")
+    known = ("covered_until", "starts_period", "last_period_end", "repeats")
+    extra = [c for c in steps.columns if c not in (*PATIENT_DRUG, "start_date", "end_date", "num_fills", *known)]
     length = durations.days_between(end, start) + 1
     fresh = F.greatest(_zero(), durations.days_between(end, F.col("covered_until")))
     gap = F.when(starts, durations.gap_after(F.col("last_period_end"), start))
     own_gap = F.when(repeats > 1, durations.gap_after(end, start))
-    steps = merge_steps(fills).select(
+    return steps.select(
         *PATIENT_DRUG,
         "start_date",
         "end_date",
@@ -120,8 +140,8 @@ def merged_totals(fills: DataFrame) -> DataFrame:
         (F.when(gap > 0, 1).otherwise(0) + F.when(own_gap > 0, repeats - 1).otherwise(0)).alias("num_gaps"),
         (F.coalesce(gap, _zero()) + F.coalesce(own_gap * (repeats - 1), _zero())).alias("gap_days"),
         F.greatest(gap, own_gap, _zero()).alias("longest_gap"),
+        *extra,
     )
-    return _totals(steps, F.sum("num_periods").alias("num_periods"))
 
 
 def adjusted_totals(fills: DataFrame) -> DataFrame:
@@ -147,10 +167,10 @@ def adjusted_totals(fills: DataFrame) -> DataFrame:
         (gap + others * own_gap).alias("gap_days"),
         F.greatest(gap, F.when(others > 0, own_gap)).alias("longest_gap"),
     )
-    return _totals(steps)
+    return totals_of(steps)
 
 
-def _totals(steps: DataFrame, *extra) -> DataFrame:
+def totals_of(steps: DataFrame, *extra: Column) -> DataFrame:
     totals = steps.groupBy(*PATIENT_DRUG).agg(
         F.sum("days_covered").alias("total_days_covered"),
         F.sum("num_fills").alias("total_fills"),

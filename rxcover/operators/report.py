@@ -1,10 +1,25 @@
 """Ranked lists and the headline figures."""
 
-from pyspark.sql import DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rxcover.functions.classify import adherence_status, pdc_ratio, pdc_units
+from rxcover.functions.ratios import percent, ratio
+from rxcover.operators.coverage import span_steps, step_totals, totals_of
+from rxcover.operators.gaps import gap_spans, span_gaps
 from rxcover.operators.summary import drug_summary, gap_by_drug, gap_totals, overall_statistics
-from rxcover.schema import HIGH_RISK_GAP_DAYS, MIN_PATIENTS_LOW_ADHERENCE, NON_ADHERENT
+from rxcover.schema import (
+    ADHERENT,
+    GAP_SEVERITIES,
+    HIGH_RISK_GAP_DAYS,
+    MIN_GAP_DAYS,
+    MIN_PATIENTS_LOW_ADHERENCE,
+    MIN_TREATMENT_DAYS,
+    NON_ADHERENT,
+    PDC_THRESHOLD,
+)
 
 
 def high_risk_patients(pdc: DataFrame, min_gap_days: int = HIGH_RISK_GAP_DAYS) -> DataFrame:
@@ -81,3 +96,59 @@ def headline_report(pdc: DataFrame, gaps: DataFrame) -> DataFrame:
     from_gaps = gap_totals(gaps)
     both = from_pdc.unionByName(from_gaps, allowMissingColumns=True)
     return both.agg(*[F.max(c).alias(c) for c in both.columns])
+
+
+def headline_of_fills(
+    fills: DataFrame,
+    threshold: Decimal | float | str = PDC_THRESHOLD,
+    min_treatment_days: int = MIN_TREATMENT_DAYS,
+    min_gap_days: int = MIN_GAP_DAYS,
+) -> DataFrame:
+    """The `headline_report` of merged coverage and signed gaps, in one pass over the fills.
+
+    Steps of the merged coverage and gaps between fills come from the same counted
+    spans on one partitioning; patients are reduced to a row each before the end.
+    """
+    after_last, after_others = span_gaps()
+    spans = gap_spans(fills).withColumns({"after_last": after_last, "after_others": after_others}).drop("last_id")
+    limits = {"gaps_found": (min_gap_days, None)}
+    (critical, _), (major, _) = GAP_SEVERITIES[:2]
+    limits |= {"critical_gaps": (max(critical, min_gap_days), None), "major_gaps": (max(major, min_gap_days), critical)}
+
+    def inside(gap: Column, low: int, high: int | None) -> Column:
+        return (gap >= low) if high is None else (gap >= low) & (gap < high)
+
+    none = F.lit(0).cast("bigint")
+    counted = {
+        name: F.when(inside(F.col("after_last"), *limit), 1).otherwise(none)
+        + F.when(inside(F.col("after_others"), *limit), F.col("num_fills") - 1).otherwise(none)
+        for name, limit in limits.items()
+    }
+    pairs = totals_of(
+        step_totals(span_steps(spans.withColumns(counted).drop("after_last", "after_others"))),
+        *[F.sum(name).alias(name) for name in counted],
+    ).withColumn("pdc", pdc_ratio(F.col("total_days_covered"), F.col("treatment_duration")))
+    treated = F.col("treatment_duration") >= min_treatment_days
+    adherent = adherence_status(F.col("pdc"), threshold) == ADHERENT
+    measures = {
+        "combinations": F.when(treated, 1),
+        "adherent": F.when(treated & adherent, 1),
+        "units": F.when(treated, pdc_units(F.col("pdc"))),
+        "num_gaps": F.when(treated, F.col("num_gaps")),
+        **{name: F.col(name) for name in counted},
+    }
+    patients = pairs.groupBy("person_id").agg(
+        *[F.coalesce(F.sum(value), none).alias(name) for name, value in measures.items()]
+    )
+    total = {name: F.coalesce(F.sum(name), none) for name in measures}
+    return patients.agg(
+        F.count_if(F.col("combinations") > 0).alias("total_patients"),
+        total["combinations"].alias("total_combinations"),
+        percent(total["adherent"], total["combinations"]).alias("adherence_rate"),
+        ratio(total["units"], total["combinations"] * 10000).alias("mean_pdc"),
+        ratio(total["num_gaps"], total["combinations"]).alias("avg_gaps"),
+        total["gaps_found"].alias("gaps_found"),
+        F.count_if(F.col("gaps_found") > 0).alias("patients_affected"),
+        total["critical_gaps"].alias("critical_gaps"),
+        total["major_gaps"].alias("major_gaps"),
+    )

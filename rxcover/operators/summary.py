@@ -31,20 +31,27 @@ def _with_units(pdc: DataFrame) -> DataFrame:
     return pdc.withColumn("pdc_units", pdc_units(F.col("pdc")))
 
 
-def _counted(df: DataFrame, value: str, measures: dict, groupings: Iterable[list[str]] = ((),)) -> DataFrame:
+def _counted(
+    df: DataFrame,
+    value: str,
+    measures: dict,
+    groupings: Iterable[list[str]] = ((),),
+    rows: Column | None = None,
+) -> DataFrame:
     """Rows counted per value and, beside them, one row per patient, within each grouping.
 
     All groupings share one pass and one shuffle, whose keys hold the value or
     the patient, so no group of rows meets in one task. In the result `value` is
     NULL on patient rows, `person_id` and all counts are NULL on value rows, and
     `level` tells the groupings apart (one bit per group column, set if unused).
+    `rows` sums the rows that each row stands for; without it each is one.
     """
     groupings = [list(g) for g in groupings]
     columns = list(dict.fromkeys(c for g in groupings for c in g))
     sets = [[*g, key] for g in groupings for key in (value, "person_id")]
     counts = df.groupingSets(sets, *columns, value, "person_id").agg(
         F.grouping_id().alias("grouping"),
-        F.count("*").alias("rows"),
+        (F.count("*") if rows is None else rows).alias("rows"),
         *[function(column).alias(column) for column, function in measures.items()],
     )
     per_value = F.col("grouping").bitwiseAND(2) == 0
@@ -296,12 +303,20 @@ def pdc_histogram(pdc: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
     )
 
 
+def _gap_rows(gaps: DataFrame) -> DataFrame:
+    """A listing as counts of one; counts as they are."""
+    return gaps if "gaps" in gaps.columns else gaps.withColumn("gaps", F.lit(1).cast("bigint"))
+
+
 def gap_by_drug(gaps: DataFrame) -> DataFrame:
-    """Gap statistics per drug name at 2 digits; drugs without a name are left out."""
-    named = gaps.filter(F.col("drug_name").isNotNull()).withColumn(
-        "critical_gaps", F.contains("gap_severity", F.lit("Critical")).cast("bigint")
+    """Gap statistics per drug name at 2 digits, of a listing or of `gap_counts`; drugs without a name are left out."""
+    critical = F.contains("gap_severity", F.lit("Critical"))
+    named = (
+        _gap_rows(gaps)
+        .filter(F.col("drug_name").isNotNull())
+        .withColumn("critical_gaps", F.when(critical, F.col("gaps")).otherwise(F.lit(0).cast("bigint")))
     )
-    counts = _counted(named, "gap_days", {"critical_gaps": F.sum}, [["drug_name"]])
+    counts = _counted(named, "gap_days", {"critical_gaps": F.sum}, [["drug_name"]], F.sum("gaps"))
     return counts.groupBy("drug_name").agg(
         _patients().alias("unique_patients"),
         F.sum("rows").alias("total_gaps"),
@@ -313,15 +328,20 @@ def gap_by_drug(gaps: DataFrame) -> DataFrame:
 
 
 def gap_severity_distribution(gaps: DataFrame) -> DataFrame:
-    return gaps.groupBy("gap_severity").agg(F.count("*").alias("gaps"))
+    return _gap_rows(gaps).groupBy("gap_severity").agg(F.sum("gaps").alias("gaps"))
 
 
 def gap_totals(gaps: DataFrame) -> DataFrame:
-    """One row: gaps found, patients affected, critical and major gaps."""
+    """One row: gaps found, patients affected, critical and major gaps, of a listing or of `gap_counts`."""
     critical, major = GAP_SEVERITIES[0][1], GAP_SEVERITIES[1][1]
-    return gaps.agg(
-        F.count("*").alias("gaps_found"),
+    severity, number = F.col("gap_severity"), F.col("gaps")
+
+    def total(which: Column) -> Column:
+        return F.coalesce(F.sum(F.when(which, number)), F.lit(0).cast("bigint"))
+
+    return _gap_rows(gaps).agg(
+        total(F.lit(True)).alias("gaps_found"),
         F.count_distinct("person_id").alias("patients_affected"),
-        F.count_if(F.col("gap_severity") == critical).alias("critical_gaps"),
-        F.count_if(F.col("gap_severity") == major).alias("major_gaps"),
+        total(severity == critical).alias("critical_gaps"),
+        total(severity == major).alias("major_gaps"),
     )

@@ -229,6 +229,60 @@ def _merge(select: str, where: str = DISPENSED) -> str:
     )
 
 
+def _over_time(select: str, unit: str) -> str:
+    """`cells`: every covered and every observed day of a patient-drug, counted by calendar unit."""
+    return _with(
+        select,
+        fills=_fills(DISPENSED),
+        grouped=GROUPED,
+        periods=PERIODS,
+        treated="""
+            SELECT person_id, drug_concept_id, min(period_start) AS first_day, max(period_end) AS last_day
+            FROM periods GROUP BY ALL HAVING date_diff('day', min(period_start), max(period_end)) + 1 >= 30""",
+        counted=f"""
+            SELECT person_id, drug_concept_id, CAST(date_trunc('{unit}', day) AS DATE) AS period, 1 AS covered, 0 AS observed
+            FROM (SELECT person_id, drug_concept_id, unnest(generate_series(period_start, period_end, INTERVAL 1 DAY)) AS day
+                  FROM periods WHERE period_end >= period_start)
+            UNION ALL
+            SELECT person_id, drug_concept_id, CAST(date_trunc('{unit}', period_start) AS DATE), days_covered, 0
+            FROM periods WHERE period_end < period_start
+            UNION ALL
+            SELECT person_id, drug_concept_id, CAST(date_trunc('{unit}', day) AS DATE), 0, 1
+            FROM (SELECT person_id, drug_concept_id, unnest(generate_series(first_day, last_day, INTERVAL 1 DAY)) AS day
+                  FROM treated)""",
+        cells="""
+            SELECT *, units / 10000.0::DOUBLE AS pdc,
+                   CASE WHEN units >= 8000 THEN 'Adherent' WHEN units >= 7000 THEN 'Moderately Adherent'
+                        ELSE 'Non-Adherent' END AS adherence_status
+            FROM (SELECT *, CASE WHEN observed_days > 0 THEN sign(covered_days)
+                            * ((2 * abs(covered_days) * 10000 + observed_days) // (2 * observed_days)) ELSE 0 END AS units
+                  FROM (SELECT person_id, drug_concept_id, period, sum(covered)::BIGINT AS covered_days,
+                               sum(observed)::BIGINT AS observed_days
+                        FROM counted SEMI JOIN treated USING (person_id, drug_concept_id) GROUP BY ALL)
+                  WHERE observed_days > 0 OR covered_days <> 0)""",
+        named="""
+            SELECT cells.*, concept_name AS drug_name, concept_class_id
+            FROM cells LEFT JOIN concept ON drug_concept_id = concept_id""",
+    )
+
+
+CELL_COLUMNS = """person_id, drug_concept_id, drug_name, concept_class_id, period, covered_days, observed_days, pdc,
+    adherence_status"""
+
+
+def _trend(unit: str, by: str | None = None) -> str:
+    keys = f"{by}, period" if by else "period"
+    return _over_time(
+        f"""SELECT *, round(pooled_pdc - lag(pooled_pdc) OVER ({f"PARTITION BY {by}" if by else ""} ORDER BY period), 4) AS change
+            FROM (SELECT {keys}, count(DISTINCT person_id) AS patients, count(*) AS combinations,
+                         sum(covered_days)::BIGINT AS covered_days, sum(observed_days)::BIGINT AS observed_days,
+                         {_half_up("sum(covered_days)", "sum(observed_days)", 4)} AS pooled_pdc,
+                         {MEAN_PDC} AS mean_pdc, {PCT_ADHERENT} AS pct_adherent
+                  FROM named {f"WHERE {by} IS NOT NULL" if by else ""} GROUP BY {keys})""",
+        unit,
+    )
+
+
 def _gap_query(select: str, where: str = "TRUE", clamp: bool = False, min_gap: int = 7) -> str:
     gaps = f"SELECT * FROM ({GAPS}) WHERE gap_days >= {min_gap}"
     return _with(select, fills=_fills(where), measured=_measured(clamp), gaps=gaps)
@@ -359,6 +413,10 @@ def oracle_sql() -> dict[str, str]:
         ),
         "merged_periods": _merge("SELECT * FROM periods"),
         "coverage_gaps": _merge("SELECT * FROM period_gaps"),
+        "pdc_by_month": _over_time(f"SELECT {CELL_COLUMNS} FROM named", "month"),
+        "pdc_by_year": _over_time(f"SELECT {CELL_COLUMNS} FROM named", "year"),
+        "trend_by_month": _trend("month"),
+        "trend_by_drug": _trend("quarter", "drug_name"),
         "lag_fill_detail": _with(
             """SELECT person_id, drug_concept_id, drug_exposure_id, start_date, end_date,
                       effective_supply AS days_supply, fill_number, prev_end_date, gap_days, overlap_days, adjusted_days_covered FROM lagged""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rxcover.analysis import AdherenceAnalysis
 from rxcover.functions.ratios import plain_types
-from rxcover.operators import coverage, enrich, exposures, gaps, quality, report, summary
+from rxcover.operators import coverage, enrich, exposures, gaps, quality, report, summary, trends
 from rxcover.sources.cdm import CdmTables
 from rxcover.sources.star_schema import AS_OF, WINDOW, cdm_from_star_schema
 
@@ -24,6 +24,14 @@ def _gaps(tables: CdmTables, profile: str = "dispensed", min_gap_days: int = 7)
     return AdherenceAnalysis(tables, profile).get_detailed_gaps(*WINDOW, min_gap_days)
 
 
+def _gap_counts(tables: CdmTables) -> DataFrame:
+    return AdherenceAnalysis(tables, "merge").get_gap_counts(*WINDOW)
+
+
+def _over_time(tables: CdmTables, unit: str) -> DataFrame:
+    return AdherenceAnalysis(tables, "dispensed").get_adherence_over_time(*WINDOW, unit)
+
+
 def _exposures(tables: CdmTables, profile: str = "merge") -> DataFrame:
     return AdherenceAnalysis(tables, profile).get_drug_exposures(*WINDOW)
 
@@ -65,6 +73,11 @@ BUILDERS: dict[str, Callable[[CdmTables], DataFrame]] = {
     "pdc_merge_avg_gap": lambda t: _pdc(t, "script"),
     "pdc_lag": lambda t: _pdc(t, "lag"),
     "pdc_lag_enriched": lambda t: _pdc(t, "enriched"),
+    # adherence over time
+    "pdc_by_month": lambda t: _over_time(t, "month"),
+    "pdc_by_year": lambda t: _over_time(t, "year"),
+    "trend_by_month": lambda t: trends.adherence_trend(_over_time(t, "month")),
+    "trend_by_drug": lambda t: trends.adherence_trend(_over_time(t, "quarter"), "drug_name"),
     # gaps between fills
     "gaps_detail": _gaps,
     "gaps_detail_full": lambda t: _gaps(t, "script"),
@@ -84,19 +97,19 @@ BUILDERS: dict[str, Callable[[CdmTables], DataFrame]] = {
     "drug_summary": lambda t: summary.drug_summary(_pdc(t, "merge")),
     "drug_summary_quick": lambda t: summary.quick_drug_summary(_pdc(t)),
     "pdc_histogram": lambda t: summary.pdc_histogram(_pdc(t, "merge")),
-    "gap_by_drug": lambda t: summary.gap_by_drug(_gaps(t, "merge")),
-    "gap_severity_distribution": lambda t: summary.gap_severity_distribution(_gaps(t, "merge")),
-    "gap_totals": lambda t: summary.gap_totals(_gaps(t, "merge")),
+    "gap_by_drug": lambda t: summary.gap_by_drug(_gap_counts(t)),
+    "gap_severity_distribution": lambda t: summary.gap_severity_distribution(_gap_counts(t)),
+    "gap_totals": lambda t: summary.gap_totals(_gap_counts(t)),
     # reports
     "top_drugs": lambda t: report.top_drugs(_pdc(t, "merge")),
     "top_drugs_chart": lambda t: report.top_drugs_chart(_pdc(t, "merge")),
     "low_adherence_drugs": lambda t: report.low_adherence_drugs(_pdc(t, "merge")),
     "lowest_adherence_lines": lambda t: report.lowest_adherence_lines(_pdc(t, "merge")),
     "patients_chart": lambda t: report.patients_chart(_pdc(t, "merge")),
-    "top_gap_drugs": lambda t: report.top_gap_drugs(_gaps(t, "merge")),
+    "top_gap_drugs": lambda t: report.top_gap_drugs(_gap_counts(t)),
     "high_risk": lambda t: report.high_risk(_pdc(t)),
     "high_risk_patients": lambda t: report.high_risk_patients(_pdc(t)),
-    "headline_report": lambda t: report.headline_report(_pdc(t, "merge"), _gaps(t, "merge")),
+    "headline_report": lambda t: AdherenceAnalysis(t, "merge").get_headline(*WINDOW),
     # data quality
     "database_info": lambda t: quality.database_info(t.drug_exposure),
     "days_supply_null_stats": lambda t: quality.days_supply_null_stats(t.drug_exposure),
