@@ -1,15 +1,20 @@
 """Numbering the fills of a patient-drug and looking at their neighbours.
 
-An ordinary window would send a whole patient-drug to one task. Here its fills
-are cut along the sort order into slices: by start day, by end day where the
-order uses it, and by block of 2**block_bits ids. Rows are numbered within their
-slice; one summary row per slice carries the number of fills before it and its
-neighbours across the edges. A patient-drug therefore meets in one task with one
-row per slice, and a slice holds the fills of one day whose ids lie in a block.
-Every table takes this way, so the plan does not depend on sizes. It costs a
-window over the slices and a join back beside the window over the rows. Where
-both sides of the join need the same columns they use the same exchange, and the
-rows are read and shuffled once; else twice.
+An ordinary window would send a whole patient-drug to one task. Here its fills are
+cut along the sort order into slices: by start day, by end day where the order uses
+it, and by blocks of ids. Rows are numbered within their slice. A prefix scan over
+several levels then carries numbers and neighbours across the edges: a slice becomes
+one summary row (number of fills, first and last fill), the slices of a larger block
+of ids become one, those of a day become one, and at last come the days of the
+patient-drug. Each level is a window of its own over the summaries below it, and hands
+what lies before and after down to them.
+
+So no task sees more of a patient-drug than the fills of one day whose ids lie in a
+block of 2**block_bits, the 2**block_bits blocks of a larger one, the larger blocks
+(at most 2**(64 - 2 * block_bits)) and end days of a day, or its days, however the
+ids are spread. Every table takes this way, so the plan does not depend on sizes. It costs a
+shuffle of summary rows up and one down for each level. Both sides of a join use the
+same exchange where they need the same columns, and the rows are read once; else twice.
 """
 
 from functools import reduce
@@ -20,7 +25,7 @@ from pyspark.sql import functions as F
 
 from rxcover.schema import PATIENT_DRUG
 
-BLOCK_BITS = 20
+BLOCK_BITS = 21
 
 
 def sequence_fills(
@@ -44,10 +49,12 @@ def sequence_fills(
     slices = {
         "_day": F.col("start_date"),
         **({"_end": F.col("end_date")} if by_end else {}),
+        "_region": F.shiftright("drug_exposure_id", 2 * block_bits),
         "_block": F.shiftright("drug_exposure_id", block_bits),
     }
     keys = [*PATIENT_DRUG, *slices]
-    carried = F.struct(*dict.fromkeys([*order, *previous.values(), *following.values()]))
+    # What a slice shows to its neighbours: of its last fill to the next one, of its first to the one before.
+    tail, head = (F.struct(F.lit(True).alias("_any"), *dict.fromkeys(shown.values())) for shown in (previous, following))
     in_slice = Window.partitionBy(*keys).orderBy(*order)
     whole_slice = in_slice.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # Stated for both sides of the join below, so that neither gets filters of its own and they share one exchange.
@@ -65,22 +72,81 @@ def sequence_fills(
             {
                 "_place": F.row_number().over(in_slice),
                 "_rows": F.count("*").over(whole_slice),
-                "_tail": F.last(carried).over(whole_slice),
+                "_tail": F.last(tail).over(whole_slice),
             }
         )
         .filter("_place = 1")
-        .select(*keys, "_rows", carried.alias("_head"), "_tail")
-    )
-    along = Window.partitionBy(*PATIENT_DRUG).orderBy(*slices)
-    edges = summary.select(
-        *keys,
-        F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.lag("_tail").over(along).alias("_last"),
-        F.lead("_head").over(along).alias("_first"),
+        .select(*keys, "_rows", head.alias("_head"), "_tail")
     )
+    levels = [PATIENT_DRUG, [*PATIENT_DRUG, "_day"], keys[:-1], keys]
+    edges = _edges(summary, levels)
     return local.join(edges, keys).select(
         *fills.columns,
-        (F.col(number) + F.coalesce(F.col("_before"), F.lit(0).cast("bigint"))).alias(number),
+        (F.col(number) + F.col("_before")).alias(number),
         *[F.coalesce(F.col(name), F.col(f"_last.{column}")).alias(name) for name, column in previous.items()],
         *[F.coalesce(F.col(name), F.col(f"_first.{column}")).alias(name) for name, column in following.items()],
     )
+
+
+def listing_position(
+    rows: DataFrame, order: list[str], name: str = "position", block_bits: int = BLOCK_BITS
+) -> DataFrame:
+    """Add each row's place in the whole listing, from 1, in the given order.
+
+    The first column of the order is an id that is never null. Rows are counted
+    per id and the counts scanned over blocks of ids, so no window sees all rows:
+    the largest ones see the rows of one id, or 2**block_bits ids or blocks.
+    """
+    first = order[0]
+    blocks = {"_region": F.shiftright(first, 2 * block_bits), "_block": F.shiftright(first, block_bits)}
+    keys = [*blocks, first]
+    sliced = rows.withColumns(blocks).filter(F.col(first).isNotNull())
+    none = F.lit(0).cast("bigint")
+    counts = sliced.groupBy(*keys).agg(F.count("*").alias("_rows")).withColumns({"_head": none, "_tail": none})
+    edges = _edges(counts, [[], keys[:1], keys[:2], keys]).select(*keys, "_before")
+    local = sliced.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    placed = local.join(edges, keys).withColumn(name, F.col(name) + F.col("_before"))
+    return placed.select(*rows.columns, name)
+
+
+def _edges(summary: DataFrame, levels: list[list[str]]) -> DataFrame:
+    """Fills before each slice, the last of them and the first after it, by a scan over the levels.
+
+    `summary` has `_rows`, `_head` and `_tail` per slice. `levels` are key
+    columns, those of what is numbered first, those of the slices last.
+    """
+    scanned, none = [], F.lit(0).cast("bigint")
+    for above, own in reversed(list(zip(levels, levels[1:]))):
+        along = Window.partitionBy(*above).orderBy(*own[len(above) :])
+        whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+        scanned.append(
+            summary.select(
+                *own,
+                F.coalesce(F.sum("_rows").over(earlier), none).alias("_before"),
+                F.lag("_tail").over(along).alias("_last"),
+                F.lead("_head").over(along).alias("_first"),
+            )
+        )
+        summary = (
+            summary.select(
+                *above,
+                F.row_number().over(along).alias("_place"),
+                F.sum("_rows").over(whole).alias("_rows"),
+                "_head",
+                F.last("_tail").over(whole).alias("_tail"),
+            )
+            .filter("_place = 1")
+            .drop("_place")
+        )
+    edges = scanned.pop()
+    while scanned:
+        outer = edges.withColumnsRenamed({"_before": "_outer_before", "_last": "_outer_last", "_first": "_outer_first"})
+        inner, shared = scanned.pop(), [c for c in outer.columns if not c.startswith("_outer")]
+        edges = inner.join(outer, shared).select(
+            *[c for c in inner.columns if c not in ("_before", "_last", "_first")],
+            (F.col("_before") + F.col("_outer_before")).alias("_before"),
+            F.coalesce("_last", "_outer_last").alias("_last"),
+            F.coalesce("_first", "_outer_first").alias("_first"),
+        )
+    return edges

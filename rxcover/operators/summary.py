@@ -236,6 +236,20 @@ def in_report_order(report: DataFrame) -> DataFrame:
     return report.orderBy(F.array_position(F.lit(REPORT_ORDER), F.col("category")), "subcategory")
 
 
+def with_report_position(report: DataFrame) -> DataFrame:
+    """The order of `in_report_order` as a column, from 1, numbered within each category and moved behind those before."""
+    everything, own = Window.partitionBy(), Window.partitionBy("category").orderBy("subcategory")
+    before = F.lit(0).cast("bigint")
+    sizes = report.groupBy("category").agg(F.count("*").alias("_rows"))  # one row a category, at most three
+    earlier = F.lit(0).cast("bigint")
+    for position, name in enumerate(REPORT_ORDER):
+        size = F.coalesce(F.sum(F.when(F.col("category") == name, F.col("_rows"))).over(everything), before)
+        earlier = earlier + F.when(F.array_position(F.lit(REPORT_ORDER), F.col("category")) > position + 1, size).otherwise(before)
+    sizes = sizes.select("category", earlier.alias("_before"))
+    numbered = report.withColumn("position", F.row_number().over(own))
+    return numbered.join(sizes, "category").select(*report.columns, (F.col("position") + F.col("_before")).alias("position"))
+
+
 def overall_statistics(pdc: DataFrame) -> DataFrame:
     """One row of patient, adherence, PDC and gap statistics.
 

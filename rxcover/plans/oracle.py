@@ -438,6 +438,11 @@ def oracle_sql() -> dict[str, str]:
                          calculated_end_date, days_covered LIMIT 1000"""
         ),
         "pdc_merge": _merge(f"SELECT {PDC_COLUMNS} FROM pdc"),
+        "pdc_merge_ordered": _merge(
+            """SELECT person_id, drug_concept_id, pdc, adherence_status,
+                      row_number() OVER (ORDER BY person_id, drug_concept_id) AS position FROM pdc"""
+        ),
+        "pdc_export": _merge(f"SELECT {PDC_COLUMNS} FROM pdc"),
         "pdc_merge_all": _merge(f"SELECT {PDC_COLUMNS} FROM pdc", "TRUE"),
         "pdc_merge_avg_gap": _merge(
             f"""SELECT {PDC_COLUMNS}, CASE WHEN num_gaps > 0
@@ -469,6 +474,11 @@ def oracle_sql() -> dict[str, str]:
             condition_summary=CONDITION_SUMMARY,
         ),
         "gaps_detail": _gap_query(f"SELECT {GAP_COLUMNS} FROM gaps", DISPENSED),
+        "gaps_detail_ordered": _gap_query(
+            """SELECT person_id, drug_concept_id, fill_sequence, gap_days,
+                      row_number() OVER (ORDER BY person_id, drug_concept_id, fill_sequence) AS position FROM gaps""",
+            DISPENSED,
+        ),
         "gaps_detail_full": _gap_query("SELECT * FROM gaps", DISPENSED),
         "gaps_detail_clamped": _gap_query(f"SELECT {GAP_COLUMNS} FROM gaps", clamp=True, min_gap=0),
         "gaps_detail_imputed": _with(
@@ -506,6 +516,11 @@ def oracle_sql() -> dict[str, str]:
                LEFT JOIN pdc ON units > above AND units <= upto GROUP BY pdc_bin"""
         ),
         "summary_report": _merge(SUMMARY_REPORT),
+        "summary_report_ordered": _merge(
+            f"""SELECT *, row_number() OVER (ORDER BY CASE category WHEN 'Overall' THEN 1 WHEN 'By Drug' THEN 2 ELSE 3 END,
+                                             subcategory NULLS FIRST) AS position
+                FROM ({SUMMARY_REPORT})"""
+        ),
         "notebook_overall": _merge(
             f"""SELECT *, total_combinations::DOUBLE / total_patients::DOUBLE AS avg_drugs_per_patient,
                        total_combinations - adherent_count AS non_adherent_count,

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from rxcover.analysis import AdherenceAnalysis
 from rxcover.functions.ratios import plain_types
 from rxcover.operators import coverage, enrich, exposures, gaps, quality, report, summary, trends
+from rxcover.operators.sequence import listing_position
+from rxcover.sources import sinks
 from rxcover.sources.cdm import CdmTables
 from rxcover.sources.star_schema import AS_OF, WINDOW, cdm_from_star_schema
 
@@ -55,6 +57,14 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
+def _exported(pdc: DataFrame) -> DataFrame:
+    """Written as CSV when the query is built, and read back from there."""
+    spark = pdc.sparkSession
+    folder = sinks.scratch_folder(spark)
+    sinks.export_csv(folder, pdc=pdc)
+    return sinks.read_export(spark, folder)["pdc"]
+
+
 BUILDERS: dict[str, Callable[[CdmTables], DataFrame]] = {
     # fills
     "exposures_base": _exposures,
@@ -69,6 +79,14 @@ BUILDERS: dict[str, Callable[[CdmTables], DataFrame]] = {
     "lag_fill_detail": lambda t: gaps.adjusted_fills(_fills(t, dispensed_only=False)),
     "lag_fill_detail_imputed": lambda t: AdherenceAnalysis(t, "enriched").get_adjusted_fills(*WINDOW),
     "pdc_merge": _pdc,
+    "pdc_export": lambda t: _exported(_pdc(t)),
+    "pdc_merge_ordered": lambda t: listing_position(
+        _pdc(t).select("person_id", "drug_concept_id", "pdc", "adherence_status"), ["person_id", "drug_concept_id"]
+    ),
+    "gaps_detail_ordered": lambda t: listing_position(
+        _gaps(t).select("person_id", "drug_concept_id", "fill_sequence", "gap_days"),
+        ["person_id", "drug_concept_id", "fill_sequence"],
+    ),
     "pdc_merge_all": lambda t: _pdc(t, "merge"),
     "pdc_merge_avg_gap": lambda t: _pdc(t, "script"),
     "pdc_lag": lambda t: _pdc(t, "lag"),
@@ -92,6 +110,7 @@ BUILDERS: dict[str, Callable[[CdmTables], DataFrame]] = {
     "summary_by_drug": lambda t: _rounded(summary.summary_by_drug(_pdc(t)), "std_pdc"),
     "summary_distribution_cut": lambda t: summary.pdc_distribution(_pdc(t)),
     "summary_report": lambda t: summary.summary_report(_pdc(t)),
+    "summary_report_ordered": lambda t: summary.with_report_position(summary.summary_report(_pdc(t))),
     "notebook_overall": lambda t: _rounded(summary.overall_statistics(_pdc(t, "merge")), "std_pdc"),
     "status_distribution": lambda t: summary.status_distribution(_pdc(t, "merge")),
     "drug_summary": lambda t: summary.drug_summary(_pdc(t, "merge")),

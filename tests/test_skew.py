@@ -5,9 +5,12 @@ import os
 import duckdb
 import pytest
 from compare import TABLES, differences, duckdb_views
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from rxcover.operators import exposures, gaps
+from rxcover.operators.sequence import BLOCK_BITS, listing_position, sequence_fills
 from rxcover.sources.star_schema import WINDOW, cdm_from_star_schema
 
 SOURCE = "/root/testdata/sf0.001"
@@ -101,3 +104,45 @@ def large_keys(tmp_path_factory):
 def test_large_keys(spark, large_keys, name):
     df = entry.queries()[name](spark, large_keys)
     assert differences(df, duckdb_views(large_keys), entry.oracle_sql()[name]) == []
+
+
+def test_spread_ids_of_a_frequent_patient_drug(spark):
+    """Ids over 2**60 and a third of the fills in one patient-drug: same rows as plain windows, small groups on each level."""
+    count = 60_000
+    frame = spark.range(count).selectExpr(
+        "IF(id % 3 = 0, 1, id % 5000 + 2) AS person_id",
+        "CAST(1 AS LONG) AS drug_concept_id",
+        "shiftright(xxhash64(id), 4) AS drug_exposure_id",
+        "date_add(DATE '2020-01-01', CAST(pmod(xxhash64(id, 1), 300) AS INT)) AS start_date",
+        "date_add(DATE '2020-01-01', CAST(pmod(xxhash64(id, 2), 400) AS INT)) AS end_date",
+    )
+    order = Window.partitionBy("person_id", "drug_concept_id").orderBy("start_date", "end_date", "drug_exposure_id")
+    wanted = frame.select(
+        "*",
+        F.row_number().over(order).cast("long").alias("n"),
+        F.lag("end_date").over(order).alias("before"),
+        F.lead("drug_exposure_id").over(order).alias("after"),
+    )
+    found = sequence_fills(frame, "n", True, {"before": "end_date"}, {"after": "drug_exposure_id"})
+    assert found.count() == count
+    assert found.exceptAll(wanted.select(found.columns)).isEmpty()
+    region, block = (F.shiftright("drug_exposure_id", bits * BLOCK_BITS) for bits in (2, 1))
+    levels = [["person_id"], ["person_id", "start_date"], ["person_id", "start_date", "end_date", region]]
+    children = [["start_date"], ["end_date", region], [block]]
+    for above, below in zip(levels, children):
+        largest = frame.groupBy(*above).agg(F.count_distinct(*below).alias("rows")).agg(F.max("rows")).first()[0]
+        assert largest <= 300  # of 20,000 fills of the patient-drug
+
+
+@pytest.mark.parametrize("bits", [2, 21])
+def test_positions_in_a_listing(spark, bits):
+    """A third of the rows in one person, negative and very large ids, and no window over all rows."""
+    frame = spark.range(3000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN -id ELSE id << 40 END AS person_id", "id % 1000 AS drug", "id AS rest"
+    )
+    everything = Window.orderBy("person_id", "drug", "rest")
+    wanted = frame.withColumn("position", F.row_number().over(everything).cast("long"))
+    found = listing_position(frame, ["person_id", "drug", "rest"], block_bits=bits)
+    assert found.columns == wanted.columns and found.count() == 3000
+    assert found.exceptAll(wanted).isEmpty()
+    assert listing_position(frame.limit(0), ["person_id", "drug"]).collect() == []

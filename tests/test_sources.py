@@ -1,8 +1,10 @@
 """Reading tables and writing results."""
 
 from datetime import datetime
+from pathlib import Path
 
-from builders import WINDOW, tables
+import pytest
+from builders import WINDOW, exposures, tables
 
 from rxcover import AdherenceAnalysis, CdmTables, schema
 from rxcover.functions.ratios import plain_types
@@ -10,7 +12,8 @@ from rxcover.operators.coverage import merged_totals
 from rxcover.operators.exposures import coverage_fills
 from rxcover.operators.summary import drug_summary
 from rxcover.sources.cdm import conform
-from rxcover.sources.sinks import export_csv
+from rxcover.sources.layout import bucket_rows, store_fills
+from rxcover.sources.sinks import IncompleteExport, export_csv, read_export
 
 ROWS = [{"start": "2020-01-01", "supply": 60}, {"start": "2020-05-01", "supply": 30}]
 
@@ -64,3 +67,59 @@ def test_bucketed_fills_need_no_shuffle(spark):
 def test_plain_types(spark):
     frame = spark.sql("SELECT CAST(1.5 AS DECIMAL(10,4)) AS a, 1 AS b, 'x' AS c, DATE '2020-01-01' AS d")
     assert [kind for _, kind in plain_types(frame).dtypes] == ["double", "bigint", "string", "date"]
+
+
+def exported(spark, folder):
+    analysis = AdherenceAnalysis(tables(spark, [*ROWS, {"person": 2, "drug": 9, "start": "2020-01-01", "supply": 60}]))
+    pdc, gaps = analysis.calculate_pdc(*WINDOW), analysis.get_detailed_gaps(*WINDOW)
+    export_csv(folder, datetime(2024, 1, 2, 3, 4, 5), pdc=pdc, gaps=gaps)
+    return pdc, gaps
+
+
+def test_export_is_read_back_with_its_types(spark, tmp_path):
+    pdc, gaps = exported(spark, str(tmp_path))
+    back = read_export(spark, str(tmp_path), "20240102_030405")
+    assert back.keys() == {"pdc", "gaps"}
+    for name, frame in (("pdc", pdc), ("gaps", gaps)):
+        assert back[name].dtypes == frame.dtypes
+        assert sorted(map(str, back[name].collect())) == sorted(map(str, frame.collect()))
+
+
+@pytest.mark.parametrize("change", ["cut", "append", "remove", "replace"])
+def test_a_changed_export_is_refused(spark, tmp_path, change):
+    exported(spark, str(tmp_path))
+    part = next(p for p in Path(tmp_path, "pdc_results_20240102_030405.csv").glob("part-*") if p.stat().st_size)
+    lines = part.read_text().splitlines(keepends=True)
+    part.with_name(f".{part.name}.crc").unlink()  # as after a copy by other means
+    if change == "remove":
+        part.unlink()
+    else:
+        new = {"cut": lines[:-1], "append": [*lines, lines[-1]], "replace": [*lines[:-1], lines[-1].replace("1", "7")]}
+        part.write_text("".join(new[change]))
+    with pytest.raises(IncompleteExport):
+        read_export(spark, str(tmp_path))
+
+
+def test_an_export_without_manifest_is_refused(spark, tmp_path):
+    pdc, _ = exported(spark, str(tmp_path))
+    with pytest.raises(IncompleteExport):
+        read_export(spark, str(tmp_path), "20990101_000000")
+
+
+def test_stored_buckets(spark):
+    """Few files, sorted, read without an exchange; the size of a frequent patient-drug's bucket shows beforehand."""
+    spark.sql("CREATE DATABASE IF NOT EXISTS claims")
+    rows = [{"person": 1 if n % 3 == 0 else n, "drug": n % 2, "start": "2020-01-01", "supply": 60} for n in range(300)]
+    rows = [{**r, "drug": 1 if r["person"] == 1 else r["drug"]} for r in rows]
+    source = exposures(spark, rows)
+    stored = store_fills(source, "claims.stored_exposure", 4, files=2)
+    assert len(stored.inputFiles()) <= 8
+    assert sorted(map(str, stored.collect())) == sorted(map(str, source.collect()))
+    totals = merged_totals(coverage_fills(stored, *WINDOW))
+    assert "Exchange" not in totals._jdf.queryExecution().executedPlan().toString()
+    wanted = merged_totals(coverage_fills(source, *WINDOW))
+    assert sorted(map(str, totals.collect())) == sorted(map(str, wanted.collect()))
+    sizes = bucket_rows(source, 4).collect()
+    assert sum(r.rows for r in sizes) == 300 and len(sizes) == 4
+    assert max(r.times_mean for r in sizes) > 1.6
+    assert sum(r.rows for r in bucket_rows(source.limit(0), 4).collect()) == 0
