@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rxcover.functions.ratios import rounded_ratio
+from rxcover.operators.sequence import BLOCK_BITS, slice_edges
 from rxcover.schema import DISPENSED_TYPES
 
 START = "drug_exposure_start_date"
@@ -75,12 +76,48 @@ def column_null_counts(df: DataFrame) -> DataFrame:
     return counts.unpivot([], df.columns, "column_name", "null_count")
 
 
-def describe_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+
+
+def _quartiles(counts: DataFrame, sizes: DataFrame, block_bits: int) -> DataFrame:
+    """Exact quartiles per `column_name` from the number `n` of each value `x`.
+
+    The rank of every distinct value is the number of rows below it, by a scan
+    over blocks of values, so no task holds more than 2**block_bits of a column's
+    values. The value at a rank is then the largest one that starts at or below it.
+    """
+    keys = ["column_name", "_region", "_block", "x"]
+    blocks = {"_region": F.shiftright("x", 2 * block_bits), "_block": F.shiftright("x", block_bits)}
+    none = F.lit(0).cast("bigint")
+    values = counts.filter(F.col("x").isNotNull()).withColumns(blocks)
+    values = values.select(*keys, F.col("n").alias("_rows"), none.alias("_head"), none.alias("_tail"))
+    ranked = slice_edges(values, [keys[:depth] for depth in range(1, len(keys) + 1)])
+    ranked = ranked.select("column_name", "x", "_before").join(sizes, "column_name")
+
+    def at(place: Column) -> Column:
+        return F.max(F.when(F.col("_before") <= place, F.col("x")))
+
+    place = {name: F.lit(share) * (F.col("count") - 1).cast("double") for name, share in QUARTILES.items()}
+    found = ranked.groupBy("column_name", "count").agg(
+        *[at(F.floor(where)).alias(f"{name}_low") for name, where in place.items()],
+        *[at(F.ceil(where)).alias(f"{name}_high") for name, where in place.items()],
+    )
+
+    def between(name: str) -> Column:
+        where, low, high = place[name], F.col(f"{name}_low"), F.col(f"{name}_high")
+        part = where - F.floor(where)
+        return F.when(low == high, low.cast("double")).otherwise((1 - part) * low + part * high)
+
+    return found.select("column_name", *[between(name).alias(name) for name in QUARTILES])
+
+
+def describe_numbers(df: DataFrame, columns: list[str], block_bits: int = BLOCK_BITS) -> DataFrame:
     """Count, mean, deviation, exact quartiles and range of integer columns, one row each.
 
-    Values are counted first, combined before the shuffle; what meets in one task
-    is a row per distinct value. Sums are exact decimals, so the deviation does
-    not depend on the order of summation.
+    Values are counted first, combined before the shuffle. All but the quartiles
+    are sums over these counts; the quartiles come from a scan over them, so a
+    column with very many distinct values spreads over the cluster. Sums are exact
+    decimals, so the deviation does not depend on the order of summation.
     """
     values = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("bigint").alias("x")) for c in columns])
     counts = df.select(F.explode(values).alias("v")).groupBy("v.column_name", "v.x").agg(F.count("*").alias("n"))
@@ -96,16 +133,16 @@ def describe_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
         total.alias("total"),
         squares.alias("squares"),
         F.min("x").cast("double").alias("min"),
-        F.percentile("x", [0.25, 0.5, 0.75], F.col("n")).alias("quartiles"),
         F.max("x").cast("double").alias("max"),
     )
-    return stats.select(
+    quartiles = _quartiles(counts, stats.select("column_name", "count"), block_bits)
+    return stats.join(quartiles, "column_name", "left").select(
         "column_name",
         "count",
         (F.col("total") / F.nullif(number, F.lit(0.0))).alias("mean"),
         F.when(F.col("count") > 1, F.sqrt(F.greatest(variance, F.lit(0.0)))).alias("std"),
         "min",
-        *[F.col("quartiles")[i].alias(name) for i, name in enumerate(("q25", "q50", "q75"))],
+        *QUARTILES,
         "max",
     )
 

@@ -79,7 +79,7 @@ def sequence_fills(
         .select(*keys, "_rows", head.alias("_head"), "_tail")
     )
     levels = [PATIENT_DRUG, [*PATIENT_DRUG, "_day"], keys[:-1], keys]
-    edges = _edges(summary, levels)
+    edges = slice_edges(summary, levels)
     return local.join(edges, keys).select(
         *fills.columns,
         (F.col(number) + F.col("_before")).alias(number),
@@ -103,13 +103,13 @@ def listing_position(
     sliced = rows.withColumns(blocks).filter(F.col(first).isNotNull())
     none = F.lit(0).cast("bigint")
     counts = sliced.groupBy(*keys).agg(F.count("*").alias("_rows")).withColumns({"_head": none, "_tail": none})
-    edges = _edges(counts, [[], keys[:1], keys[:2], keys]).select(*keys, "_before")
+    edges = slice_edges(counts, [[], keys[:1], keys[:2], keys]).select(*keys, "_before")
     local = sliced.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     placed = local.join(edges, keys).withColumn(name, F.col(name) + F.col("_before"))
     return placed.select(*rows.columns, name)
 
 
-def _edges(summary: DataFrame, levels: list[list[str]]) -> DataFrame:
+def slice_edges(summary: DataFrame, levels: list[list[str]]) -> DataFrame:
     """Fills before each slice, the last of them and the first after it, by a scan over the levels.
 
     `summary` has `_rows`, `_head` and `_tail` per slice. `levels` are key

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from rxcover.operators import exposures, gaps
+from rxcover.operators import exposures, gaps, quality
 from rxcover.operators.sequence import BLOCK_BITS, listing_position, sequence_fills
 from rxcover.sources.star_schema import WINDOW, cdm_from_star_schema
 
@@ -146,3 +146,20 @@ def test_positions_in_a_listing(spark, bits):
     assert found.columns == wanted.columns and found.count() == 3000
     assert found.exceptAll(wanted).isEmpty()
     assert listing_position(frame.limit(0), ["person_id", "drug"]).collect() == []
+
+
+@pytest.mark.parametrize("bits", [3, 21])
+def test_quartiles_of_a_wide_column(spark, bits):
+    """Exact, with as many distinct values as rows, a third of the rows on one value, negative and large ones."""
+    frame = spark.range(20_000).selectExpr(
+        "IF(id % 3 = 0, 5, shiftright(xxhash64(id), 20)) AS wide", "IF(id % 7 = 0, NULL, id % 11) AS narrow", "CAST(NULL AS LONG) AS none", "id AS own"
+    )
+    columns = frame.columns
+    found = {r["column_name"]: r for r in quality.describe_numbers(frame, columns, bits).collect()}
+    for name in columns:
+        wanted = frame.agg(F.percentile(name, [0.25, 0.5, 0.75]).alias("q"), F.count(name).alias("n")).first()
+        row = found[name]
+        assert row["count"] == wanted["n"]
+        assert [row["q25"], row["q50"], row["q75"]] == pytest.approx(wanted["q"]) if wanted["n"] else row["q50"] is None
+    empty = quality.describe_numbers(frame.limit(0), columns, bits).collect()
+    assert all(r["count"] == 0 for r in empty)
