@@ -42,10 +42,7 @@ def _narrow(bytes_per_id: int, cuts: list[int]):
             doc_ids = batch.column("doc_id")
             known = doc_ids.fill_null(0).to_numpy()
             part = np.where(doc_ids.is_null().to_numpy(False), 0, 1 + np.searchsorted(cuts, known, side="left"))
-            ids = [
-                packer.compress(np.frombuffer(raw.as_buffer(), "<u4").astype(f"<u{bytes_per_id}").tobytes())
-                for raw in batch.column("ids")
-            ]
+            ids = [packer.compress(_narrowed(raw, bytes_per_id)) for raw in batch.column("ids")]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part, pa.int32()), doc_ids, pa.array(ids, pa.binary())], ["part", "doc_id", "ids"]
             )
@@ -53,6 +50,13 @@ def _narrow(bytes_per_id: int, cuts: list[int]):
     return run
 
 
+def _narrowed(raw: pa.Scalar, bytes_per_id: int) -> bytes:
+    ids = np.frombuffer(raw.as_buffer(), "<u4")
+    if len(ids) and int(ids.max()) >> (8 * bytes_per_id):
+        raise ValueError(f"id {ids.max()} does not fit {bytes_per_id} bytes")
+    return ids.astype(f"<u{bytes_per_id}").tobytes()
+
+
 def _shards(bytes_per_id: int, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard, first, docs, bodies, held = None, 0, 0, [], [], 0

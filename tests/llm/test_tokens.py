@@ -155,3 +155,10 @@ def test_op10_equals_the_unchanged_library(spark, tmp_path):
         ids = own.encode(texts[r.doc_id], add_special_tokens=False).ids + [2]
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+
+
+def test_ids_that_do_not_fit_are_refused():
+    fits, beyond = (pa.scalar(np.array([1, top], "<u4").tobytes(), pa.binary()) for top in (65535, 65536))
+    assert token_files._narrowed(fits, 2) == np.array([1, 65535], "<u2").tobytes()
+    with pytest.raises(ValueError, match="65536 does not fit 2 bytes"):
+        token_files._narrowed(beyond, 2)
