@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rxcover.llm.elias_fano import EliasFano
+from rxcover.llm.runs import joined
 
 # Ids after which a shard is closed (a document is never split).
 SHARD_IDS = 1 << 20
@@ -42,7 +43,11 @@ def _narrow(bytes_per_id: int, cuts: list[int]):
             doc_ids = batch.column("doc_id")
             known = doc_ids.fill_null(0).to_numpy()
             part = np.where(doc_ids.is_null().to_numpy(False), 0, 1 + np.searchsorted(cuts, known, side="left"))
-            ids = [packer.compress(_narrowed(raw, bytes_per_id)) for raw in batch.column("ids")]
+            refuse_wider(batch.column("ids"), bytes_per_id)
+            ids = [
+                packer.compress(np.frombuffer(raw.as_buffer(), "<u4").astype(f"<u{bytes_per_id}").tobytes())
+                for raw in batch.column("ids")
+            ]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part, pa.int32()), doc_ids, pa.array(ids, pa.binary())], ["part", "doc_id", "ids"]
             )
@@ -50,11 +55,11 @@ def _narrow(bytes_per_id: int, cuts: list[int]):
     return run
 
 
-def _narrowed(raw: pa.Scalar, bytes_per_id: int) -> bytes:
-    ids = np.frombuffer(raw.as_buffer(), "<u4")
-    if len(ids) and int(ids.max()) >> (8 * bytes_per_id):
-        raise ValueError(f"id {ids.max()} does not fit {bytes_per_id} bytes")
-    return ids.astype(f"<u{bytes_per_id}").tobytes()
+def refuse_wider(ids: pa.Array, bytes_per_id: int) -> None:
+    """Raise if any id of the column (little-endian unsigned 32-bit) needs more bytes."""
+    largest = joined(ids, np.uint32)[0].max(initial=0)
+    if int(largest) >> (8 * bytes_per_id):
+        raise ValueError(f"id {largest} does not fit {bytes_per_id} bytes")
 
 
 def _shards(bytes_per_id: int, shard_ids: int):

@@ -158,7 +158,8 @@ def test_op10_equals_the_unchanged_library(spark, tmp_path):
 
 
 def test_ids_that_do_not_fit_are_refused():
-    fits, beyond = (pa.scalar(np.array([1, top], "<u4").tobytes(), pa.binary()) for top in (65535, 65536))
-    assert token_files._narrowed(fits, 2) == np.array([1, 65535], "<u2").tobytes()
+    fits, beyond = (pa.array([b"", np.array([1, top], "<u4").tobytes()], pa.binary()) for top in (65535, 65536))
+    token_files.refuse_wider(fits, 2)
+    token_files.refuse_wider(fits.slice(0, 0), 2)
     with pytest.raises(ValueError, match="65536 does not fit 2 bytes"):
-        token_files._narrowed(beyond, 2)
+        token_files.refuse_wider(beyond, 2)
