@@ -1,8 +1,11 @@
 """Classifiers and scanners: held-out accuracy, odd tables, and their parts against plain rules."""
 
+import time
+
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -182,3 +185,117 @@ def test_secrets(spark):
     assert secret_scan.scanned(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one_class = spark.createDataFrame([(1, "averylongordinaryword")], "doc_id long, text string")
     assert [r.probability for r in secret_scan.scanned(one_class).collect()] == [0.5]
+
+
+SECRETS = [
+    ('password = "hunter2!x"', "hunter2!x"),
+    ("postgres://bob:s3cr3t@host/db", "s3cr3t"),
+    ("aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYzR9pLq2sT8vW", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzR9pLq2sT8vW"),
+    ("DB_PASSWORD='p@ss:w0rd,1'", "p@ss:w0rd,1"),
+    ('{"client_secret": "9f86d081884c7d659a2feaa0c55ad015"}', "9f86d081884c7d659a2feaa0c55ad015"),
+    ("export GH_TOKEN=ghp_" + "a1B2c3" * 6, "ghp_" + "a1B2c3" * 6),
+    ("pwd: Tr0ub4dor&3", "Tr0ub4dor&3"),
+    ("apiKey := 4f2d8e61b0c97a35d1e8", "4f2d8e61b0c97a35d1e8"),
+    ("https://ci:x9!kQ2z@git.example.org/r.git", "x9!kQ2z"),
+    ("token: 7c4a8d09ca3762af61e59520943dc26494f8941b", "7c4a8d09ca3762af61e59520943dc26494f8941b"),
+    (f"key {KEY[:-1]}Z here", f"{KEY[:-1]}Z"),
+    ("secret=0a1b2c3d4e5f60718293", "0a1b2c3d4e5f60718293"),
+]
+HARMLESS = [
+    ("key: value", "value"),
+    ("the secret: patience", "patience"),
+    ("sha256: 9f86d081884c7d659a2feaa0c55ad0153d3e", "9f86d081884c7d659a2feaa0c55ad0153d3e"),
+    ("commit 7c4a8d09ca3762af61e59520943dc264", "7c4a8d09ca3762af61e59520943dc264"),
+    ("see docs/guides/getting-started/install", "docs/guides/getting-started/install"),
+    ("password: required", "required"),
+    ("internationalization matters", "internationalization"),
+    ("card 4111111111111111", "4111111111111111"),
+    ("token = None", "None"),
+    ("usr/local/share/applications", "usr/local/share/applications"),
+    ("key = primary", "primary"),
+    ("md5: d41d8cd98f00b204e9800998ecf8427e", "d41d8cd98f00b204e9800998ecf8427e"),
+]
+
+
+def test_candidates_equal_a_plain_walk(spark):
+    """Places, values and context of every match, found one after the other in Python."""
+    texts = [t for t, _ in SECRETS + HARMLESS] + [
+        "apiKey: abc, turkey: x, 'token': 'a b'", "password=\n pwd=''", "x\U0001f600token=é1; key=" + KEY, "aws_secret_access_key", "key==" * 9
+    ] + [" ".join(t for t, _ in SECRETS + HARMLESS) * 30]
+    expected = []
+    for i, text in enumerate(texts):
+        ends = list(regex.finditer(secret_scan.CANDIDATE, text))
+        for m, low, high in zip(ends, [0] + [m.end() for m in ends], [m.start() for m in ends[1:]] + [len(text)]):
+            head = regex.match(secret_scan._WITHIN, m.group())
+            head = head.group() if head else ""
+            body = m.group()[len(head) :]
+            if head.endswith(('"', "'")) or head.startswith("://"):
+                body = body[:-1]
+            at = m.start() + len(head)
+            before = (text[max(low, m.start() - 64) : m.start()] + head)[-64:]
+            after = (text[at + len(body) : m.end()] + text[m.end() : min(high, m.end() + 64)])[:64]
+            expected.append((i, at, body, before, after))
+    rows = secret_scan.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in rows) == sorted(expected) and len(expected) > secret_scan.BLOCK
+    for text, value in SECRETS + HARMLESS:
+        assert value in [c for i, _, c, _, _ in expected if texts[i] == text]
+
+
+def generated_findings(count):
+    """Labelled texts with random values under names that `SECRETS` and `HARMLESS` mostly do not use."""
+    random = np.random.Generator(np.random.PCG64(5))
+    pick = lambda letters, n: "".join(random.choice(list(letters), n))
+    base, hexa, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for _ in range(count):
+        short = pick(base, int(random.integers(4, 9))) + pick("!@#$%&*.", 1) + pick("0123456789", 2)
+        rows += [
+            (f"{random.choice(['root_password', 'passphrase', 'login password'])} = \"{short}\"", 1),
+            (f"mysql://app:{short.replace('@', '!').replace('/', 'x')}@db.example.net:3306", 1),
+            (f"{random.choice(['session_token', 'signing secret', 'auth key'])}: {pick(base, 40)}", 1),
+            (f"{random.choice(['refresh_token', 'private_key'])} = {pick(hexa, int(random.integers(16, 41)))}", 1),
+            (f"the {random.choice(['key', 'secret', 'token', 'password'])} {random.choice([':', '='])} {random.choice(['empty', 'unknown', 'optional', 'secondary', 'kindness', 'Null', 'string'])}", 0),
+            (f"{random.choice(['sha1', 'digest', 'revision', 'blob', 'commit'])} {random.choice([':', ''])} {pick(hexa, int(random.integers(20, 41)))}", 0),
+            (f"in src/{pick(lower, 6)}/{pick(lower, 9)}/{pick(lower, 5)}", 0),
+            (f"number {pick('0123456789', 16)}", 0),
+        ]
+    return rows
+
+
+def test_secrets_of_hand_labelled_rows(spark, docs):
+    """Precision and recall on rows labelled by hand: what the corpus's own findings teach, and given ones with them."""
+    rows = [(-1 - i, t) for i, (t, _) in enumerate(SECRETS + HARMLESS)]
+    corpus = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    findings = spark.createDataFrame(generated_findings(60), "text string, target int")
+    # The rows themselves stay out of training.
+    measures = secret_scan.dictionary(docs)
+    described = secret_scan.known_findings(secret_scan.described(secret_scan.candidates(corpus), *measures)).cache()
+    own = described.filter("doc_id >= 0").drop("doc_id")
+    given = secret_scan.candidates(findings.selectExpr("target AS doc_id", "text"))
+    given = secret_scan.described(given, *measures).withColumnRenamed("doc_id", "target")
+    for name, labelled in (("corpus", own), ("corpus and findings", own.unionByName(given))):
+        forest = secret_scan.SecretForest.fit(labelled)
+        found = {(r.doc_id, r.candidate): r.kept for r in forest.judged(described.filter("doc_id < 0")).collect()}
+        kept = [found[-1 - i, c] for i, (_, c) in enumerate(SECRETS + HARMLESS)]
+        right, wrong = sum(kept[: len(SECRETS)]), sum(kept[len(SECRETS) :])
+        print(name, right, wrong, [c for k, (_, c) in zip(kept, SECRETS + HARMLESS) if k != ((_, c) in SECRETS)])
+    described.unpersist()
+    assert right / (right + wrong) >= 0.8 and right / len(SECRETS) >= 0.8
+
+
+def test_given_findings_teach_what_the_texts_do_not(spark):
+    made = spark.createDataFrame([(1, 'password = "hunter2!x"'), (2, "the key: value")], "doc_id long, text string")
+    findings = spark.createDataFrame(generated_findings(20), "text string, target int")
+    rows = secret_scan.scanned(made, findings).collect()
+    assert {r.candidate: r.kept for r in rows} == {"hunter2!x": True, "value": False}
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    many = " ".join(f"0123456789abcdef{i:05d}" for i in range(60_000))
+    rows = [(1, many), (2, "tokentoken" * 50_000), (3, 'key="' * 100_001), (4, "z" * 500_000), (5, "password=" + "x," * 200_000)]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    started = time.monotonic()
+    counts = {r.doc_id: (r["count"], r.last) for r in secret_scan.candidates(made).groupBy("doc_id").agg(F.count("*").alias("count"), F.max("start").alias("last")).collect()}
+    assert counts == {1: (60_000, 59_999 * 22), 2: (1, 0), 3: (50_000, 99_998 * 5 + 5), 4: (1, 0), 5: (1, 9)}
+    assert secret_scan.scanned(made.filter("doc_id > 3")).count() == 2
+    assert time.monotonic() - started < 60
