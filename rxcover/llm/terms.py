@@ -115,7 +115,11 @@ def labelled_sample(labels: DataFrame, bound: int, classes: list[int]) -> DataFr
 
 
 def sampled_terms(docs: DataFrame, sample: DataFrame, terms, buckets: int) -> DataFrame:
-    """`target`, `weight`, `terms` (distinct buckets), `counts` (of each), `total` for each sampled document."""
+    """`target`, `weight`, `terms` (distinct buckets), `counts` (of each), `total` for each sampled id.
+
+    Of rows that share an id the least text is taken (null only if all are), so
+    there are at most as many rows as `sample` has, however often an id occurs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,7 +141,9 @@ def sampled_terms(docs: DataFrame, sample: DataFrame, terms, buckets: int) -> Da
                 )
 
     # The sample has a fixed bound, so it may be broadcast and the texts stay where they are.
+    # Rows that share an id are combined before the shuffle, in which only sampled texts take part.
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id", "target", "weight").agg(F.min("text").alias("text"))
     return rows.mapInArrow(run, "target int, weight double, terms array<int>, counts array<int>, total long")
 
 

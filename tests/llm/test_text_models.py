@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from rxcover.llm import language, quality, secret_scan, toxicity
 from rxcover.llm.shared import remainder
-from rxcover.llm.terms import labelled_sample, letter_runs, lowered
+from rxcover.llm.terms import labelled_sample, letter_runs, lowered, sampled_terms, word_terms
 from rxcover.llm.textvec import shingle_sets, text_chunks, words
 
 FOLDER = "/root/testdata/sf0.1"
@@ -74,6 +74,22 @@ def test_sample_is_bounded_and_weighted(spark):
     assert sorted({(r.target, r.weight) for r in rows}) == [(0, 89 / 4), (1, 11 / 4)] and len(rows) == 8
 
 
+def test_sample_holds_an_id_once(spark):
+    """One labelled id on very many rows brings one row to training."""
+    docs = spark.range(20_000).selectExpr("1L AS doc_id", "concat('word', 20000 + id) AS text")
+    docs = docs.unionByName(spark.createDataFrame([(i, f"other {i}") for i in range(2, 12)], "doc_id long, text string"))
+    docs = docs.unionByName(spark.createDataFrame([(1, None), (12, None)], "doc_id long, text string"))
+    sample = labelled_sample(spark.range(1, 13).selectExpr("id AS doc_id", "int(id = 1) AS target"), 100, [0, 1])
+    rows = sampled_terms(docs, sample, word_terms, 1 << 20).collect()
+    assert len(rows) == 12 and [len(r.terms) for r in rows if r.target == 1] == [len(word_terms_of("word20000"))]
+    assert sorted(r.total for r in rows)[0] == 0
+
+
+def word_terms_of(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return word_terms(data, np.array([0, len(data)]))[1]
+
+
 def test_language_held_out(spark, docs):
     rows = entry.queries()["op7_language_filters"](spark, FOLDER).join(docs.select("doc_id", "lang"), "doc_id")
     right = rows.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
