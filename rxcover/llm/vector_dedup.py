@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from rxcover.llm.components import components
 from rxcover.llm.shared import stored
 
+# Passes over as many vectors as 40 windows hold; beyond that they grow with the cube root of the rows.
 PASSES = 16
 # Rows before each row with which a pass compares it.
 WINDOW = 512
@@ -76,14 +78,47 @@ def _hashes(passes: int, seed: int):
     return run
 
 
+def passes_for(rows: int, window: int = WINDOW) -> int:
+    """Passes over `rows` vectors.
+
+    A pass misses ever more pairs as rows come between them. Of two vectors with
+    cosine 0.95 the signs of a projection agree with a chance of 0.90, of others
+    with 1/2, or 0.72 if all lie in a cone around one direction (mean cosine 0.8).
+    Codes agree where windows are cut with chances that fall with the power 0.15
+    or 0.33 of the rows, so this many passes hold the recall of both.
+    """
+    return max(PASSES, math.ceil(PASSES * (rows / (40 * window)) ** (1 / 3)))
+
+
+KEYS = ["pass", "size", "code", "rep"]
+
+
 def _neighbours(threshold: float, window: int):
-    """In rows sorted by pass, size and code: edges that connect what is linked within the window."""
+    """In rows sorted by `KEYS`: edges `a`, `b` that connect what is linked within the window.
+
+    The first and last `window` rows of a partition follow as rows without edge,
+    as their neighbours may be in other partitions.
+    """
+
+    def ends(part: pa.RecordBatch) -> pa.RecordBatch:
+        none = pa.nulls(part.num_rows, pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, *[part.column(c) for c in [*KEYS, "vec"]]], ["a", "b", *KEYS, "vec"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, tail, tail_ids = None, None, None
+        # Rows of the first pass and size still to hand on, and the last rows of the present one.
+        missing, last = window, None
         for new, part in _runs(batches, ["pass", "size"]):
             if new != key:
+                missing, last = window if key is None else 0, None
                 key, tail, tail_ids = new, np.zeros((0, int(new[1]))), np.zeros(0, dtype=np.int64)
+            front = min(missing, part.num_rows)
+            if front:
+                missing -= front
+                yield ends(part.slice(0, front))
+            held = [last, part.slice(front)] if last is not None else [part.slice(front)]
+            last = pa.concat_batches(held) if len(held) > 1 else held[0]
+            last = last.slice(max(0, last.num_rows - window))
             vectors, ids = _unit(_matrix(part.column("vec"))), part.column("rep").to_numpy()
             for low in range(0, len(ids), window):
                 block = np.concatenate([tail, vectors[low : low + window]])
@@ -99,10 +134,12 @@ def _neighbours(threshold: float, window: int):
                     label = least
                 joined = label != np.arange(len(block))
                 if joined.any():
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(block_ids[label[joined]]), pa.array(block_ids[joined])], ["a", "b"]
-                    )
+                    found = [pa.array(block_ids[label[joined]]), pa.array(block_ids[joined])]
+                    none = [pa.nulls(len(found[0]), part.schema.field(c).type) for c in [*KEYS, "vec"]]
+                    yield pa.RecordBatch.from_arrays([*found, *none], ["a", "b", *KEYS, "vec"])
                 tail, tail_ids = block[-window:], block_ids[-window:]
+        if last is not None and last.num_rows:
+            yield ends(last)
 
     return run
 
@@ -147,7 +184,7 @@ def _tile_counts(threshold: float):
 def linked_vectors(
     vectors: DataFrame,
     threshold: float = 0.95,
-    passes: int = PASSES,
+    passes: int | None = None,
     window: int = WINDOW,
     tile: int = TILE,
     seed: int = SEED,
@@ -155,8 +192,9 @@ def linked_vectors(
     """`vec_id`, `n_links`, `component_id`, `kept` for every row of `vec_id`, `embedding`.
 
     Each pass orders all vectors by the signs of 63 random projections, put one
-    after the other, and compares each vector with the `window` before it; pairs
-    with cosine >= `threshold` (double precision) are united across passes. Then
+    after the other, and compares each vector with the `window` before it, those at
+    the end of another partition included; pairs with cosine >= `threshold` (double
+    precision) are united across passes. By default `passes_for` gives their number. Then
     every pair within a component is compared, in tiles, so `n_links` is exact
     for the components found and nothing needs to hold all pairs: a tile returns
     counts. A pass may miss a pair, all passes seldom do; the chance falls
@@ -185,12 +223,18 @@ def linked_vectors(
     )
     classes = stored(classes, "classes")
     kind = dict(classes.dtypes)["vec"]
+    passes = passes_for(classes.count(), window) if passes is None else passes
     hashed = classes.select("size", "rep", "vec").mapInArrow(
         _hashes(passes, seed), f"pass int, size int, code long, rep long, vec {kind}"
     )
     ordered = stored(hashed, "passes", "lz4")
-    ordered = ordered.repartitionByRange("pass", "size", "code", "rep").sortWithinPartitions("pass", "size", "code", "rep")
-    edges = ordered.mapInArrow(_neighbours(threshold, window), "a long, b long")
+    ordered = ordered.repartitionByRange(*KEYS).sortWithinPartitions(*KEYS)
+    met = ordered.mapInArrow(_neighbours(threshold, window), f"a long, b long, pass int, size int, code long, rep long, vec {kind}")
+    met = stored(met, "met")
+    # The ends of all partitions in order, by pass: 2 * `window` rows a partition.
+    across = met.filter("a IS NULL").select(*KEYS, "vec").repartition("pass", "size").sortWithinPartitions(*KEYS)
+    across = across.mapInArrow(_neighbours(threshold, window), met.schema)
+    edges = met.unionByName(across).filter("a IS NOT NULL").select("a", "b")
     found = components(edges)
 
     joined = found.join(classes, found["node"] == classes["rep"]).select("component", "rep", "least", "copies", "vec")

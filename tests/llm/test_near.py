@@ -4,11 +4,12 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from rxcover.llm.components import components
 from rxcover.llm.ngram_join import Cut, NgramJoin, _folded, ngram_components, sketch
-from rxcover.llm.vector_dedup import linked_vectors
+from rxcover.llm.vector_dedup import linked_vectors, passes_for
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -145,3 +146,48 @@ def test_vectors_equal_brute_force(spark):
 
 def test_no_vectors(spark):
     assert linked_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def cone(rows, pairs, cosine, mean, seed):
+    """Unit vectors of 64 dimensions around one direction with mean cosine `mean`, the first ones in pairs of `cosine`."""
+    random = np.random.Generator(np.random.PCG64(seed))
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    axis = unit(random.standard_normal(64))
+    around = random.standard_normal((rows, 64))
+    around = unit(around - (around @ axis)[:, None] * axis)
+    vectors = mean * axis + np.sqrt(1 - mean**2) * around
+    base = vectors[:pairs]
+    off = random.standard_normal((pairs, 64))
+    off = unit(off - (off * base).sum(1, keepdims=True) * base)
+    vectors[pairs : 2 * pairs] = cosine * base + np.sqrt(1 - cosine**2) * off
+    return vectors
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.8])
+def test_recall_does_not_fall_with_size(spark, mean):
+    """All links among the vectors against brute force, at two sizes; windows of 32 stand for larger tables."""
+    for rows, pairs in ((2_000, 200), (24_000, 600)):
+        vectors = cone(rows, pairs, 0.955, mean, 9)
+        table = spark.createDataFrame(pd.DataFrame({"vec_id": range(rows), "embedding": vectors.tolist()}))
+        found = linked_vectors(table, window=32).select("vec_id", "n_links").toPandas().set_index("vec_id")["n_links"]
+        links = sum(((vectors[i : i + 2000] @ vectors.T) >= 0.95).sum() for i in range(0, rows, 2000)) - rows
+        assert links >= 2 * pairs
+        print(f"mean cosine {mean}, {rows} rows, {passes_for(rows, 32)} passes: recall {found.sum() / links:.4f}")
+        assert 0.95 < found.sum() / links <= 1
+
+
+def test_rows_at_the_ends_of_partitions_meet(spark):
+    """One pass in which every partition holds few rows finds what one partition finds."""
+    vectors = cone(600, 200, 0.99, 0.5, 4)
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": range(600), "embedding": vectors.tolist()}))
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    results = []
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for partitions in (1, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+            results.append(sorted(tuple(r) for r in linked_vectors(table, window=25, passes=1).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    assert results[0] == results[1] and sum(r[1] for r in results[0]) > 100
