@@ -4,118 +4,79 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Slots after which the schedule repeats; weights are rounded to multiples of 1 / PERIOD.
-PERIOD = 1000
-BLOCK_DOCS = 8
-
-
-def _key():
-    """Null is a source of its own."""
-    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+from rxcover.llm.pfair import earliest_deadline_first, running_total
+from rxcover.llm.shared import stored
 
+BLOCK_DOCS = 8
+# The sum of all weights must stay below this, so that products with block numbers fit 38 digits.
+TOTAL_BELOW = 10**18
 
-def _name(key: str) -> str | None:
-    return key[1:] if key else None
-
+_ADDED = {
+    "mix_block": "block",
+    "mix_slot": "slot",
+    "mix_release": "release",
+    "mix_deadline": "due",
+}
 
-def source_counts(docs: DataFrame, period: int = PERIOD) -> dict[str | None, int]:
-    """Rows per source. There must be no more sources than slots in a period."""
-    counted = docs.groupBy(_key().alias("key")).agg(F.count("*").alias("rows"))
-    found = counted.limit(period + 1).collect()
-    if len(found) > period:
-        raise ValueError(f"more than {period} sources: group them, or take a longer period")
-    return {_name(r["key"]): r["rows"] for r in found}
 
+def _key(source: str = "source"):
+    """Null is a source of its own."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
 
-def tempered(counts: Mapping[str | None, int]) -> dict[str | None, int]:
-    """Weights in proportion to the square root of the rows, as whole thousandths."""
-    return {source: int(1000 * rows**0.5 + 0.5) for source, rows in counts.items()}
 
+def tempered():
+    """Weights in proportion to the square root of a source's `rows`, as whole thousandths."""
+    return F.floor(1000 * F.sqrt("rows") + 0.5)
 
-def quotas(weights: Mapping[str | None, int], period: int = PERIOD) -> dict[str | None, int]:
-    """Slots of each source in a period: one, and a share of the rest by largest remainder."""
-    total, rest = sum(weights.values()), period - len(weights)
-    slots = {s: 1 + w * rest // total for s, w in weights.items()}
-    order = sorted(weights, key=lambda s: (-(weights[s] * rest % total), s is not None, s))
-    for source in order[: period - sum(slots.values())]:
-        slots[source] += 1
-    return slots
 
+def weighted(sizes: DataFrame, weights: Mapping[str | None, int] | None) -> DataFrame:
+    """`_key`, `rows`, `w` of every source, from `sizes` (`_key`, `_rows`)."""
+    sources = sizes.groupBy("_key").agg(F.sum("_rows").alias("rows"))
+    if weights is None:
+        return sources.withColumn("w", tempered())
+    given = sizes.sparkSession.createDataFrame(
+        [("" if s is None else f"={s}", int(w)) for s, w in weights.items()], "_key string, w bigint"
+    )
+    return sources.join(given, "_key", "left")
 
-def schedule(spark: SparkSession, slots: Mapping[str | None, int]) -> DataFrame:
-    """`key`, `nth`, `place`, `earlier`: the slot of each source's nth block in a period.
 
-    With `a` of the period's slots, block n of a source is released at
-    floor(n * period / a) and due at ceil((n + 1) * period / a). Each slot takes,
-    of the released blocks, the one due first (ties: order of the names, null
-    first). Every such window lies within one period, so the schedule repeats,
-    and its size is `period` rows whatever the tables hold. `earlier` has the
-    blocks of every source before the slot.
-    """
-    names = sorted(slots, key=lambda s: (s is not None, s))
-    period, last = sum(slots.values()), len(names) - 1
-    quota = F.array(*[F.lit(slots[s]) for s in names])
-    key = F.array(*[F.lit("" if s is None else f"={s}") for s in names])
-    plan = spark.range(1).select(quota.alias("quota"), key.alias("keys")).selectExpr(
-        "keys",
-        f"""aggregate(
-          sequence(0, {period - 1}),
-          named_struct('done', array_repeat(0, {last + 1}),
-                       'plan', cast(array() as array<struct<place: int, source: int, nth: int, earlier: array<int>>>)),
-          (s, place) -> element_at(transform(
-            array(array_min(filter(
-              transform(sequence(0, {last}), i -> named_struct(
-                'due', ceil((s.done[i] + 1) * {period} / quota[i]),
-                'i', i,
-                'released', s.done[i] < quota[i] and floor(s.done[i] * {period} / quota[i]) <= place)),
-              b -> b.released)).i),
-            pick -> named_struct(
-              'done', transform(s.done, (d, i) -> d + if(i = pick, 1, 0)),
-              'plan', concat(s.plan, array(named_struct(
-                'place', place, 'source', pick, 'nth', s.done[pick], 'earlier', s.done))))), 1),
-          s -> s.plan) AS plan""",
-    )
-    return plan.selectExpr("keys", "inline(plan)").selectExpr(
-        "keys[source] AS key", "nth", "cast(place as bigint) AS place", "earlier"
+def _windows(blocks: DataFrame, total: int) -> DataFrame:
+    """`blocks` (`_key`, `block`, `w`) with the slots from which, and before which, each is to be done."""
+    exact = "cast(cast({n} as decimal(19)) * cast({total} as decimal(18)) as decimal(38))"
+    return blocks.select(
+        F.col("_key").alias("key"),
+        "block",
+        F.expr(f"{exact.format(n='block', total=total)} div cast(w as decimal(18))").alias("release"),
+        F.expr(f"({exact.format(n='block + 1', total=total)} + w - 1) div cast(w as decimal(18))").alias("due"),
     )
 
 
 def mixed(
-    docs: DataFrame,
-    weights: Mapping[str | None, int] | None = None,
-    period: int = PERIOD,
-    block_docs: int = BLOCK_DOCS,
+    docs: DataFrame, weights: Mapping[str | None, int] | None = None, block_docs: int = BLOCK_DOCS
 ) -> DataFrame:
     """`docs` with `mix_block`, `mix_slot`, `mix_release`, `mix_deadline` and `mix_position`.
 
     The rows of a source, in the order of the md5 of `doc_id` (null first; equal
-    ids are interchangeable), form blocks of `block_docs`. While all sources have
-    rows left, any prefix of the slots holds each source's share to within less
-    than one block. When a source has run out its slots stay empty and the others
-    go on in their proportions; `mix_position` numbers all rows without holes. Every
-    row gets a position. `weights` are whole numbers per source of `docs`; by
-    default they follow the square root of the rows. Columns of these names in
-    `docs` are replaced. An empty table gives an empty result.
+    ids are interchangeable), form blocks of `block_docs`. Block n of a source of
+    weight w, of a total of W, is released at floor(n * W / w) and due at
+    ceil((n + 1) * W / w). Each slot takes, of the released blocks, the one due
+    first (ties: order of the names, null first). So any prefix of the slots holds
+    less than one block more or less than each source's share, as long as the source has
+    rows left; a slot without a released block stays empty. `mix_position` numbers
+    all rows without holes in the order of the slots. Every row gets a position. `weights` are whole
+    numbers per source of `docs`, of any number of sources; by default they follow the
+    square root of the rows. Columns of these names in `docs` are replaced. An empty
+    table gives an empty result.
 
     The rows of a source are numbered in 4096 parts by the first digits of the
-    md5, so a source with a third of all rows spreads over 4096 tasks; positions
-    come from a formula over the sources, not from a global sort.
+    md5, so a source with a third of all rows spreads over 4096 tasks; blocks are
+    scheduled in spans of slots (see `pfair`). Building runs jobs.
     """
-    spark = docs.sparkSession
-    counts = source_counts(docs, period)
-    added = ["mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_position"]
+    added = [*_ADDED, "mix_position"]
     kept = [c for c in docs.columns if c not in added]
-    if not counts:
-        return docs.select(*kept, *[F.lit(None).cast("long").alias(c) for c in added])
-    weights = tempered(counts) if weights is None else weights
-    missing = [s for s in counts if not weights.get(s, 0) > 0]
-    if missing:
-        raise ValueError(f"no positive weight for {missing[:5]}")
-    slots = quotas({s: weights[s] for s in counts}, period)
-    names = sorted(slots, key=lambda s: (s is not None, s))
 
     # The row as one column, so that none of its names meets those used here.
     rows = docs.select(
@@ -123,39 +84,47 @@ def mixed(
         _key().alias("_key"),
         F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("")).alias("_order"),
     ).withColumn("_part", F.substring("_order", 1, 3))
-    sizes = rows.groupBy("_key", "_part").agg(F.count("*").alias("_rows"))
+    sizes = stored(rows.groupBy("_key", "_part").agg(F.count("*").alias("_rows")), "sizes")
+    sources = weighted(sizes, weights)
+    lacking = [r["_key"] for r in sources.filter("NOT coalesce(w > 0, false)").limit(5).collect()]
+    if lacking:
+        raise ValueError(f"no positive weight for {[k[1:] if k else None for k in lacking]}")
+    total = int(sources.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0])
+    if not total:
+        return docs.select(*kept, *[F.lit(None).cast("long").alias(c) for c in added])
+    if total >= TOTAL_BELOW:
+        raise ValueError(f"the weights add up to {total}, which is not below {TOTAL_BELOW}")
+
     parts = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "_key", "_part", F.coalesce(F.sum("_rows").over(parts), F.lit(0)).cast("long").alias("_before")
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(parts), F.lit(0)).cast("long"))
+    # The blocks that hold rows of a part; each begins in one of its parts.
+    touched = offsets.join(sources.select("_key", "w", "rows"), "_key").select(
+        "_key", "_part", "_before", "w", "rows",
+        F.expr(f"explode(sequence(_before div {block_docs}, (_before + _rows - 1) div {block_docs}))").alias("block"),
+    )
+    blocks = _windows(touched.filter(F.col("block") * block_docs >= F.col("_before")), total)
+    horizon = int(blocks.agg(F.max("release")).first()[0]) + 1
+    slots = earliest_deadline_first(blocks, horizon).withColumnRenamed("key", "_key")
+    held = F.expr(f"least({block_docs}, rows - block * {block_docs})")
+    slots = slots.join(sources.select("_key", "rows"), "_key").withColumn("held", held)
+    slots = running_total(slots, "held", horizon).select("_key", "block", "slot", "release", "due", "ahead")
+    place = F.struct("block", "slot", "release", "due", "ahead")
+    places = (
+        touched.select("_key", "_part", "_before", "block")
+        .join(slots, ["_key", "block"])
+        .groupBy("_key", "_part", "_before")
+        .agg(F.array_sort(F.collect_list(place)).alias("_places"))
     )
+    # The places of a part come with it, so the rows are shuffled by source and part only.
     within = Window.partitionBy("_key", "_part").orderBy("_order")
     numbered = (
         rows.withColumn("_nth", F.row_number().over(within) - 1)
-        .join(offsets, ["_key", "_part"])
+        .join(places, ["_key", "_part"])
         .withColumn("_number", F.col("_before") + F.col("_nth"))
+        .withColumn("_at", F.expr(f"_places[cast(_number div {block_docs} - _before div {block_docs} as int)]"))
     )
-    table = schedule(spark, slots)
-    constants = spark.createDataFrame(
-        [("" if s is None else f"={s}", slots[s]) for s in names], "_key string, _quota bigint"
-    )
-    placed = (
-        numbered.join(F.broadcast(constants), "_key")
-        .withColumn("mix_block", F.expr(f"_number div {block_docs}"))
-        .withColumn("_cycle", F.expr("mix_block div _quota"))
-        .withColumn("nth", F.expr("cast(mix_block % _quota as int)"))
-        .join(F.broadcast(table.withColumnRenamed("key", "_key")), ["_key", "nth"])
-    )
-    totals = "array(" + ",".join(f"{counts[s]}L" for s in names) + ")"
-    quota = "array(" + ",".join(f"{slots[s]}L" for s in names) + ")"
-    before = (
-        f"aggregate(sequence(0, {len(names) - 1}), 0L, (n, i) -> "
-        f"n + least({totals}[i], (_cycle * {quota}[i] + earlier[i]) * {block_docs}))"
-    )
-    return placed.select(
+    return numbered.select(
         "row.*",
-        "mix_block",
-        F.expr(f"_cycle * {period} + place").alias("mix_slot"),
-        F.expr(f"mix_block * {period} div _quota").alias("mix_release"),
-        F.expr(f"((mix_block + 1) * {period} + _quota - 1) div _quota").alias("mix_deadline"),
-        F.expr(f"{before} + _number % {block_docs}").alias("mix_position"),
+        *[F.col(f"_at.{field}").alias(name) for name, field in _ADDED.items()],
+        (F.col("_at.ahead") + F.col("_number") % block_docs).alias("mix_position"),
     )

@@ -146,37 +146,36 @@ FROM t JOIN g USING (text_sha256)
 
 MIXING_SQL = """
 WITH RECURSIVE counted AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-weighted AS (SELECT source, n, CAST(floor(1000 * sqrt(n) + 0.5) AS BIGINT) AS w FROM counted),
-totals AS (SELECT sum(w) AS total, 1000 - count(*) AS rest FROM weighted),
-shared AS (SELECT source, n, 1 + CAST(w * rest // total AS BIGINT) AS base, w * rest % total AS part FROM weighted, totals),
-quota AS (
-  SELECT source, n, base + CASE WHEN row_number() OVER (ORDER BY part DESC, source NULLS FIRST)
-         <= 1000 - sum(base) OVER () THEN 1 ELSE 0 END AS a,
-         row_number() OVER (ORDER BY source NULLS FIRST) AS i
-  FROM shared),
-lists AS (SELECT list(CAST(a AS BIGINT) ORDER BY i) AS a, list(CAST(n AS BIGINT) ORDER BY i) AS n, count(*) AS k FROM quota),
+weighted AS (
+  SELECT source, n, CAST(floor(1000 * sqrt(n) + 0.5) AS HUGEINT) AS w, row_number() OVER (ORDER BY source NULLS FIRST) AS i
+  FROM counted),
+lists AS (
+  SELECT list(w ORDER BY i) AS w, list((n + 7) // 8 ORDER BY i) AS b, CAST(sum(w) AS HUGEINT) AS total, count(*) AS k,
+         CAST(sum((n + 7) // 8) AS BIGINT) AS blocks
+  FROM weighted),
 plan AS (
-  SELECT CAST(-1 AS BIGINT) AS place, CAST(NULL AS BIGINT) AS i, [CAST(0 AS BIGINT) FOR x IN range(k)] AS done,
-         [CAST(0 AS BIGINT) FOR x IN range(k)] AS earlier FROM lists
+  SELECT CAST(-1 AS BIGINT) AS slot, CAST(NULL AS BIGINT) AS i, CAST(0 AS BIGINT) AS placed,
+         [CAST(0 AS BIGINT) FOR x IN range(k)] AS done FROM lists
   UNION ALL
-  SELECT place, i, list_transform(done, lambda d, j: d + CASE WHEN j = i THEN 1 ELSE 0 END), done
+  SELECT slot, i, placed + CASE WHEN i IS NULL THEN 0 ELSE 1 END,
+         list_transform(done, lambda d, j: d + CASE WHEN j = i THEN 1 ELSE 0 END)
   FROM (
-    SELECT plan.place + 1 AS place, plan.done AS done,
-           list_min([(CAST(((done[j] + 1) * 1000 + a[j] - 1) // a[j] AS BIGINT), j) FOR j IN range(1, k + 1)
-                     IF done[j] < a[j] AND done[j] * 1000 // a[j] <= plan.place + 1])[2] AS i
-    FROM plan, lists WHERE plan.place < 999)),
+    SELECT plan.slot + 1 AS slot, plan.done AS done, placed,
+           list_min([(CAST(((done[j] + 1) * total + w[j] - 1) // w[j] AS BIGINT), j) FOR j IN range(1, k + 1)
+                     IF done[j] < b[j] AND done[j] * total // w[j] <= plan.slot + 1])[2] AS i
+    FROM plan, lists WHERE placed < blocks)),
+placed AS (
+  SELECT slot, weighted.i, source, n, w, done[weighted.i] - 1 AS block,
+         sum(least(8, n - 8 * (done[weighted.i] - 1))) OVER (ORDER BY slot) - least(8, n - 8 * (done[weighted.i] - 1)) AS ahead
+  FROM plan JOIN weighted ON weighted.i = plan.i),
 numbered AS (
   SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR))) - 1 AS r
-  FROM documents),
-blocks AS (
-  SELECT doc_id, d.source, r, r // 8 AS block, r // 8 // a AS cycle, r // 8 % a AS nth, quota.i, quota.a AS quota
-  FROM numbered d JOIN quota ON d.source IS NOT DISTINCT FROM quota.source)
-SELECT doc_id, source, CAST(block AS BIGINT) AS mix_block, CAST(cycle * 1000 + place AS BIGINT) AS mix_slot,
-       CAST(block * 1000 // quota AS BIGINT) AS mix_release,
-       CAST(((block + 1) * 1000 + quota - 1) // quota AS BIGINT) AS mix_deadline,
-       CAST(list_sum([least(n[j], (cycle * lists.a[j] + earlier[j]) * 8) FOR j IN range(1, k + 1)]) + r % 8 AS BIGINT)
-         AS mix_position
-FROM blocks JOIN plan ON plan.i = blocks.i AND plan.earlier[plan.i] = nth, lists
+  FROM documents)
+SELECT doc_id, d.source, CAST(block AS BIGINT) AS mix_block, slot AS mix_slot,
+       CAST(block * total // w AS BIGINT) AS mix_release,
+       CAST(((block + 1) * total + w - 1) // w AS BIGINT) AS mix_deadline,
+       CAST(ahead + r % 8 AS BIGINT) AS mix_position
+FROM numbered d JOIN placed ON d.source IS NOT DISTINCT FROM placed.source AND r // 8 = block, lists
 """
 
 COLLOCATIONS_SQL = r"""

@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from rxcover.llm import exact_dedup, mixing
+from rxcover.llm import exact_dedup, mixing, pfair
 
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 
@@ -65,44 +65,81 @@ def test_no_rows(spark):
     assert mixing.mixed(docs).columns[-1] == "mix_position" and mixing.mixed(docs).count() == 0
 
 
-def plain_schedule(slots):
+def plain_schedule(weights, blocks):
     """Earliest deadline first, one slot at a time."""
-    names, period = sorted(slots, key=lambda s: (s is not None, s)), sum(slots.values())
-    done, plan = dict.fromkeys(names, 0), []
-    for place in range(period):
-        open_to = [s for s in names if done[s] < slots[s] and done[s] * period // slots[s] <= place]
-        pick = min(open_to, key=lambda s: (-(-(done[s] + 1) * period // slots[s]), names.index(s)))
-        plan.append((pick, done[pick], place))
-        done[pick] += 1
+    names, total = sorted(weights, key=lambda s: (s is not None, s)), sum(weights.values())
+    done, plan, slot = dict.fromkeys(names, 0), {}, 0
+    while len(plan) < sum(blocks.values()):
+        open_to = [s for s in names if done[s] < blocks[s] and done[s] * total // weights[s] <= slot]
+        if open_to:
+            pick = min(open_to, key=lambda s: (-(-(done[s] + 1) * total // weights[s]), names.index(s)))
+            plan[slot] = (pick, done[pick])
+            done[pick] += 1
+        slot += 1
     return plan
 
 
-@pytest.mark.parametrize("slots", [{"a": 5, "b": 3, None: 2}, {"only": 4}, {"a": 1, "b": 1, "c": 17, "d": 1}])
-def test_schedule(spark, slots):
-    rows = mixing.schedule(spark, slots).collect()
-    found = sorted((mixing._name(r.key), r.nth, r.place) for r in rows if r.key) + [
-        (None, r.nth, r.place) for r in rows if not r.key
-    ]
-    assert sorted(found, key=lambda r: r[2]) == plain_schedule(slots)
-    period = sum(slots.values())
-    used = dict.fromkeys(slots, 0)
-    for source, _, place in sorted(found, key=lambda r: r[2]):
-        used[source] += 1
-        assert all(abs(used[s] - slots[s] * (place + 1) / period) < 1 for s in slots)
-
-
-def test_quotas():
-    assert mixing.quotas({"a": 1, "b": 10**6}, 10) == {"a": 1, "b": 9}
-    assert sum(mixing.quotas({s: w for w, s in enumerate("abcdefg", 1)}, 1000).values()) == 1000
+def scheduled(spark, monkeypatch, weights, sizes, leaf, fan, run=4096):
+    """What `mixed` puts into each slot, in blocks of one row."""
+    for name, value in (("LEAF", leaf), ("FAN", fan), ("RUN", run)):
+        monkeypatch.setattr(pfair, name, value)
+    rows = [(i, s) for s, n in sizes.items() for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    out = mixing.mixed(docs, weights, block_docs=1).collect()
+    ordered = sorted(out, key=lambda r: r.mix_slot)
+    assert [r.mix_position for r in ordered] == list(range(len(rows)))
+    assert all(r.mix_release <= r.mix_slot < r.mix_deadline for r in out)
+    return {r.mix_slot: (r.source, r.mix_block) for r in ordered}
+
+
+@pytest.mark.parametrize(
+    "weights, sizes",
+    [
+        ({"a": 5, "b": 3, None: 2}, {"a": 50, "b": 30, None: 20}),
+        ({"only": 4}, {"only": 9}),
+        ({"a": 50, **{f"s{i}": 1 for i in range(50)}}, {"a": 60, **{f"s{i}": 2 for i in range(50)}}),
+        ({"a": 397, "b": 211, "c": 89, "d": 3}, {"a": 5, "b": 120, "c": 40, "d": 3}),
+        ({"a": 10**9, "b": 1}, {"a": 30, "b": 1}),
+    ],
+)
+def test_schedule(spark, monkeypatch, weights, sizes):
+    assert scheduled(spark, monkeypatch, weights, sizes, 8, 3, 4) == plain_schedule(weights, sizes)
+
+
+def test_idle_slots_between_spans(spark, monkeypatch):
+    """Long after the others have run out, a source of little weight still gets its own slots."""
+    weights, sizes = {"a": 997, "b": 2, "c": 1}, {"a": 3, "b": 4, "c": 2}
+    assert scheduled(spark, monkeypatch, weights, sizes, 4, 2) == plain_schedule(weights, sizes)
+
+
+def test_many_sources_keep_to_their_weights(spark, monkeypatch):
+    """2000 sources, one of them with 40 %: every prefix is within a block of the weights."""
+    weights = {f"s{i}": 1 + i % 7 for i in range(2000)}
+    weights["hot"] = 2 * sum(weights.values()) // 3
+    total = sum(weights.values())
+    sizes = {s: max(1, 3000 * w // total) for s, w in weights.items()}
+    plan = scheduled(spark, monkeypatch, weights, sizes, 64, 64)
+    last = {s: -(-n * total // weights[s]) for s, n in sizes.items()}
+    done = dict.fromkeys(weights, 0)
+    for slot in range(max(plan) + 1):
+        if slot in plan:
+            done[plan[slot][0]] += 1
+        assert abs(done["hot"] * total - weights["hot"] * (slot + 1)) < total or slot + 1 >= last["hot"]
+    for source, n in sizes.items():
+        slots = sorted(t for t, (s, _) in plan.items() if s == source)
+        for nth, t in enumerate(slots):
+            # Before and after each of its blocks.
+            assert abs(nth * total - weights[source] * t) < total and abs((nth + 1) * total - weights[source] * (t + 1)) < total
+        assert len(slots) == n
 
 
 def test_mixed_positions(spark):
     rows = [(i, "hot" if i % 3 else ("b" if i % 2 else None), i, i) for i in range(300)]
     rows += [(None, "hot", 0, 0), (5, "hot", 5, 5)]
-    docs = spark.createDataFrame(rows, "doc_id long, source string, mix_slot long, nth long").repartition(7)
-    out = mixing.mixed(docs, period=20, block_docs=4).orderBy("mix_position").collect()
+    docs = spark.createDataFrame(rows, "doc_id long, source string, mix_slot long, block long").repartition(7)
+    out = mixing.mixed(docs, block_docs=4).orderBy("mix_position").collect()
     assert [r.mix_position for r in out] == list(range(302))
-    assert all(r.nth == (r.doc_id or 0) for r in out)
+    assert all(r.block == (r.doc_id or 0) for r in out)
     slots = defaultdict(set)
     for r in out:
         slots[r.mix_slot].add((r.source, r.mix_block))
@@ -111,4 +148,4 @@ def test_mixed_positions(spark):
     with pytest.raises(ValueError):
         mixing.mixed(docs, weights={"hot": 1})
     with pytest.raises(ValueError):
-        mixing.mixed(docs, period=2)
+        mixing.mixed(docs, weights={"hot": 10**18, "b": 1, None: 1})

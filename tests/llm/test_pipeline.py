@@ -87,11 +87,11 @@ def test_run_follows_the_schedule(spark, docs):
     waiting = {}
     for r in sorted(rows, key=lambda r: hashlib.md5(str(r.doc_id).encode()).hexdigest()):
         waiting.setdefault(source[r.doc_id], []).append(r.doc_id)
-    plan = plain_schedule(mixing.quotas(mixing.tempered({s: len(ids) for s, ids in waiting.items()})))
+    size = mixing.BLOCK_DOCS
+    weights = {s: int(1000 * len(ids) ** 0.5 + 0.5) for s, ids in waiting.items()}
+    plan = plain_schedule(weights, {s: -(-len(ids) // size) for s, ids in waiting.items()})
     expected = []
-    while any(waiting.values()):
-        for s, _, _ in plan:
-            expected += waiting[s][: mixing.BLOCK_DOCS]
-            del waiting[s][: mixing.BLOCK_DOCS]
+    for _, (s, block) in sorted(plan.items()):
+        expected += waiting[s][block * size : (block + 1) * size]
     assert [r.doc_id for r in sorted(rows, key=lambda r: r.mix_position)] == expected
     assert sorted(r.mix_position for r in rows) == list(range(len(rows)))
