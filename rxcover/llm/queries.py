@@ -172,8 +172,8 @@ numbered AS (
   SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR))) - 1 AS r
   FROM documents)
 SELECT doc_id, d.source, CAST(block AS BIGINT) AS mix_block, slot AS mix_slot,
-       CAST(block * total // w AS BIGINT) AS mix_release,
-       CAST(((block + 1) * total + w - 1) // w AS BIGINT) AS mix_deadline,
+       CAST(block * total // placed.w AS BIGINT) AS mix_release,
+       CAST(((block + 1) * total + placed.w - 1) // placed.w AS BIGINT) AS mix_deadline,
        CAST(ahead + r % 8 AS BIGINT) AS mix_position
 FROM numbered d JOIN placed ON d.source IS NOT DISTINCT FROM placed.source AND r // 8 = block, lists
 """
