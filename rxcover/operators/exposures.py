@@ -45,7 +45,12 @@ def drug_median_supply(drug_exposure: DataFrame) -> DataFrame:
 
 
 def attach_median_supply(fills: DataFrame, drug_exposure: DataFrame) -> DataFrame:
-    return attach_lookup(fills, drug_median_supply(drug_exposure), "drug_concept_id")
+    """Add the drug's median; the medians, two numbers a drug, are sent to the fills.
+
+    Coverage and numbering group the fills by patient and drug. A shuffle by drug
+    alone would do for them, and leave all fills of a drug in one task.
+    """
+    return attach_lookup(fills, drug_median_supply(drug_exposure), "drug_concept_id", broadcast=True)
 
 
 def _source_columns(fills: DataFrame) -> dict:
