@@ -25,10 +25,11 @@ def consecutive_gaps(
     both count as 0, which shows for thresholds of 0 or less. `full` adds the
     ids around the gap and the quantity before it.
     """
+    shown = {"next_start_date": "start_date", **({"next_exposure_id": "drug_exposure_id"} if full else {})}
     sequenced = sequence_fills(
         fills.select(*FILL_COLUMNS),
         number="fill_sequence",
-        following={"next_start_date": "start_date", "next_exposure_id": "drug_exposure_id"},
+        following=shown,
         **slicing,
     )
     following, end = F.col("next_start_date"), F.col("end_date")

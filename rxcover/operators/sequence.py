@@ -54,7 +54,9 @@ def sequence_fills(
     }
     keys = [*PATIENT_DRUG, *slices]
     # What a slice shows to its neighbours: of its last fill to the next one, of its first to the one before.
-    tail, head = (F.struct(F.lit(True).alias("_any"), *dict.fromkeys(shown.values())) for shown in (previous, following))
+    # Structs, so that a neighbour's null is not taken for none. They have no field that nobody reads: a part of a struct is
+    # taken out early on one way through the levels and not on the other, which then share no exchange.
+    tail, head = (F.struct(*(dict.fromkeys(shown.values()) or [F.lit(True).alias("_any")])) for shown in (previous, following))
     in_slice = Window.partitionBy(*keys).orderBy(*order)
     whole_slice = in_slice.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # Stated for both sides of the join below, so that neither gets filters of its own and they share one exchange.
@@ -91,20 +93,28 @@ def sequence_fills(
 def listing_position(
     rows: DataFrame, order: list[str], name: str = "position", block_bits: int = BLOCK_BITS
 ) -> DataFrame:
-    """Add each row's place in the whole listing, from 1, in the given order.
+    """Add each row's place in the whole listing, from 1, in the given order, then that of the other columns.
 
     The first column of the order is an id that is never null. Rows are counted
     per id and the counts scanned over blocks of ids, so no window sees all rows:
-    the largest ones see the rows of one id, or 2**block_bits ids or blocks.
+    the largest ones see the rows of one id, or 2**block_bits ids or blocks. The
+    counts come from the same shuffled rows as the places, so that what leads to
+    `rows` runs once.
     """
     first = order[0]
-    blocks = {"_region": F.shiftright(first, 2 * block_bits), "_block": F.shiftright(first, block_bits)}
+    none = F.lit(0).cast("bigint")
+    # Never null, or else the join gives its sides filters of their own, down to the source of `rows`.
+    shifts = {"_region": 2 * block_bits, "_block": block_bits}
+    blocks = {block: F.coalesce(F.shiftright(first, bits), none) for block, bits in shifts.items()}
     keys = [*blocks, first]
     sliced = rows.withColumns(blocks).filter(F.col(first).isNotNull())
-    none = F.lit(0).cast("bigint")
-    counts = sliced.groupBy(*keys).agg(F.count("*").alias("_rows")).withColumns({"_head": none, "_tail": none})
+    # Both need all columns of the rows, so both sides of the join use one exchange.
+    in_id = Window.partitionBy(*keys).orderBy(*order, *[c for c in rows.columns if c not in order])
+    whole_id = in_id.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    local = sliced.withColumn(name, F.row_number().over(in_id))
+    counts = local.withColumn("_rows", F.count("*").over(whole_id)).filter(F.col(name) == 1)
+    counts = counts.select(*keys, "_rows", none.alias("_head"), none.alias("_tail"))
     edges = slice_edges(counts, [[], keys[:1], keys[:2], keys]).select(*keys, "_before")
-    local = sliced.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     placed = local.join(edges, keys).withColumn(name, F.col(name) + F.col("_before"))
     return placed.select(*rows.columns, name)
 

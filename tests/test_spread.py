@@ -1,4 +1,4 @@
-"""Where rows meet: fills with the median of their drug are not dealt by drug alone."""
+"""Where rows meet and how often: fills are not dealt by drug alone, listings are worked out once."""
 
 import re
 
@@ -7,6 +7,7 @@ from builders import WINDOW, tables
 from pyspark.sql import functions as F
 
 from rxcover.operators import coverage, exposures
+from rxcover.plans import queries as named
 
 
 @pytest.fixture
@@ -43,3 +44,12 @@ def test_fills_with_their_median_are_not_dealt_by_drug(one_drug, plain_shuffles,
     assert shuffle_keys(of_medians) == [["drug_concept_id"], ["drug_concept_id", "days_supply"]]
     assert {row["median_days_supply"] for row in fills.select("median_days_supply").distinct().collect()} == {20.0}
     assert totals(fills).agg(F.sum("total_fills")).first()[0] == 200
+
+
+@pytest.mark.parametrize("name", ["gaps_detail_ordered", "pdc_merge_ordered"])
+def test_a_listing_is_worked_out_once(spark, name):
+    """Places and counts come from one exchange; each shuffle of the rows behind it is written once."""
+    found = named.queries()[name](spark, "/root/testdata/sf0.001")
+    found.collect()
+    final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"FileScan parquet .*lineitem\.parquet", final)) == 1
