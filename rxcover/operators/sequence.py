@@ -56,7 +56,8 @@ def sequence_fills(
     # What a slice shows to its neighbours: of its last fill to the next one, of its first to the one before.
     # Structs, so that a neighbour's null is not taken for none. They have no field that nobody reads: a part of a struct is
     # taken out early on one way through the levels and not on the other, which then share no exchange.
-    tail, head = (F.struct(*(dict.fromkeys(shown.values()) or [F.lit(True).alias("_any")])) for shown in (previous, following))
+    tail, head = (list(dict.fromkeys(shown.values())) for shown in (previous, following))
+    marker = [F.lit(True).alias("_any")]
     in_slice = Window.partitionBy(*keys).orderBy(*order)
     whole_slice = in_slice.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # Stated for both sides of the join below, so that neither gets filters of its own and they share one exchange.
@@ -74,11 +75,12 @@ def sequence_fills(
             {
                 "_place": F.row_number().over(in_slice),
                 "_rows": F.count("*").over(whole_slice),
-                "_tail": F.last(tail).over(whole_slice),
+                # Put together behind the window: a struct within it would travel through the shuffle on this side only.
+                "_tail": F.struct(*([F.last(c).over(whole_slice).alias(c) for c in tail] or marker)),
             }
         )
         .filter("_place = 1")
-        .select(*keys, "_rows", head.alias("_head"), "_tail")
+        .select(*keys, "_rows", F.struct(*(head or marker)).alias("_head"), "_tail")
     )
     levels = [PATIENT_DRUG, [*PATIENT_DRUG, "_day"], keys[:-1], keys]
     edges = slice_edges(summary, levels)

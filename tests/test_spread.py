@@ -6,7 +6,7 @@ import pytest
 from builders import WINDOW, tables
 from pyspark.sql import functions as F
 
-from rxcover.operators import coverage, exposures
+from rxcover.operators import coverage, exposures, gaps
 from rxcover.plans import queries as named
 
 
@@ -46,7 +46,14 @@ def test_fills_with_their_median_are_not_dealt_by_drug(one_drug, plain_shuffles,
     assert totals(fills).agg(F.sum("total_fills")).first()[0] == 200
 
 
-@pytest.mark.parametrize("name", ["gaps_detail_ordered", "pdc_merge_ordered"])
+def test_numbered_fills_with_their_median_are_not_dealt_by_drug(one_drug, plain_shuffles):
+    fills = exposures.coverage_fills(one_drug.drug_exposure, *WINDOW, impute=True)
+    plan = gaps.adjusted_fills(fills)._jdf.queryExecution().executedPlan().toString()
+    of_medians = ["drug_concept_id"]
+    assert shuffle_keys(plan).count(of_medians) == plan.count("BroadcastExchange") > 0
+
+
+@pytest.mark.parametrize("name", ["gaps_detail_ordered", "pdc_merge_ordered", "lag_fill_detail"])
 def test_a_listing_is_worked_out_once(spark, name):
     """Places and counts come from one exchange; each shuffle of the rows behind it is written once."""
     found = named.queries()[name](spark, "/root/testdata/sf0.001")
