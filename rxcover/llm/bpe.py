@@ -15,6 +15,7 @@ import base64
 import json
 import re
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rxcover.llm.pretokens import distinct, pieces
-from rxcover.llm.textvec import text_chunks
+from rxcover.llm.runs import binaries
+from rxcover.llm.textvec import CHUNK_BYTES, text_chunks
 
 BLOCK_BYTES = 8 << 20
 # Words that one task remembers at a time; beyond that it starts over, which costs time only.
 REMEMBERED = 1_000_000
+# Words given to the encoder in one go.
+AT_ONCE = 4096
 
 Encoder = Callable[[Sequence[bytes]], Sequence[Sequence[int]]]
+# What a task does with its batches, and the schema of the result.
+Step = tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str]
 
 _PACKED = "block long, bucket int, docs array<long>, payload binary"
 
@@ -245,23 +251,44 @@ def _encode(prepare: Callable[[], Encoder], remembered: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, known, bucket = prepare(), {}, None
+        # Rows of one bucket: block, sizes and letters of its words. A word of many blocks is looked up once.
+        rows, held = [], 0
+
+        def flush():
+            sizes = np.concatenate([r[1] for r in rows])
+            data = np.concatenate([r[2] for r in rows])
+            starts = np.cumsum(sizes) - sizes
+            _, index, number = distinct(data, starts)
+            body = data.tobytes()
+            words = [body[a : a + n] for a, n in zip(starts[index].tolist(), sizes[index].tolist())]
+            new = [w for w in words if w not in known]
+            for low in range(0, len(new), AT_ONCE):
+                part = new[low : low + AT_ONCE]
+                known.update(zip(part, encode(part)))
+            ids = [known[w] for w in words]
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+            firsts = np.cumsum(lengths) - lengths
+            out, at = [], 0
+            for block, own, _ in rows:
+                mine = number[at : at + len(own)]
+                at += len(own)
+                out.append((block, bucket, None, _zip(lengths[mine], gather(flat, firsts[mine], lengths[mine]))))
+            return _rows(out)
+
         for batch in batches:
             blocks, buckets, payloads = (batch.column(c).to_pylist() for c in ("block", "bucket", "payload"))
-            out = []
             for block, own, payload in zip(blocks, buckets, payloads):
+                sizes, letters = _unzip(payload)
+                if rows and (own != bucket or held + len(letters) > CHUNK_BYTES):
+                    yield flush()
+                    rows, held = [], 0
                 if own != bucket or len(known) > remembered:
                     bucket, known = own, {}
-                sizes, letters = _unzip(payload)
-                body = letters.astype(np.uint8).tobytes()
-                ends = np.cumsum(sizes.astype(np.int64))
-                words = [body[e - s : e] for e, s in zip(ends.tolist(), sizes.tolist())]
-                new = [w for w in words if w not in known]
-                known.update(zip(new, encode(new)))
-                ids = [known[w] for w in words]
-                flat = np.array([i for part in ids for i in part], dtype=np.uint32)
-                out.append((block, own, None, _zip(np.array([len(part) for part in ids], np.uint32), flat)))
-            if out:
-                yield _rows(out)
+                rows.append((block, sizes.astype(np.int64), letters.astype(np.uint8)))
+                held += len(letters)
+        if rows:
+            yield flush()
 
     return run
 
@@ -293,13 +320,13 @@ def _assemble(end: int | None):
                 words = line[bounds[low] : bounds[high]].astype(np.int64)
                 flat = gather(body, starts[words], sizes[words]).astype("<u4")
                 ends = np.concatenate([[0], np.cumsum(sizes[words])])[bounds[low : high + 1] - bounds[low]]
-                found = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
                 if end is not None:
-                    found = [np.append(f, np.uint32(end)).astype("<u4") for f in found]
+                    flat = np.insert(flat, ends[1:], end)
+                    ends = ends + np.arange(len(ends))
                 columns = [
                     pa.array(docs[low:high], pa.int64()),
-                    pa.array([len(f) for f in found], pa.int64()),
-                    pa.array([f.tobytes() for f in found], pa.binary()),
+                    pa.array(np.diff(ends), pa.int64()),
+                    binaries(flat, ends),
                 ]
                 names = ["doc_id", "n_tokens", "ids"]
                 if places:
@@ -333,11 +360,14 @@ def encoded(
     end: int | None = None,
     position: str | None = None,
     added: Sequence[str] = (),
+    then: Step | None = None,
 ) -> DataFrame:
     """`doc_id`, `n_tokens`, `ids` (little-endian unsigned 32-bit numbers) for every row of `docs`.
 
     `added` are strings that are words of their own wherever a text holds them.
     `position` names a column of whole numbers that goes with each row into a column `position`.
+    `then` gets the batches of the result inside the tasks that make them, and its own result is returned
+    instead: a `mapInArrow` behind would run a second Python worker beside each of these, and send it all ids.
 
     `prepare()` gives, in a task, a function from words to their ids; a word is
     never cut differently inside a text. `end` is an id put behind every text.
@@ -361,11 +391,12 @@ def encoded(
     texts = rows.mapInArrow(_cut(buckets, words=False, added=added), _PACKED)
     # The texts come first: the numbers of their tasks, and so of their blocks, are those of the first reading.
     both = texts.unionByName(words.mapInArrow(_encode(prepare, remembered), _PACKED))
-    return (
-        both.repartition("block")
-        .sortWithinPartitions("block", "bucket")
-        .mapInArrow(_assemble(end), "doc_id long, n_tokens long, ids binary" + ", position long" * bool(position))
-    )
+    blocks = both.repartition("block").sortWithinPartitions("block", "bucket")
+    assemble = _assemble(end)
+    if then:
+        run, schema = then
+        return blocks.mapInArrow(lambda batches: run(assemble(batches)), schema)
+    return blocks.mapInArrow(assemble, "doc_id long, n_tokens long, ids binary" + ", position long" * bool(position))
 
 
 def decoded(tokens: DataFrame, ranks: str) -> DataFrame:

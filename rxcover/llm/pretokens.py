@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 from rxcover.llm.textvec import mix, span_hashes
@@ -36,7 +37,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return np.zeros(0, dtype=np.int64)
     leads = np.flatnonzero((data & 0xC0) != 0x80)
     points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
-    kind = _classes()[points]
+    kind = _classes().take(points)
     n = len(points)
     first = np.zeros(n + 1, dtype=bool)  # of a text
     first[np.searchsorted(leads, offsets)] = True
@@ -67,16 +68,37 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def distinct(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For pieces: a 64-bit hash of each distinct one, the place of its first occurrence, and each piece's number.
 
-    Pieces with equal hashes are also compared by a second hash, and kept apart
-    if that differs.
+    Pieces with equal hashes are also compared by their bytes, and kept apart by
+    a second hash if those differ.
     """
-    ends = np.append(starts[1:], len(data))
-    hashes = span_hashes(data, starts, ends)
-    found, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    check = span_hashes(data, starts, ends, 1)
-    if (check == check[index][inverse]).all():
+    lengths = np.diff(np.append(starts, len(data)))
+    hashes = span_hashes(data, starts, starts + lengths)
+    found, index, inverse = _numbered(hashes)
+    if _equal(data, starts, starts[index][inverse], lengths, lengths[index][inverse]):
         return found, index, inverse
+    check = span_hashes(data, starts, starts + lengths, 1)
     both = np.stack([hashes, check], axis=1)
     _, index, inverse = np.unique(both, axis=0, return_index=True, return_inverse=True)
     inverse = inverse.ravel()
     return mix(hashes[index] ^ check[index], 77), index, inverse
+
+
+def _numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As np.unique with indices and inverse; only the distinct hashes are sorted."""
+    coded = pa.array(hashes).dictionary_encode()
+    found, codes = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    # Codes are given in the order of first occurrence.
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1))
+    order = found.argsort()
+    rank = np.empty(len(found), dtype=np.int64)
+    rank[order] = np.arange(len(found))
+    return found[order], first[order], rank[codes]
+
+
+def _equal(data: np.ndarray, starts: np.ndarray, others: np.ndarray, lengths: np.ndarray, other_lengths: np.ndarray) -> bool:
+    """Whether the pieces, which follow one another, all equal those at `others`."""
+    if not np.array_equal(lengths, other_lengths):
+        return False
+    at = np.repeat(others - starts, lengths)
+    at += np.arange(len(data))
+    return np.array_equal(data.take(at), data)

@@ -9,7 +9,7 @@ the n + 1 boundaries in `ids` as `width`, `lower`, `upper`, `samples`.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rxcover.llm.bpe import Step
 from rxcover.llm.elias_fano import EliasFano
 from rxcover.llm.runs import joined
 
@@ -43,11 +44,12 @@ def _narrow(bytes_per_id: int, cuts: list[int]):
             doc_ids = batch.column("doc_id")
             known = doc_ids.fill_null(0).to_numpy()
             part = np.where(doc_ids.is_null().to_numpy(False), 0, 1 + np.searchsorted(cuts, known, side="left"))
+            if batch.column("ids").null_count:
+                raise ValueError("null ids")
             refuse_wider(batch.column("ids"), bytes_per_id)
-            ids = [
-                packer.compress(np.frombuffer(raw.as_buffer(), "<u4").astype(f"<u{bytes_per_id}").tobytes())
-                for raw in batch.column("ids")
-            ]
+            values, bounds = joined(batch.column("ids"), np.uint32)
+            body, edges = values.astype(f"<u{bytes_per_id}").tobytes(), (bounds * bytes_per_id).tolist()
+            ids = [packer.compress(body[a:b]) for a, b in zip(edges, edges[1:])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part, pa.int32()), doc_ids, pa.array(ids, pa.binary())], ["part", "doc_id", "ids"]
             )
@@ -92,30 +94,45 @@ def _shards(bytes_per_id: int, shard_ids: int):
     return run
 
 
+def shards_of(
+    tokens: DataFrame | Callable[..., DataFrame], doc_ids: DataFrame, bytes_per_id: int = 2, shard_ids: int = SHARD_IDS
+) -> DataFrame:
+    """The shards that `write_tokens` writes."""
+    parts = int(doc_ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = [i / parts for i in range(1, parts)] or [0.5]
+    found = doc_ids.select(F.percentile_approx("doc_id", shares, 100 * parts).alias("cuts")).first()["cuts"]
+    cuts = sorted(set(found or []))
+    narrow: Step = (_narrow(bytes_per_id, cuts), "part int, doc_id long, ids binary")
+    dealt = tokens(then=narrow) if callable(tokens) else tokens.select("doc_id", "ids").mapInArrow(*narrow)
+    dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "ids")
+    return dealt.mapInArrow(_shards(bytes_per_id, shard_ids), SHARDS)
+
+
 def write_tokens(
-    tokens: DataFrame, doc_ids: DataFrame, folder: str, bytes_per_id: int = 2, shard_ids: int = SHARD_IDS
+    tokens: DataFrame | Callable[..., DataFrame],
+    doc_ids: DataFrame,
+    folder: str,
+    bytes_per_id: int = 2,
+    shard_ids: int = SHARD_IDS,
 ) -> None:
     """Write `doc_id`, `ids` (little-endian unsigned 32-bit) to `folder` in ascending order of `doc_id`.
 
-    Null ids come first; rows with the same id are neighbours. `doc_ids` has the
-    ids alone: their quantiles, read beforehand, cut the order into as many parts
-    as there are shuffle partitions, so the ids are shuffled once and no pass is
-    spent on samples of them. All ids must fit `bytes_per_id` bytes.
+    Null ids come first; rows with the same id are neighbours. `tokens` is a table,
+    or `bpe.encoded` with all but `then` given: the tasks that make the ids then
+    narrow them as well, and no second Python worker stands beside each of them.
+    `doc_ids` has the ids alone: their quantiles, read beforehand, cut the order
+    into as many parts as there are shuffle partitions, so the ids are shuffled once
+    and no pass is spent on samples of them. All ids must fit `bytes_per_id` bytes.
     """
-    parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = [i / parts for i in range(1, parts)] or [0.5]
-    found = doc_ids.select(F.percentile_approx("doc_id", shares, 100 * parts).alias("cuts")).first()["cuts"]
-    cuts = sorted(set(found or []))
-    dealt = tokens.select("doc_id", "ids").mapInArrow(_narrow(bytes_per_id, cuts), "part int, doc_id long, ids binary")
-    dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "ids")
-    shards = dealt.mapInArrow(_shards(bytes_per_id, shard_ids), SHARDS)
+    shards = shards_of(tokens, doc_ids, bytes_per_id, shard_ids)
     shards.write.option("compression", "zstd").mode("overwrite").parquet(folder)
 
 
-def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
+def read_tokens(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     """`doc_id`, `start` (ids of all documents before), `n_tokens`, `ids` and `ids_crc32` from the files.
 
-    `ids` has 4 bytes each, as does what the checksum is taken of.
+    `ids` has 4 bytes each, as does what the checksum is taken of. Without `with_ids`
+    that column is left out and the ids stay in the tasks that read them.
     """
     shards = spark.read.schema(SHARDS).parquet(folder)
     # One row for each part: as many as the writer had shuffle partitions, and one for null ids.
@@ -141,13 +158,14 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                             pa.array(docs[low : low + 64], pa.int64()),
                             pa.array([get("first").as_py() + int(a) for a, _ in spans], pa.int64()),
                             pa.array([int(b - a) for a, b in spans], pa.int64()),
-                            pa.array(found, pa.binary()),
+                            *([pa.array(found, pa.binary())] if with_ids else []),
                             pa.array([zlib.crc32(f) for f in found], pa.int64()),
                         ],
-                        ["part", "doc_id", "at", "n_tokens", "ids", "ids_crc32"],
+                        ["part", "doc_id", "at", "n_tokens", *body, "ids_crc32"],
                     )
 
-    read = shards.mapInArrow(run, "part int, doc_id long, at long, n_tokens long, ids binary, ids_crc32 long")
-    return read.join(F.broadcast(ahead), "part").select(
-        "doc_id", (F.col("ahead") + F.col("at")).alias("start"), "n_tokens", "ids", "ids_crc32"
+    body = ["ids"] if with_ids else []
+    schema = "part int, doc_id long, at long, n_tokens long" + ", ids binary" * with_ids + ", ids_crc32 long"
+    return shards.mapInArrow(run, schema).join(F.broadcast(ahead), "part").select(
+        "doc_id", (F.col("ahead") + F.col("at")).alias("start"), "n_tokens", *body, "ids_crc32"
     )

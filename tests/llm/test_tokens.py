@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import zlib
+from functools import partial
 
 import numpy as np
 import public_tokenizers
@@ -13,10 +14,10 @@ import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rxcover.llm import bpe, queries, token_files
+from rxcover.llm import bpe, pretokens, queries, token_files
 from rxcover.llm.elias_fano import EliasFano
 from rxcover.llm.pretokens import distinct, pieces
-from rxcover.llm.textvec import text_chunks
+from rxcover.llm.textvec import span_hashes, text_chunks
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -63,6 +64,14 @@ def test_distinct_pieces():
     assert len(index) == 2 and len(number) == 4 and number[0] == number[1] == number[3]
 
 
+def test_pieces_of_equal_hashes_are_kept_apart(monkeypatch):
+    second = lambda d, s, e, kind=0: span_hashes(d, s, e, 1) if kind else np.zeros(len(s), np.uint64)
+    monkeypatch.setattr(pretokens, "span_hashes", second)
+    data = np.frombuffer(b" the the cat the", np.uint8)
+    found, index, number = distinct(data, pieces(data, np.array([0, len(data)])))
+    assert len(set(found.tolist())) == len(index) == 2 and number[0] == number[1] == number[3] != number[2]
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(3 * i, t, "x") for i, t in enumerate(TEXTS)] + [(None, "null id", "x"), (0, "again", "x")]
@@ -163,3 +172,19 @@ def test_ids_that_do_not_fit_are_refused():
     token_files.refuse_wider(fits.slice(0, 0), 2)
     with pytest.raises(ValueError, match="65536 does not fit 2 bytes"):
         token_files.refuse_wider(beyond, 2)
+
+
+def test_ids_are_narrowed_where_they_are_made(spark, docs, tmp_path):
+    tokens = partial(bpe.encoded, docs, bpe.tokenizers_encoder(MODEL), end=2)
+    plan = token_files.shards_of(tokens, docs.select("doc_id"))._jdf.queryExecution().sparkPlan().toString()
+    steps = [word for word in plan.replace("(", " ").split() if word in ("MapInArrow", "Exchange")]
+    # Words, texts, encoding, assembling with narrowing, shards: no task has two Python workers.
+    assert steps.count("MapInArrow") == 5 and steps[:4] == ["MapInArrow", "Exchange"] * 2
+    found = []
+    for at, given_tokens in (("made", tokens), ("given", tokens())):
+        token_files.write_tokens(given_tokens, docs.select("doc_id"), str(tmp_path / at))
+        found.append(token_files.read_tokens(spark, str(tmp_path / at)))
+    assert sorted(found[0].collect(), key=str) == sorted(found[1].collect(), key=str)
+    bare = token_files.read_tokens(spark, str(tmp_path / "made"), with_ids=False)
+    assert bare.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    assert sorted(bare.collect(), key=str) == sorted(found[0].drop("ids").collect(), key=str)
