@@ -61,22 +61,54 @@ def tokenizers_encoder(path: str, special: bool = False) -> Callable[[], Encoder
     """
     with open(path, encoding="utf-8") as file:
         model = file.read()
+    file = json.loads(model)
+    cutter = file["pre_tokenizer"] or {}
+    by_bytes = (
+        cutter.get("type") == "ByteLevel"
+        and not cutter["add_prefix_space"]
+        and not any(file[k] for k in ("normalizer", "truncation", "padding"))
+        and all(33 <= ord(c) < 127 for t in file["added_tokens"] for c in t["content"])
+    )
 
     def prepare() -> Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import AddedToken, Tokenizer
+        from tokenizers.pre_tokenizers import Sequence as Steps
 
         own = Tokenizer.from_str(model)
         own.encode_special_tokens = not special
-        return lambda words: [
-            e.ids for e in own.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
-        ]
+        if not by_bytes:
+            return lambda words: [
+                e.ids for e in own.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
+            ]
+        # The words are cut already, so they go in as one line, in the letters that the vocabulary has for
+        # bytes; a line feed, which is none of these, stands between them.
+        own.pre_tokenizer = Steps([])
+        own.add_tokens([AddedToken("\n", normalized=False)])
+        between, letters = own.token_to_id("\n"), _byte_letters()
+
+        def encode(words: Sequence[bytes]) -> Sequence[Sequence[int]]:
+            if not words:
+                return []
+            line = b"\xff".join(words).decode("latin-1").translate(letters)  # no UTF-8 has the byte FF
+            ids = own.encode_batch_fast([line], add_special_tokens=False)[0].ids
+            ends = [*np.flatnonzero(np.array(ids) == between).tolist(), len(ids)]
+            return [ids[a:b] for a, b in zip([0, *(e + 1 for e in ends)], ends)]
+
+        return encode
 
     return prepare
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter of each byte in byte-level vocabularies, and a line feed for FF."""
+    plain = [*range(33, 127), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)} | {0xFF: "\n"}
+
+
 def added_tokens(path: str) -> list[str]:
     """The strings to which the file `path` of the tokenizers library gives ids beside its vocabulary."""
     with open(path, encoding="utf-8") as file:

@@ -188,3 +188,15 @@ def test_ids_are_narrowed_where_they_are_made(spark, docs, tmp_path):
     bare = token_files.read_tokens(spark, str(tmp_path / "made"), with_ids=False)
     assert bare.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert sorted(bare.collect(), key=str) == sorted(found[0].drop("ids").collect(), key=str)
+
+
+@pytest.mark.parametrize("special", [False, True])
+def test_words_in_one_line_have_the_ids_of_single_words(special):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(MODEL)
+    own.encode_special_tokens = not special
+    words = [" the", "\n", " \n\t", "\r\x85", "\xa0", "é", " 日本", "\U0001f600", "ÿ", "'s", "!!", "Ċ", "z" * 500, "<|endoftext|>", " "]
+    found = bpe.tokenizers_encoder(MODEL, special=special)()
+    assert found([w.encode() for w in words]) == [own.encode(w, add_special_tokens=False).ids for w in words]
+    assert found([]) == [] and found([b"a"]) == [own.encode("a").ids]
